@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import exact_dedup, mixing, sharding
+from eventloom.llm import exact_dedup, mixing, sharding, simhash
 from eventloom.llm.common import table, text_or_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, k=3)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -36,7 +40,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_exact_dedup, op9_sharding, op10_mixing)}
+    return {f.__name__: f for f in (op1_simhash, op3_exact_dedup, op9_sharding, op10_mixing)}
 
 
 EXACT_DEDUP_SQL = r"""
