@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import exact_dedup, mixing, sharding, simhash
+from eventloom.llm import exact_dedup, language, mixing, sharding, simhash, warc
 from eventloom.llm.common import table, text_or_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,14 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(table(spark, sf_dir, "pages")).drop("payload", "url")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
     body = text_or_empty("text")
@@ -40,7 +48,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op3_exact_dedup, op9_sharding, op10_mixing)}
+    return {f.__name__: f for f in (op1_simhash, op3_exact_dedup, op5_language_id, op7_warc, op9_sharding, op10_mixing)}
 
 
 EXACT_DEDUP_SQL = r"""
