@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import exact_dedup, language, mixing, sharding, simhash, warc
+from eventloom.llm import exact_dedup, language, mixing, sharding, simhash, substring_dedup, suffix_dedup, warc
 from eventloom.llm.common import table, text_or_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, k=3)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.drop_repeated_phrases(table(spark, sf_dir, "documents"), words=20)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "utf-8"), 256).alias("kept_sha256"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -29,6 +34,11 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived_pages(table(spark, sf_dir, "pages")).drop("payload", "url")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.drop_repeated_bytes(table(spark, sf_dir, "documents"), size=400)
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
     body = text_or_empty("text")
@@ -48,7 +58,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op3_exact_dedup, op5_language_id, op7_warc, op9_sharding, op10_mixing)}
+    return {f.__name__: f for f in (op1_simhash, op2_substring_dedup, op3_exact_dedup, op5_language_id, op7_warc, op8_suffix_dedup, op9_sharding, op10_mixing)}
 
 
 EXACT_DEDUP_SQL = r"""
