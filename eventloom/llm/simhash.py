@@ -36,14 +36,17 @@ from pyspark.sql import functions as F
 
 from eventloom.llm.common import materialised
 from eventloom.llm.components import components, forest
+from eventloom.llm.textkit import mix64
 
 BITS = 64
 #: Fingerprints of one bucket that are compared in one piece.
 BUCKET_ROWS = 4096
 #: Estimated costs: a filed or probing row against a compared pair.
 ROW_COST, PAIR_COST = 100.0, 1.0
-#: Text characters hashed between two results of a task.
+#: The seed of the hashes of shingles.
 SEED = 42
+#: Words of 64 bits in the sketch that verifies similarity, and bits in which candidates' fingerprints may differ.
+SKETCH, CANDIDATE_BITS = 4, 7
 
 
 def fingerprint(data: bytes, words: int = 3) -> int:
@@ -64,6 +67,32 @@ def fingerprint(data: bytes, words: int = 3) -> int:
     return int(np.packbits(ones * 2 > n).view(">u8")[0])
 
 
+def _votes(hashes: np.ndarray) -> np.ndarray:
+    """The bits (highest of each hash first) that over half of the rows of `hashes` have."""
+    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(len(hashes), -1), axis=1)
+    return np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)).view(">u8").astype(np.uint64)
+
+
+def sketches(data: bytes, words: int) -> tuple[int, np.ndarray]:
+    """(fingerprint of the set of words, 256-bit SimHash of the set of word shingles) of a UTF-8 text.
+
+    The first finds candidates: it hardly moves when a few words change. The second, of four
+    differently mixed hashes of each shingle, estimates the angle between the shingle sets.
+    """
+    found = data.lower().split()
+    single = {xxhash.xxh64_intdigest(w, SEED) for w in found} or {0}
+    shingles = {xxhash.xxh64_intdigest(b" ".join(found[i : i + words]), SEED) for i in range(max(1, len(found) - words + 1))}
+    hashes = np.fromiter(shingles, np.uint64, len(shingles))
+    wide = np.stack([mix64(hashes + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)) for k in range(SKETCH)], axis=1)
+    return int(_votes(np.fromiter(single, np.uint64, len(single))[:, None])[0]), _votes(wide)
+
+
+def most_bits(similarity: float) -> int:
+    """The bits of SKETCH * 64 in which shingle sets of this Jaccard similarity may differ, with the estimate's spread allowed for."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(64 * SKETCH * share + 1.3 * np.sqrt(64 * SKETCH * share * (1 - share)))
+
+
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fp (the fingerprint as a signed long), a row per input row."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -163,8 +192,12 @@ def allocate(n: int, both: np.ndarray, k: int, sizes: tuple[int, ...] = (2, 3, 4
     return plan
 
 
-def _filed(plan: list[tuple[list[int], int]]):
-    """Rows (part, key, own, fp): each fingerprint under its own value of a group and those within the group's threshold."""
+def _filed(plan: list[tuple[list[int], int]], names: list[str]):
+    """Rows (part, key, own, then the columns `names`, the first of which is the fingerprint): each row under its own value of a group and those within the group's threshold.
+
+    Of two values one bit apart, one has the bit and the other is it without the bit, so single
+    flips only clear bits.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,56 +206,58 @@ def _filed(plan: list[tuple[list[int], int]]):
                 mask = np.uint64(sum(1 << b for b in group))
                 for flips in range(threshold + 1):
                     for bits in combinations(group, flips):
-                        key = (fps & mask) ^ np.uint64(sum(1 << b for b in bits))
-                        yield pa.RecordBatch.from_pydict(
-                            {"part": np.full(len(fps), part, np.int32), "key": key.view(np.int64), "own": np.full(len(fps), not flips), "fp": fps.view(np.int64)}
+                        change = np.uint64(sum(1 << b for b in bits))
+                        rows = np.flatnonzero(fps & change) if flips == 1 else np.arange(len(fps))
+                        key = ((fps[rows] & mask) ^ change).view(np.int64)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(rows), part, np.int32)), pa.array(key), pa.array(np.full(len(rows), not flips)), *(c.take(pa.array(rows)) for c in batch.columns)],
+                            ["part", "key", "own", *names],
                         )
 
     return run
 
 
-def _linked(k: int):
-    """Spanning edges of the fingerprints within k bits of each other in each piece of a bucket; rows come sorted by piece."""
+def _linked(k: int, names: list[str], most: int):
+    """Spanning edges of the rows within k bits (and, where there are sketches, `most` bits of these) of each other in each piece of a bucket; rows come sorted by piece."""
 
-    def edges(piece: np.ndarray, fp: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        values = fp.view(np.uint64)
-        at = np.arange(len(fp))
+    def edges(piece: np.ndarray, own: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        node, values, sketch = columns[1], columns[0].view(np.uint64), [c.view(np.uint64) for c in columns[2:]]
+        left, right, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        at = np.arange(len(node))
         step = 1
         while True:
-            at = at[at + step < len(fp)]
+            at = at[at + step < len(node)]
             at = at[piece[at] == piece[at + step]]
             if not len(at):
                 break
             near = at[(own[at] | own[at + step]) & (np.bitwise_count(values[at] ^ values[at + step]) <= k)]
-            left.append(fp[near])
-            right.append(fp[near + step])
-            if sum(map(len, left)) > 1 << 20:
+            if sketch and len(near):
+                near = near[sum(np.bitwise_count(c[near] ^ c[near + step]).astype(np.int64) for c in sketch) <= most]
+            left.append(node[near])
+            right.append(node[near + step])
+            held += len(near)
+            if held > 1 << 20:
                 a, b = forest(np.concatenate(left), np.concatenate(right))
-                left, right = [a], [b]
+                left, right, held = [a], [b], 0
             step += 1
         return forest(np.concatenate(left), np.concatenate(right))
 
+    columns = ["part", "key", "low", "high", "own", *names]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = ("part", "key", "low", "high", "fp", "own")
         rest = None
         a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             rows = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in columns]
             rest = rows if rest is None else [np.concatenate(x) for x in zip(rest, rows, strict=True)]
-            new = np.zeros(len(rest[0]), bool)
-            for x in rest[:4]:
-                new[1:] |= x[1:] != x[:-1]
+            new = _starts(rest[:4])
             whole = int(np.flatnonzero(new)[-1]) if new.any() else 0
             if whole >= 1 << 16:
-                x, y = edges(np.cumsum(new[:whole]), rest[4][:whole], rest[5][:whole])
+                x, y = edges(np.cumsum(new[:whole]), rest[4][:whole], [c[:whole] for c in rest[5:]])
                 a, b = np.append(a, x), np.append(b, y)
                 rest = [c[whole:] for c in rest]
         if rest is not None:
-            new = np.zeros(len(rest[0]), bool)
-            for x in rest[:4]:
-                new[1:] |= x[1:] != x[:-1]
-            x, y = edges(np.cumsum(new), rest[4], rest[5])
+            x, y = edges(np.cumsum(_starts(rest[:4])), rest[4], rest[5:])
             a, b = np.append(a, x), np.append(b, y)
         if len(a):
             a, b = forest(a, b)
@@ -231,28 +266,73 @@ def _linked(k: int):
     return run
 
 
-def links(fps: DataFrame, k: int = 3) -> DataFrame:
-    """Edges (u, v) that join the distinct fingerprints `fp` within k bits of each other into the same components."""
-    n, both = bit_statistics(fps)
-    filed = fps.select("fp").mapInArrow(_filed(allocate(n, both, k)), "part int, key long, own boolean, fp long")
+def _starts(keys: list[np.ndarray]) -> np.ndarray:
+    """Where a row's keys differ from those of the row before."""
+    new = np.zeros(len(keys[0]), bool)
+    for x in keys:
+        new[1:] |= x[1:] != x[:-1]
+    return new
+
+
+def links(rows: DataFrame, k: int = 3, most: int = 0) -> DataFrame:
+    """Edges (u, v) of nodes that join the rows within k bits of each other into the same components.
+
+    `rows` holds distinct fp (fingerprint) and node (long, names the row); more long columns are
+    its sketch, of which two linked rows differ in at most `most` bits.
+    """
+    names = ["fp", "node", *(c for c in rows.columns if c not in ("fp", "node"))]
+    n, both = bit_statistics(rows)
+    filed = rows.select(*names).mapInArrow(_filed(allocate(n, both, k), names), ", ".join(["part int, key long, own boolean", *(f"{c} long" for c in names)]))
     sizes = filed.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("some")).where("n > 1 and some")
-    blocks = F.ceil(F.col("n") / F.lit(BUCKET_ROWS)).cast("int")
-    block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     pieces = (
         filed.join(sizes, ["part", "key"])
-        .withColumn("blocks", blocks)
-        .withColumn("block", block)
+        .withColumn("blocks", F.ceil(F.col("n") / F.lit(BUCKET_ROWS)).cast("int"))
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("part", "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "fp", "own")
+        .select("part", "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "own", *names)
     )
-    return pieces.repartition("part", "key", "low", "high").sortWithinPartitions("part", "key", "low", "high").mapInArrow(_linked(k), "u long, v long")
+    return pieces.repartition("part", "key", "low", "high").sortWithinPartitions("part", "key", "low", "high").mapInArrow(_linked(k, names, most), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, k: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id that links reach), a row per input row."""
     rows = materialised(fingerprints(docs, words, id_col, text_col))
-    distinct = materialised(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(distinct, k))
-    nodes = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    classes = nodes.join(nodes.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
+    distinct = materialised(rows.groupBy("fp").agg(F.min("doc_id").alias("first")).withColumn("node", F.col("fp")))
+    classes = _classes(distinct, links(distinct.select("fp", "node"), k)).select(F.col("node").alias("fp"), F.col("least").alias("component_id"))
     return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _classes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, least: the smallest `first` of each node's component."""
+    roots = components(edges)
+    rooted = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    return rooted.join(rooted.groupBy("root").agg(F.min("first").alias("least")), "root").select("node", "least")
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and class_id (the smallest doc_id of the documents that links join), a row per input row.
+
+    Candidates are documents whose fingerprints of single words differ in CANDIDATE_BITS bits at
+    most; they are linked if the sketches of their shingles of `words` words allow for a Jaccard
+    similarity of at least `similarity`. Equal texts are always linked.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    names = ["fp", *(f"s{i}" for i in range(SKETCH))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [sketches(x.as_py() or b"", words) for x in batch.column(1).cast(pa.large_binary())]
+            values = np.array([[fp, *sketch.tolist()] for fp, sketch in made], np.uint64).reshape(-1, 1 + SKETCH).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(values[:, i])) for i in range(1 + SKETCH))], ["doc_id", *names])
+
+    read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = materialised(read.mapInArrow(run, ", ".join([f"doc_id {kind}", *(f"{c} long" for c in names)])).withColumn("node", F.xxhash64(*names)))
+    distinct = materialised(rows.groupBy("node", *names).agg(F.min("doc_id").alias("first")))
+    classes = _classes(distinct.select("node", "first"), links(distinct.drop("first"), CANDIDATE_BITS, most_bits(similarity)))
+    return rows.select("doc_id", "node").join(classes, "node").select("doc_id", F.col("least").alias("class_id"))
+
+
+def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` with the smallest id of their class, with all their columns."""
+    stay = similar_documents(docs, words, similarity, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__stay")).distinct()
+    return docs.join(stay, docs[id_col].eqNullSafe(stay["__stay"]), "left_semi")
