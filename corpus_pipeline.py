@@ -1,11 +1,36 @@
-"""A corpus pipeline: language identification, near-duplicate removal, benchmark decontamination, mixing and sharding."""
+"""A corpus pipeline: language identification, near-duplicate removal, benchmark decontamination, mixing and sharding.
+
+Every stage reads what the one before it wrote; all but the last return the columns of the
+documents they get.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from eventloom.llm import decontaminate, language, mixing, sharding, simhash
+from eventloom.llm.common import scratch_path, table
+
+#: Documents whose language is less certain than this are rejected, like those without a letter.
+LEAST_SCORE = 0.5
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the languages learned from their labels."""
+    model = language.train(docs, language.fold() != 2)
+    known = language.predict(docs, model).where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return known.select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: shingles of five words, a similarity of 0.8 or more."""
+    return simhash.drop_similar(docs, words=5, similarity=0.8)
+
 
-from eventloom.llm import mixing, sharding
-from eventloom.llm.common import scratch_path
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of a benchmark item."""
+    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,16 +43,22 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(docs, shards=8)
 
 
-STAGES = [("mixing", mix), ("sharding", shard)]
+STAGES = [
+    ("language_id", identify_language),
+    ("simhash_dedup", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix),
+    ("sharding", shard),
+]
 
-#: The classifier and the similarity threshold of the stages have no SQL form.
+#: The classifier and the similarity estimate have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
         path = scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
