@@ -1,4 +1,14 @@
-def queries():
-    return {}
-def oracle_sql():
-    return {}
+"""All queries of the library by name, and their SQL."""
+
+from __future__ import annotations
+
+from eventloom.plans import mining_queries  # noqa: F401  (registers)
+from eventloom.plans.registry import QUERIES, SQL, Query
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
