@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from eventloom.plans import mining_queries  # noqa: F401  (registers)
+from eventloom.plans import io_queries, mining_queries, object_queries, table_queries  # noqa: F401  (each registers its queries)
 from eventloom.plans.registry import QUERIES, SQL, Query
 
 

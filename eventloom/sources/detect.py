@@ -17,13 +17,12 @@ def encoding(head: bytes) -> str:
             return name
     if all(b < 0x80 for b in head):
         return "ascii"
-    for cut in range(4):  # the sample may end within a character
-        try:
-            head[: len(head) - cut].decode("utf-8")
-            return "utf-8"
-        except UnicodeDecodeError:
-            continue
-    return "latin-1"
+    try:
+        head.decode("utf-8")
+    except UnicodeDecodeError as e:
+        if e.reason != "unexpected end of data":  # the sample may end within a character
+            return "latin-1"
+    return "utf-8"
 
 
 def text_of(head: bytes) -> str:
