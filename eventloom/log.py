@@ -30,7 +30,7 @@ def nanos(column: str | Column) -> Column:
 def as_timestamp(column: str | Column) -> Column:
     """Nanoseconds as a timestamp, cut to microseconds."""
     c = F.col(column) if isinstance(column, str) else column
-    return F.timestamp_micros(F.expr("0") + F.floor(c / F.lit(1000)).cast("long"))
+    return F.timestamp_micros(F.call_function("div", c - F.pmod(c, F.lit(1000)), F.lit(1000)))
 
 
 def detect_roles(columns: list[str]) -> dict[str, str]:

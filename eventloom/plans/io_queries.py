@@ -7,6 +7,7 @@ import gzip
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.log import as_timestamp
 from eventloom.operators import healing, maintenance
 from eventloom.plans import pipeline
 from eventloom.plans.registry import E, log, query
@@ -78,7 +79,7 @@ def _union(s, d) -> DataFrame:
 
 @query("src13_xes", E + " SELECT case_id, activity, timestamp, coalesce(resource, '') AS resource FROM e")
 def _xes(s, d) -> DataFrame:
-    one = F.format_string('<event><string key="concept:name" value="%s"/><date key="time:timestamp" value="%s"/>%s</event>', "activity", F.date_format(F.timestamp_micros((F.col("timestamp") / 1000).cast("long")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), F.coalesce(F.format_string('<string key="org:resource" value="%s"/>', "resource"), F.lit("")))
+    one = F.format_string('<event><string key="concept:name" value="%s"/><date key="time:timestamp" value="%s"/>%s</event>', "activity", F.date_format(as_timestamp("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), F.coalesce(F.format_string('<string key="org:resource" value="%s"/>', "resource"), F.lit("")))
     one = F.when(F.col("resource").isNull(), F.regexp_replace(one, '<string key="org:resource" value="null"/>', "")).otherwise(one)
     events = log(s, d).withColumn("x", one)
     traces = events.groupBy("case_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("timestamp", "seq", "x"))), lambda e: e["x"]), "").alias("body"))
