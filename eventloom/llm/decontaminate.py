@@ -94,16 +94,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col:
     wanted = materialised(benchmark_windows(benchmark, window, item_col, item_text))
     found = wanted.agg(F.count(F.lit(1)).alias("n"), F.collect_set("size").alias("sizes")).first()  # at most `window` sizes
     light = lambda f: F.broadcast(f) if found["n"] <= BROADCAST_WINDOWS else f.hint("merge")
-    read = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("body"), forms(words(text_col)).alias("forms"))
+    # words are a column of their own, as forms look at a word and the one before it
+    read = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("body"), words(text_col).alias("words")).withColumn("forms", forms(F.col("words")))
 
     def hashes(size: int) -> Column:
         last = F.size("forms") - size + 1
         starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.struct(F.lit(size).alias("size"), i.alias("at"), F.xxhash64(F.slice("forms", i, F.lit(size))).alias("h")))
 
-    windows = F.flatten(F.array(*[hashes(s) for s in sorted(found["sizes"])])) if len(found["sizes"]) != 1 else hashes(found["sizes"][0]) if found["sizes"] else None
-    if windows is None:
+    if not found["sizes"]:
         return docs.select(F.col(id_col).alias("id"), F.lit(0).cast("long").alias("body"), F.lit(None).cast(benchmark.schema[item_col].dataType).alias("item_id"), F.lit(0).cast("long").alias("n_windows")).limit(0)
+    windows = F.concat(*[hashes(s) for s in sorted(found["sizes"])])
     keys = wanted.select("h", "size").distinct()
     hits = read.select("id", "body", F.explode(windows).alias("x")).select("id", "body", "x.*").join(light(keys), ["h", "size"], "left_semi")
     hits = hits.groupBy("id", "body").agg(F.collect_set(F.struct("size", "at", "h")).alias("hits"))
