@@ -10,7 +10,9 @@ with the same anchor form a run; its content is everything its windows cover.
 2. A bucket knows all contents of an anchor. A content that occurs again is repeated as a whole. An
    anchor with several contents needs its windows compared: one block is asked for each content.
 3. The asked blocks send the contents; the bucket compares windows of all contents of an anchor by
-   the operator's own method and answers which windows of which record repeat.
+   the operator's own method and answers which windows of which record repeat. An anchor with over
+   MOST_CONTENTS contents would be too much for one bucket: its windows go to all buckets by
+   the range of their names, each once per block, and are judged like records.
 4. Blocks put the answers together and cut their texts.
 
 Blocks meet their answers by a co-grouping on the block's number, so texts are shuffled once and
@@ -34,21 +36,27 @@ from eventloom.llm import textkit as tk
 
 BLOCK_BYTES = 6 << 20
 SLICE = 1 << 20
-#: Flags of a record: every window of it repeats; its content is asked for.
-REPEATED, ASKED = 1, 2
+#: Contents of one anchor that a bucket compares itself; the windows of an anchor with more are spread over all buckets by their names.
+MOST_CONTENTS = 1000
+#: Flags of a record: every window of it repeats; its content is asked for; its windows are spread.
+REPEATED, ASKED, SPREAD = 1, 2, 4
+#: Kinds of messages: records and flags for them; contents and repeated stretches of them; spread windows and flags for them.
+RECORDS, CONTENTS, WINDOWS = 0, 1, 2
 
 _U64 = np.uint64
 
 
 @dataclass(frozen=True)
 class Search:
-    """What makes a search: tokens of a text, window size and gram size, whether only later windows repeat, and what a block sends of a content."""
+    """What makes a search: the names of a text's tokens (all, or `part`: so many from a place), window and gram size, whether only later windows repeat, what a block sends of a content, and how windows are compared."""
 
     names: Callable[[bytes], np.ndarray]
+    part: Callable[[bytes, int, int], np.ndarray]
     size: int
     gram: int
     later_only: bool
-    content: Callable[[np.ndarray, bytes, int, int], bytes]
+    most_contents: int
+    content: Callable[[bytes, int, int], bytes]
     compare: Callable[[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray], list[np.ndarray]]
 
 
@@ -81,7 +89,7 @@ def find_runs(search: Search, ids: np.ndarray, texts: list[bytes]) -> Runs:
             document.append(np.full(len(first), d, np.int64))
             start.append(first + low)
             count.append(last - first + 1)
-            anchors.append(grams[anchor])
+            anchors.append(tk.mix64(grams[anchor]))  # chosen grams are small, their mixed names are not
             contents.append(tk.mix64(tk.span_hash(prefix, first, last + search.size) ^ (anchor - first).astype(np.uint64)))
     join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
     document, start, count = join(document, np.int64), join(start, np.int64), join(count, np.int64)
@@ -130,7 +138,7 @@ def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
-_TO_BUCKET = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("data", pa.binary())])
+_TO_BUCKET = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("kind", pa.int64()), ("data", pa.binary())])
 _TO_BLOCK = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("kind", pa.int64()), ("data", pa.binary())])
 
 
@@ -146,52 +154,89 @@ def _file_records(search: Search, buckets: int):
             parts = [runs.anchors[a:b], runs.contents[a:b], np.minimum(runs.copies[a:b], 2).astype(np.uint8)]
             if search.later_only:
                 parts += [where[a:b], place[a:b]]
-            rows.append((bucket, block, pack(*parts)))
+            rows.append((bucket, block, RECORDS, pack(*parts)))
         return _rows(_TO_BUCKET, rows)
 
     return run
 
 
-def _judge_records(search: Search):
+def _judge(search: Search, bucket: int, blocks: list[int], data: list[bytes], kind: int) -> list[tuple]:
+    """Flags for the records (or spread windows) of each block, as messages of `kind`."""
     kinds = ("<u8", "<u8", "u1", "<i8", "<i4") if search.later_only else ("<u8", "<u8", "u1")
+    parts = [unpack(x, *kinds) for x in data]
+    lengths = [len(p[0]) for p in parts]
+    anchors, contents, copies = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    if search.later_only:
+        where, place = (np.concatenate([p[i] for p in parts]) for i in (3, 4))
+    else:
+        where, place = np.repeat(np.array(blocks, np.int64), lengths), np.zeros(len(anchors), np.int32)
+    order = np.lexsort((place, where, contents, anchors))
+    a, c = anchors[order], contents[order]
+    new_anchor = np.ones(len(order), bool)
+    new_anchor[1:] = a[1:] != a[:-1]
+    new = new_anchor.copy()
+    new[1:] |= c[1:] != c[:-1]
+    content = np.cumsum(new) - 1
+    group = np.cumsum(new_anchor) - 1
+    several = np.bincount(group[new])[group]
+    firsts = np.flatnonzero(new)[content]
+    if search.later_only:
+        w, p = where[order], place[order]
+        repeated = (w != w[firsts]) | (p != p[firsts])
+    else:
+        repeated = np.bincount(content, weights=copies[order])[content] > 1
+    flags = np.empty(len(order), np.uint8)
+    flags[order] = repeated * REPEATED + ((several > 1) & new) * ASKED + (several > search.most_contents) * SPREAD
+    return [(block, bucket, kind, part.tobytes()) for block, part in zip(blocks, np.split(flags, np.cumsum(lengths)[:-1]), strict=True)]
+
 
+def _judge_records(search: Search):
     def run(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
-        blocks = table.column("block").to_pylist()
-        parts = [unpack(x, *kinds) for x in table.column("data").to_pylist()]
-        lengths = [len(p[0]) for p in parts]
-        anchors, contents, copies = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        if search.later_only:
-            where, place = (np.concatenate([p[i] for p in parts]) for i in (3, 4))
-        else:
-            where, place = np.repeat(np.array(blocks, np.int64), lengths), np.zeros(len(anchors), np.int32)
-        order = np.lexsort((place, where, contents, anchors))
-        a, c = anchors[order], contents[order]
-        new_anchor = np.ones(len(order), bool)
-        new_anchor[1:] = a[1:] != a[:-1]
-        new = new_anchor.copy()
-        new[1:] |= c[1:] != c[:-1]
-        content = np.cumsum(new) - 1
-        group = np.cumsum(new_anchor) - 1
-        several = np.bincount(group[new])[group] > 1
-        firsts = np.flatnonzero(new)[content]
-        if search.later_only:
-            w, p = where[order], place[order]
-            repeated = (w != w[firsts]) | (p != p[firsts])
-        else:
-            repeated = np.bincount(content, weights=copies[order])[content] > 1
-        flags = np.empty(len(order), np.uint8)
-        flags[order] = repeated * REPEATED + (several & new) * ASKED
-        rows = [(block, bucket, 0, part.tobytes()) for block, part in zip(blocks, np.split(flags, np.cumsum(lengths)[:-1]), strict=True)]
-        return _rows(_TO_BLOCK, rows)
+        return _rows(_TO_BLOCK, _judge(search, table.column("bucket")[0].as_py(), table.column("block").to_pylist(), table.column("data").to_pylist(), RECORDS))
 
     return run
 
 
-def _flags(runs: Runs, answers: pa.Table, buckets: int) -> np.ndarray:
-    got = {bucket: data for bucket, kind, data in zip(*(answers.column(c).to_pylist() for c in ("bucket", "kind", "data")), strict=True) if kind == 0}
-    flags = np.zeros(len(runs.anchors), np.uint8)
-    for bucket, a, b in _slices(bucket_of(runs.anchors, buckets)):
+def _by_document(runs: Runs, some: np.ndarray) -> list[int]:
+    """Numbers of runs in the order of their documents, so that a text's tokens are named once."""
+    return some[np.argsort(runs.document[some], kind="stable")].tolist()
+
+
+@dataclass
+class Spread:
+    """The windows of a block's spread records, and their distinct names in order with the earliest window of each."""
+
+    record: np.ndarray
+    offset: np.ndarray
+    name: np.ndarray
+    names: np.ndarray
+    first: np.ndarray
+    copies: np.ndarray
+
+
+def spread_windows(search: Search, runs: Runs, flags: np.ndarray, ids: np.ndarray, texts: list[bytes]) -> Spread:
+    record, offset, name, where, place = [], [], [], [], []
+    for run in _by_document(runs, runs.first[(flags & (ASKED | SPREAD)) == (ASKED | SPREAD)]):
+        r = int(runs.record[run])
+        start, count, d = int(runs.start[run]), int(runs.count[run]), int(runs.document[run])
+        part = search.part(texts[d], start, count + search.size - 1)
+        record.append(np.full(count, r, np.int64))
+        offset.append(np.arange(count))
+        name.append(tk.window_hash(tk.prefix_hash(part), search.size))
+        where.append(np.full(count, ids[d], np.int64))
+        place.append(start + np.arange(count))
+    join = lambda parts, kind=np.int64: np.concatenate(parts) if parts else np.zeros(0, kind)
+    record, offset, name, where, place = join(record), join(offset), join(name, np.uint64), join(where), join(place)
+    order = np.lexsort((place, where, name))
+    first, last = tk.run_bounds(name[order])
+    return Spread(record, offset, name, name[order][first], order[first], last - first + 1)
+
+
+def _flags(names: np.ndarray, answers: pa.Table, buckets: int, kind: int) -> np.ndarray:
+    """The flags of names that are in order, put together from the answers of their buckets."""
+    got = {bucket: data for bucket, k, data in zip(*(answers.column(c).to_pylist() for c in ("bucket", "kind", "data")), strict=True) if k == kind}
+    flags = np.zeros(len(names), np.uint8)
+    for bucket, a, b in _slices(bucket_of(names, buckets)):
         flags[a:b] = np.frombuffer(got[bucket], np.uint8)
     return flags
 
@@ -203,22 +248,24 @@ def _send_contents(search: Search, buckets: int):
         block = table.column("block")[0].as_py()
         ids, texts = _documents(table)
         runs = find_runs(search, ids, texts)
-        flags = _flags(runs, answers, buckets)
-        asked = np.flatnonzero(flags & ASKED)
-        names: dict[int, np.ndarray] = {}
+        flags = _flags(runs.anchors, answers, buckets, RECORDS)
+        asked = np.flatnonzero((flags & (ASKED | SPREAD)) == ASKED)
         rows = []
+        contents = {r: search.content(texts[int(runs.document[r])], int(runs.start[r]), int(runs.count[r])) for r in _by_document(runs, runs.first[asked])}
         for bucket, a, b in _slices(bucket_of(runs.anchors[asked], buckets)):
             part = asked[a:b]
             first = runs.first[part]
-            data = []
-            for r in first.tolist():
-                d = int(runs.document[r])
-                if d not in names:
-                    names[d] = search.names(texts[d])
-                data.append(search.content(names[d], texts[d], int(runs.start[r]), int(runs.count[r])))
+            data = [contents[r] for r in first.tolist()]
             lengths = np.array([len(x) for x in data], "<i8")
             parts = [runs.anchors[part], part.astype("<i8"), flags[part], runs.count[first].astype("<i8"), ids[runs.document[first]], runs.start[first].astype("<i8"), lengths]
-            rows.append((bucket, block, pack(*parts, np.frombuffer(b"".join(data), np.uint8))))
+            rows.append((bucket, block, CONTENTS, pack(*parts, np.frombuffer(bytearray(b"".join(data)), np.uint8))))
+        spread = spread_windows(search, runs, flags, ids, texts)
+        if len(spread.names):
+            first = runs.first[spread.record[spread.first]]
+            where, place = ids[runs.document[first]], (runs.start[first] + spread.offset[spread.first]).astype("<i4")
+            for bucket, a, b in _slices(bucket_of(spread.names, buckets)):
+                parts = [spread.names[a:b], spread.names[a:b], np.minimum(spread.copies[a:b], 2).astype(np.uint8)]
+                rows.append((bucket, block, WINDOWS, pack(*parts, *([where[a:b], place[a:b]] if search.later_only else []))))
         return _rows(_TO_BUCKET, rows)
 
     return run
@@ -229,8 +276,13 @@ def _compare_contents(search: Search):
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
-        blocks = table.column("block").to_pylist()
-        parts = [unpack(x, *kinds) for x in table.column("data").to_pylist()]
+        sent = list(zip(*(table.column(c).to_pylist() for c in ("block", "kind", "data")), strict=True))
+        windows = [(block, data) for block, kind, data in sent if kind == WINDOWS]
+        out = _judge(search, bucket, [b for b, _ in windows], [x for _, x in windows], WINDOWS) if windows else []
+        blocks = [block for block, kind, _ in sent if kind == CONTENTS]
+        if not blocks:
+            return _rows(_TO_BLOCK, out)
+        parts = [unpack(data, *kinds) for _, kind, data in sent if kind == CONTENTS]
         anchors, records, flags, counts, where, place, lengths, data = (np.concatenate([p[i] for p in parts]) for i in range(8))
         owner = np.repeat(np.arange(len(blocks)), [len(p[0]) for p in parts])
         ends = np.cumsum(lengths)
@@ -254,8 +306,8 @@ def _compare_contents(search: Search):
                 mine = owner[of] == k
                 if mine.any():
                     answers[k].append((records[of[mine]], begin[mine] - starts[of[mine]], stop[mine] - starts[of[mine]]))
-        rows = [(block, bucket, 1, pack(*(x.astype("<i8") for x in found[0]))) for block, found in zip(blocks, answers, strict=True) if found]
-        return _rows(_TO_BLOCK, rows)
+        out += [(block, bucket, CONTENTS, pack(*(x.astype("<i8") for x in found[0]))) for block, found in zip(blocks, answers, strict=True) if found]
+        return _rows(_TO_BLOCK, out)
 
     return run
 
@@ -266,7 +318,7 @@ def _cut(search: Search, buckets: int, finish: Callable[[bytes, np.ndarray], tup
             return schema.empty_table()
         ids, texts = _documents(table)
         runs = find_runs(search, ids, texts)
-        flags = _flags(runs, answers, buckets) if len(runs.anchors) else np.zeros(0, np.uint8)
+        flags = _flags(runs.anchors, answers, buckets, RECORDS)
         repeated = (flags[runs.record] & REPEATED).astype(bool)
         if search.later_only and len(runs.record):
             # later copies within the block, too
@@ -275,9 +327,20 @@ def _cut(search: Search, buckets: int, finish: Callable[[bytes, np.ndarray], tup
         begin, stop, document = [runs.start[repeated]], [(runs.start + runs.count)[repeated]], [runs.document[repeated]]
         by_record: dict[int, list[tuple[int, int]]] = {}
         for kind, data in zip(answers.column("kind").to_pylist(), answers.column("data").to_pylist(), strict=True):
-            if kind == 1:
+            if kind == CONTENTS:
                 for r, a, b in zip(*(x.tolist() for x in unpack(data, "<i8", "<i8", "<i8")), strict=True):
                     by_record.setdefault(r, []).append((a, b))
+        spread = spread_windows(search, runs, flags, ids, texts)
+        if len(spread.names):
+            at = np.searchsorted(spread.names, spread.name)
+            again = (_flags(spread.names, answers, buckets, WINDOWS)[at] & REPEATED).astype(bool)
+            if search.later_only:
+                run = runs.first[spread.record]
+                doc, start = ids[runs.document[run]], runs.start[run] + spread.offset
+                first = spread.first[at]
+                again |= (doc != doc[first]) | (start != start[first])
+            for r, a in zip(spread.record[again].tolist(), spread.offset[again].tolist(), strict=True):
+                by_record.setdefault(r, []).append((a, a + 1))
         if by_record:
             wanted = np.zeros(len(runs.anchors), bool)
             wanted[list(by_record)] = True
@@ -308,7 +371,7 @@ def search_and_cut(docs: DataFrame, search: Search, finish: Callable[[bytes, np.
     total = docs.select(F.coalesce(F.sum(F.octet_length(body)), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-total // block_bytes))
     dealt = docs.select(F.col(id_col).cast("long").alias("id"), body.alias("text"), F.pmod(F.xxhash64(F.col(id_col), body), F.lit(blocks)).cast("long").alias("block"))
-    to_bucket, to_block = "bucket long, block long, data binary", "block long, bucket long, kind long, data binary"
+    to_bucket, to_block = "bucket long, block long, kind long, data binary", "block long, bucket long, kind long, data binary"
     # the same shuffle of the texts serves all three steps
     by_block = dealt.repartition("block").groupBy("block")
     judged = by_block.applyInArrow(_file_records(search, blocks), to_bucket).groupBy("bucket").applyInArrow(_judge_records(search), to_block)

@@ -18,26 +18,33 @@ starts earlier; an empty table gives no rows. Extra columns are not read.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from eventloom.llm import textkit as tk
-from eventloom.llm.repeats import Search, search_and_cut
+from eventloom.llm.repeats import MOST_CONTENTS, Search, search_and_cut
 
 WORDS = 20
 GRAM = 6
 
 
+@lru_cache(maxsize=2)
 def _names(text: bytes) -> np.ndarray:
     return tk.word_names(text)[2]
 
 
+def _part(text: bytes, start: int, count: int) -> np.ndarray:
+    return _names(text)[start : start + count]
+
+
 def _phrases(size: int):
     """What a block sends of a content: the names of its windows."""
 
-    def content(names: np.ndarray, text: bytes, start: int, count: int) -> bytes:
-        return tk.window_hash(tk.prefix_hash(names[start : start + count + size - 1]), size).tobytes()
+    def content(text: bytes, start: int, count: int) -> bytes:
+        return tk.window_hash(tk.prefix_hash(_part(text, start, count + size - 1)), size).tobytes()
 
     return content
 
@@ -55,8 +62,8 @@ def _factors(anchors: np.ndarray, counts: np.ndarray, contents: list[bytes], whe
     return order[later]
 
 
-def _search(words: int, gram: int) -> Search:
-    return Search(_names, words, gram, True, _phrases(words), _factors)
+def _search(words: int, gram: int, most_contents: int = MOST_CONTENTS) -> Search:
+    return Search(_names, _part, words, gram, True, most_contents, _phrases(words), _factors)
 
 
 def _finish(text: bytes, begin: np.ndarray, stop: np.ndarray) -> tuple:
@@ -69,8 +76,8 @@ def _finish(text: bytes, begin: np.ndarray, stop: np.ndarray) -> tuple:
     return len(starts), int(gone.sum()), spans, b" ".join(kept).decode()
 
 
-def drop_repeated_phrases(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, **options) -> DataFrame:
+def drop_repeated_phrases(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, most_contents: int = MOST_CONTENTS, **options) -> DataFrame:
     """id, n_words, n_removed, spans (removed stretches of words), kept_text (the kept words joined by one space), a row per input row."""
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     made = [("n_words", "long", pa.int64()), ("n_removed", "long", pa.int64()), ("spans", "array<struct<start: long, end: long>>", spans), ("kept_text", "string", pa.string())]
-    return search_and_cut(docs, _search(words, min(gram, words)), _finish, made, id_col, text_col, **options)
+    return search_and_cut(docs, _search(words, min(gram, words), most_contents), _finish, made, id_col, text_col, **options)

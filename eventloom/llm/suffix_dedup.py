@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from eventloom.llm import textkit as tk
-from eventloom.llm.repeats import Search, search_and_cut
+from eventloom.llm.repeats import MOST_CONTENTS, Search, search_and_cut
 
 SIZE = 400
 GRAM = 32
@@ -36,7 +36,7 @@ def _names(text: bytes) -> np.ndarray:
 
 
 def _bytes(size: int):
-    def content(names: np.ndarray, text: bytes, start: int, count: int) -> bytes:
+    def content(text: bytes, start: int, count: int) -> bytes:
         return text[start : start + count + size - 1]
 
     return content
@@ -68,12 +68,12 @@ def _ranked(size: int):
         first, last = tk.run_bounds(anchors[order])
         base = np.cumsum(counts) - counts
         found = []
-        # whole groups of one anchor, together up to some megabytes
+        # whole groups of one anchor, together about a megabyte
         group, held = [], 0
         for a, b in zip(first.tolist(), (last + 1).tolist(), strict=True):
             group.append(order[a:b])
             held += int(counts[order[a:b]].sum()) + size * (b - a)
-            if held >= 8 << 20:
+            if held >= 1 << 20:
                 found.append(_one(np.concatenate(group), counts, contents, base, size))
                 group, held = [], 0
         if group:
@@ -93,8 +93,8 @@ def _one(records: np.ndarray, counts: np.ndarray, contents: list[bytes], base: n
     return (np.repeat(base[records], n) + offset)[alive]
 
 
-def _search(size: int, gram: int) -> Search:
-    return Search(_names, size, gram, False, _bytes(size), _ranked(size))
+def _search(size: int, gram: int, most_contents: int = MOST_CONTENTS) -> Search:
+    return Search(_names, lambda text, start, count: _names(text[start : start + count]), size, gram, False, most_contents, _bytes(size), _ranked(size))
 
 
 def _finish(text: bytes, begin: np.ndarray, stop: np.ndarray) -> tuple:
@@ -106,8 +106,8 @@ def _finish(text: bytes, begin: np.ndarray, stop: np.ndarray) -> tuple:
     return len(text), int(gone.sum()), spans, np.frombuffer(text, np.uint8)[~gone].tobytes()
 
 
-def drop_repeated_bytes(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, **options) -> DataFrame:
+def drop_repeated_bytes(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, most_contents: int = MOST_CONTENTS, **options) -> DataFrame:
     """id, n_bytes, n_removed, spans (maximal removed runs of bytes), kept (the remaining bytes), a row per input row."""
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     made = [("n_bytes", "long", pa.int64()), ("n_removed", "long", pa.int64()), ("spans", "array<struct<start: long, end: long>>", spans), ("kept", "binary", pa.binary())]
-    return search_and_cut(docs, _search(size, min(gram, size)), _finish, made, id_col, text_col, **options)
+    return search_and_cut(docs, _search(size, min(gram, size), most_contents), _finish, made, id_col, text_col, **options)
