@@ -69,10 +69,13 @@ def schedule(targets: DataFrame, block_words: int) -> DataFrame:
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
     goals = (
-        targets.select(source_key("source").alias("key"), "source", "source_size", F.floor("target").cast("long").alias("goal"))
-        .withColumn("n_slots", F.ceil(F.col("goal") / F.lit(block_words)).cast("long"))
-        .withColumn("n_blocks", F.ceil(F.col("source_size") / F.lit(block_words)).cast("long"))
+        targets.select(source_key("source").alias("key"), "source", "source_size", F.floor(F.col("target") + 1e-6).cast("long").alias("goal"))
         .where("goal > 0")
+        .withColumn("n_blocks", F.ceil(F.col("source_size") / F.lit(block_words)).cast("long"))
+        # whole passes over the blocks, of which the last may be short, and the blocks of the pass that stops
+        .withColumn("whole", F.call_function("div", "goal", "source_size"))
+        .withColumn("n_slots", F.col("whole") * F.col("n_blocks") + F.ceil((F.col("goal") - F.col("whole") * F.col("source_size")) / F.lit(block_words)).cast("long"))
+        .drop("whole")
         .withColumn("upto", F.sum("goal").over(order) / F.sum("goal").over(Window.partitionBy()))
         .withColumn("since", F.lag("upto", 1, 0.0).over(order))
         .drop("source")
@@ -112,7 +115,7 @@ def source_key(source: str | Column) -> Column:
     return F.xxhash64(column.isNull(), column)
 
 
-def streamed(light: DataFrame, seed: int = 29, bucket_rows: int = 4096) -> DataFrame:
+def streamed(light: DataFrame, seed: int = 29, bucket_rows: int = 512) -> DataFrame:
     """A frame of doc_id, body, source, size with key, begin (the first word's place in the source's stream) and row (its number there in the bucket).
 
     Buckets are ranges of the seeded hash, so their order is the order of the stream.
@@ -127,7 +130,7 @@ def streamed(light: DataFrame, seed: int = 29, bucket_rows: int = 4096) -> DataF
     return drawn.withColumn("upto", upto).withColumn("row", F.row_number().over(order)).join(starts, ["key", "bucket"]).withColumn("begin", F.col("start") + F.col("upto") - F.col("size")).drop("draw", "words", "upto", "start")
 
 
-def mix(light: DataFrame, block_words: int = 2048, seed: int = 29, bucket_rows: int = 4096) -> tuple[DataFrame, DataFrame]:
+def mix(light: DataFrame, block_words: int = 2048, seed: int = 29, bucket_rows: int = 512) -> tuple[DataFrame, DataFrame]:
     """(documents, targets) of a frame of doc_id, body (a hash of the text), source, size.
 
     documents has a row per input row: its columns, key, and `passes`, an array of

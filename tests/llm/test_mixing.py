@@ -53,7 +53,7 @@ def test_targets_and_taken(make, rows, block):
         assert r.source_size == sizes[r.source] and abs(r.target - target[r.source]) < 1e-6 * max(1, target[r.source])
         assert 0 <= r.taken <= 2 * r.size
         taken[r.source] += r.taken
-    assert all(taken[s] == int(target[s] + 1e-9) for s in target)
+    assert [(s, taken[s], target[s]) for s in target if not 0 <= target[s] - taken[s] + 1e-6 < 1.00001] == []
 
 
 def test_reruns_agree(make):
