@@ -145,9 +145,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     repeated = repeated_fingerprints(keyed.select("fp"))
     verified = (
         keyed.join(repeated, "fp", "left_semi")
-        .groupBy("fp", "body")
+        .groupBy("body")  # not by fp, so that a hot fingerprint's rows are combined wherever the join has them
         .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .select("fp", F.sha2("body", 256).alias("text_sha256"), "keep_id", "group_size")
+        .select(F.xxhash64("body").alias("fp"), F.sha2("body", 256).alias("text_sha256"), "keep_id", "group_size")
     )
     light = keyed.select("doc_id", "fp", F.sha2("body", 256).alias("text_sha256"))
     return light.join(verified, ["fp", "text_sha256"], "left").select(
