@@ -1,12 +1,11 @@
-"""Substring deduplication by relative Lempel-Ziv parsing.
+"""Substring deduplication by looking phrases up in indexed reference blocks.
 
 The corpus is its own reference, in blocks: each index bucket holds the phrases of a range of
-anchors with their earliest places. A document is factored against every block that can hold
-its phrases: each window of `words` words is looked up, and windows whose earlier places follow
-one another are one factor. A factor of at least `words` words is a duplicate span. Where two
-factors meet, the windows across the boundary are looked up in their own right, so no duplicate
-is lost to the greedy cut. See :mod:`eventloom.llm.repeats` for how blocks and buckets exchange
-phrases.
+anchors with their earliest places, and a document is held against every block that can hold
+its phrases. This is the index of a relative Lempel-Ziv parse, but no greedy chain of factors is
+built: each window of `words` words is looked up on its own, which also covers the windows that
+would lie across factor boundaries, and the union of the windows found earlier are the duplicate
+spans. See :mod:`eventloom.llm.repeats` for how blocks and buckets exchange phrases.
 
 A word is removed if a window that covers it also starts earlier: in a document with a smaller id
 or earlier in the same one. The input decides, not what other removals leave.
