@@ -17,6 +17,7 @@ def local_session(name: str = "eventloom", cpus: int | str = "*", partitions: in
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", os.environ.get("EVENTLOOM_MEMORY", memory))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
