@@ -54,13 +54,18 @@ def forms(found: Column) -> Column:
         return (
             F.when(word.rlike(r"\p{N}"), F.lit(NUMBER))
             .when((at > 0) & word.rlike(r"^[^\p{L}]*\p{Lu}") & ~before.rlike(r"[.!?:;][^\p{L}\p{N}]*$"), F.lit(NAME))
-            .when((at > 0) & core.isin(UNITS) & before.rlike(r"\p{N}"), F.lit(UNIT))
+            .when((at > 0) & before.rlike(r"\p{N}") & core.isin(UNITS), F.lit(UNIT))
             .otherwise(core)
         )
 
     return F.transform(found, form)
 
 
+def _names(found: Column) -> Column:
+    """Each form hashed once, so that windows are hashed from numbers."""
+    return F.transform(found, lambda f: F.xxhash64(f))
+
+
 def slot_pattern(values: Column, kinds: Column) -> Column:
     """For each slot of a window the place of the first slot with the same value: equal patterns map values one to one."""
     core = F.transform(values, lambda w: F.lower(F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")))
@@ -82,7 +87,7 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, id_col: str =
         "item_id",
         "size",
         "start",
-        F.xxhash64("f").alias("h"),
+        F.xxhash64(_names(F.col("f"))).alias("h"),
         F.size(F.filter("f", lambda x: ~_is_slot(x))).alias("literal"),
         slot_pattern(F.col("w"), F.col("f")).alias("pattern"),
         F.xxhash64(F.transform("w", F.lower)).alias("exact"),
@@ -95,7 +100,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col:
     found = wanted.agg(F.count(F.lit(1)).alias("n"), F.collect_set("size").alias("sizes")).first()  # at most `window` sizes
     light = lambda f: F.broadcast(f) if found["n"] <= BROADCAST_WINDOWS else f.hint("merge")
     # words are a column of their own, as forms look at a word and the one before it
-    read = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("body"), words(text_col).alias("words")).withColumn("forms", forms(F.col("words")))
+    read = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("body"), words(text_col).alias("words")).withColumn("forms", _names(forms(F.col("words"))))
 
     def hashes(size: int) -> Column:
         last = F.size("forms") - size + 1
@@ -108,8 +113,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col:
     keys = wanted.select("h", "size").distinct()
     hits = read.select("id", "body", F.explode(windows).alias("x")).select("id", "body", "x.*").join(light(keys), ["h", "size"], "left_semi")
     hits = hits.groupBy("id", "body").agg(F.collect_set(F.struct("size", "at", "h")).alias("hits"))
-    again = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("body"), F.col(text_col).alias("text")).dropDuplicates(["id", "body"])
-    looked = again.join(hits, again["id"].eqNullSafe(hits["id"]) & (again["body"] == hits["body"])).select(again["id"], again["body"], words("text").alias("words"), "hits")
+    again = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("body"), F.col(text_col).alias("text"))
+    looked = again.join(hits, again["id"].eqNullSafe(hits["id"]) & (again["body"] == hits["body"])).select(again["id"], again["body"], "text", "hits").dropDuplicates(["id", "body"]).select("id", "body", words("text").alias("words"), "hits")
     looked = looked.withColumn("forms", forms(F.col("words")))
     cut = lambda c, x: F.slice(c, x["at"], x["size"])
     slots = F.transform("hits", lambda x: F.struct(x["size"].alias("size"), x["h"].alias("h"), slot_pattern(cut("words", x), cut("forms", x)).alias("has"), F.xxhash64(F.transform(cut("words", x), F.lower)).alias("is")))
