@@ -45,8 +45,10 @@ BUCKET_ROWS = 4096
 ROW_COST, PAIR_COST = 100.0, 1.0
 #: The seed of the hashes of shingles.
 SEED = 42
-#: Words of 64 bits in the sketch that verifies similarity, and bits in which candidates' fingerprints may differ.
+#: Words of 64 bits in the sketch that prunes candidates, and bits in which candidates' fingerprints may differ.
 SKETCH, CANDIDATE_BITS = 4, 7
+#: Texts, and shingles of them, of one candidate class that are compared in one piece (about half of it a block).
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 19
 
 
 def fingerprint(data: bytes, words: int = 3) -> int:
@@ -73,6 +75,14 @@ def _votes(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)).view(">u8").astype(np.uint64)
 
 
+def shingle_set(data: bytes, words: int) -> np.ndarray:
+    """The distinct 64-bit hashes, sorted, of the shingles of a lower-cased UTF-8 text."""
+    found = data.lower().split()
+    digest = xxhash.xxh64_intdigest
+    hashes = {digest(b" ".join(found[i : i + words]), SEED) for i in range(max(1, len(found) - words + 1))}
+    return np.sort(np.fromiter(hashes, np.uint64, len(hashes)))
+
+
 def sketches(data: bytes, words: int) -> tuple[int, np.ndarray]:
     """(fingerprint of the set of words, 256-bit SimHash of the set of word shingles) of a UTF-8 text.
 
@@ -88,9 +98,9 @@ def sketches(data: bytes, words: int) -> tuple[int, np.ndarray]:
 
 
 def most_bits(similarity: float) -> int:
-    """The bits of SKETCH * 64 in which shingle sets of this Jaccard similarity may differ, with the estimate's spread allowed for."""
+    """The bits of SKETCH * 64 in which shingle sets of this Jaccard similarity may differ, with six deviations of the estimate allowed for."""
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(64 * SKETCH * share + 1.3 * np.sqrt(64 * SKETCH * share * (1 - share)))
+    return int(64 * SKETCH * share + 6 * np.sqrt(64 * SKETCH * share * (1 - share)))
 
 
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -309,29 +319,108 @@ def _classes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return rooted.join(rooted.groupBy("root").agg(F.min("first").alias("least")), "root").select("node", "least")
 
 
+def exact_links(sets: list[np.ndarray], similarity: float, block: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Spanning edges of the sets whose Jaccard similarity is `similarity` or more; with `block`, of pairs from different blocks alone.
+
+    Pairs that are already joined are not compared again: they add nothing to the components.
+    """
+    sizes = np.array([len(s) for s in sets])
+    order = np.argsort(sizes, kind="stable")
+    sizes = sizes[order]
+    block = None if block is None else block[order]
+    ends = np.cumsum(sizes)
+    names, dense = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+    parts = np.split(dense, ends[:-1])
+    mark = np.zeros(len(names), bool)
+    root = np.arange(len(sets))
+    edges = []
+    for i in range(len(sets) - 1):
+        last = np.searchsorted(sizes, sizes[i] / similarity + 1e-9, "right")
+        rest = np.arange(i + 1, last)
+        rest = rest[(root[rest] != root[i]) & (True if block is None else block[rest] != block[i])]
+        if not len(rest):
+            continue
+        mark[parts[i]] = True
+        shared = np.array([np.count_nonzero(mark[parts[j]]) for j in rest])
+        mark[parts[i]] = False
+        for j in rest[shared * (1 + similarity) >= similarity * (sizes[i] + sizes[rest]) - 1e-9]:
+            if root[j] != root[i]:
+                edges.append((int(order[i]), int(order[j])))
+                root[root == root[j]] = root[i]
+    return edges
+
+
+def _exact(rows: DataFrame, similarity: float) -> DataFrame:
+    """Edges (u, v) that join the nodes of `rows` (node, root, shingles: the bytes of a sorted set) with an exact similarity, within each root.
+
+    A class with many texts or long ones is cut into blocks and searched by pairs of blocks.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        node = table["node"].to_numpy()
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in table["shingles"]]
+        block = table["block"].to_numpy() if table["low"][0].as_py() != table["high"][0].as_py() else None
+        edges = exact_links(sets, similarity, block) if len(sets) > 1 else []
+        return pa.table({"u": pa.array([node[i] for i, _ in edges], pa.int64()), "v": pa.array([node[j] for _, j in edges], pa.int64())})
+
+    totals = rows.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("shingles") / 8).alias("size")).where("n > 1")
+    pieces = (
+        rows.join(totals, "root")
+        .withColumn("blocks", F.greatest(F.ceil(F.col("n") / F.lit(BLOCK_ROWS)), F.ceil(F.col("size") / F.lit(BLOCK_SHINGLES))).cast("int"))
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "shingles")
+    )
+    return pieces.groupBy("root", "low", "high").applyInArrow(run, "u long, v long")
+
+
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and class_id (the smallest doc_id of the documents that links join), a row per input row.
 
-    Candidates are documents whose fingerprints of single words differ in CANDIDATE_BITS bits at
-    most; they are linked if the sketches of their shingles of `words` words allow for a Jaccard
-    similarity of at least `similarity`. Equal texts are always linked.
+    Two documents are linked if the exact Jaccard similarity of their sets of shingles of `words`
+    words is at least `similarity`. Candidates are documents whose fingerprints of single words
+    differ in CANDIDATE_BITS bits at most, less those that the sketches rule out; their components
+    are the classes within which shingle sets are compared, so no pair of candidates is left out.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["fp", *(f"s{i}" for i in range(SKETCH))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [sketches(x.as_py() or b"", words) for x in batch.column(1).cast(pa.large_binary())]
+            texts = [x.as_py() or b"" for x in batch.column(2).cast(pa.large_binary())]
+            made = [sketches(x, words) for x in texts]
+            node = np.array([_node(shingle_set(x, words)) for x in texts], np.uint64).view(np.int64)
             values = np.array([[fp, *sketch.tolist()] for fp, sketch in made], np.uint64).reshape(-1, 1 + SKETCH).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(values[:, i])) for i in range(1 + SKETCH))], ["doc_id", *names])
-
-    read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = materialised(read.mapInArrow(run, ", ".join([f"doc_id {kind}", *(f"{c} long" for c in names)])).withColumn("node", F.xxhash64(*names)))
-    distinct = materialised(rows.groupBy("node", *names).agg(F.min("doc_id").alias("first")))
-    classes = _classes(distinct.select("node", "first"), links(distinct.drop("first"), CANDIDATE_BITS, most_bits(similarity)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), *(pa.array(np.ascontiguousarray(values[:, i])) for i in range(1 + SKETCH))], ["doc_id", "body", "node", *names])
+
+    read = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("body"), F.col(text_col).alias("text"))
+    rows = materialised(read.mapInArrow(run, ", ".join([f"doc_id {kind}", "body long", "node long", *(f"{c} long" for c in names)])))
+    # equal shingle sets are one node, whichever of its texts stands for it
+    distinct = materialised(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "body", *names)).alias("x")).select("node", "first", F.col("x.doc_id").alias("of"), "x.body", *(f"x.{c}" for c in names)))
+    candidates = components(links(distinct.select("fp", "node", *names[1:]), CANDIDATE_BITS, most_bits(similarity)))
+    edges = _exact(_with_shingles(read, distinct, candidates, words), similarity)
+    classes = _classes(distinct.select("node", "first"), edges)
     return rows.select("doc_id", "node").join(classes, "node").select("doc_id", F.col("least").alias("class_id"))
 
 
+def _node(shingles: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(shingles.tobytes(), SEED)
+
+
+def _with_shingles(read: DataFrame, distinct: DataFrame, candidates: DataFrame, words: int) -> DataFrame:
+    """node, root, shingles of the nodes in candidate classes, made again from one text of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [shingle_set(x.as_py() or b"", words).tobytes() for x in batch.column(2).cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], ["node", "root", "shingles"])
+
+    roots = candidates.unionByName(candidates.select(F.col("root").alias("node"), "root").distinct())
+    wanted = distinct.select("node", "of", "body").join(roots, "node").withColumnRenamed("body", "same")
+    texts = read.join(wanted, read["doc_id"].eqNullSafe(wanted["of"]) & (read["body"] == wanted["same"])).dropDuplicates(["node"])
+    return materialised(texts.select("node", "root", "text").mapInArrow(run, "node long, root long, shingles binary"))
+
+
 def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` with the smallest id of their class, with all their columns."""
     stay = similar_documents(docs, words, similarity, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__stay")).distinct()

@@ -127,3 +127,40 @@ def test_similar_documents_link_light_edits_only(make):
     df = make([(1, " ".join(words)), (2, " ".join(edited)), (3, " ".join(other)), (4, " ".join(half)), (5, " ".join(words)), (6, None), (7, "")])
     assert {r.doc_id: r.class_id for r in simhash.similar_documents(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 1, 6: 6, 7: 6}
     assert sorted(r.doc_id for r in simhash.drop_similar(df).collect()) == [1, 3, 4, 6]
+
+
+def made_and_exact(make, rows):
+    """Classes of documents as made, and by brute force over exact shingle sets at 0.8."""
+    sets = {i: {tuple(t.lower().split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for i, t in rows}
+    root = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = {k: min(a, b) if r in (a, b) else r for k, r in root.items()}
+    return {r.doc_id: r.class_id for r in simhash.similar_documents(make(rows)).collect()}, root
+
+
+def changed(words, every):
+    return " ".join("other" if k % every == every // 2 else w for k, w in enumerate(words))
+
+
+def test_linked_documents_have_the_exact_similarity(make, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = []
+    for group in range(12):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 300)]
+        rows += [(10 * group, " ".join(words)), *((10 * group + k, changed(words, every)) for k, every in enumerate((25, 30, 35, 40, 60, 100), 1))]
+    found, expected = made_and_exact(make, rows)
+    assert found == expected and len(set(expected.values())) > 12
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 2)
+    assert made_and_exact(make, rows)[0] == expected
+
+
+def test_exact_links_are_complete():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 12, 9)).astype(np.uint64) for _ in range(60)]
+    near = [(i, j) for i in range(60) for j in range(i) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))]
+    for edges in (simhash.exact_links(sets, 0.8), near):
+        nodes, roots = forest(*np.array(edges).T)
+        assert dict(zip(nodes, roots, strict=True)) == dict(zip(*forest(*np.array(near).T), strict=True))
