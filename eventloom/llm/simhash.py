@@ -45,11 +45,14 @@ BUCKET_ROWS = 4096
 ROW_COST, PAIR_COST = 100.0, 1.0
 #: The seed of the hashes of shingles.
 SEED = 42
-#: Words of 64 bits in the sketch that prunes candidates, and bits in which candidates' fingerprints may differ.
-SKETCH, CANDIDATE_BITS = 4, 7
+#: Bands of a text's least shingle hashes and hashes a band. Texts of similarity s share no band with a probability of
+#: (1 - s ** DEPTH) ** BANDS: 1.3e-7 at 0.8, below 1e-15 at 0.9.
+BANDS, DEPTH = 40, 5
 #: Texts, and shingles of them, of one candidate class that are compared in one piece (about half of it a block).
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 19
 
+_ORDERS = np.random.default_rng(SEED).integers(0, 1 << 64, BANDS * DEPTH, dtype=np.uint64)
+
 
 def fingerprint(data: bytes, words: int = 3) -> int:
     """The 64-bit SimHash of a UTF-8 text."""
@@ -69,12 +72,6 @@ def fingerprint(data: bytes, words: int = 3) -> int:
     return int(np.packbits(ones * 2 > n).view(">u8")[0])
 
 
-def _votes(hashes: np.ndarray) -> np.ndarray:
-    """The bits (highest of each hash first) that over half of the rows of `hashes` have."""
-    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(len(hashes), -1), axis=1)
-    return np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)).view(">u8").astype(np.uint64)
-
-
 def shingle_set(data: bytes, words: int) -> np.ndarray:
     """The distinct 64-bit hashes, sorted, of the shingles of a lower-cased UTF-8 text."""
     found = data.lower().split()
@@ -83,24 +80,15 @@ def shingle_set(data: bytes, words: int) -> np.ndarray:
     return np.sort(np.fromiter(hashes, np.uint64, len(hashes)))
 
 
-def sketches(data: bytes, words: int) -> tuple[int, np.ndarray]:
-    """(fingerprint of the set of words, 256-bit SimHash of the set of word shingles) of a UTF-8 text.
-
-    The first finds candidates: it hardly moves when a few words change. The second, of four
-    differently mixed hashes of each shingle, estimates the angle between the shingle sets.
-    """
-    found = data.lower().split()
-    single = {xxhash.xxh64_intdigest(w, SEED) for w in found} or {0}
-    shingles = {xxhash.xxh64_intdigest(b" ".join(found[i : i + words]), SEED) for i in range(max(1, len(found) - words + 1))}
-    hashes = np.fromiter(shingles, np.uint64, len(shingles))
-    wide = np.stack([mix64(hashes + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)) for k in range(SKETCH)], axis=1)
-    return int(_votes(np.fromiter(single, np.uint64, len(single))[:, None])[0]), _votes(wide)
-
-
-def most_bits(similarity: float) -> int:
-    """The bits of SKETCH * 64 in which shingle sets of this Jaccard similarity may differ, with six deviations of the estimate allowed for."""
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(64 * SKETCH * share + 6 * np.sqrt(64 * SKETCH * share * (1 - share)))
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """BANDS names, each of the least of the shingles in DEPTH random orders of its own."""
+    least = np.full(BANDS * DEPTH, np.iinfo(np.uint64).max)
+    for at in range(0, len(shingles), 1024):
+        least = np.minimum(least, mix64(shingles[None, at : at + 1024] ^ _ORDERS[:, None]).min(axis=1))
+    folded = np.arange(BANDS, dtype=np.uint64)
+    for k in range(DEPTH):
+        folded = mix64(folded * np.uint64(0x9E3779B97F4A7C15) + least[k::DEPTH])
+    return folded
 
 
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,11 +215,11 @@ def _filed(plan: list[tuple[list[int], int]], names: list[str]):
     return run
 
 
-def _linked(k: int, names: list[str], most: int):
-    """Spanning edges of the rows within k bits (and, where there are sketches, `most` bits of these) of each other in each piece of a bucket; rows come sorted by piece."""
+def _linked(k: int):
+    """Spanning edges of the rows within k bits of each other in each piece of a bucket; rows come sorted by piece."""
 
     def edges(piece: np.ndarray, own: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        node, values, sketch = columns[1], columns[0].view(np.uint64), [c.view(np.uint64) for c in columns[2:]]
+        node, values = columns[1], columns[0].view(np.uint64)
         left, right, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
         at = np.arange(len(node))
         step = 1
@@ -241,8 +229,6 @@ def _linked(k: int, names: list[str], most: int):
             if not len(at):
                 break
             near = at[(own[at] | own[at + step]) & (np.bitwise_count(values[at] ^ values[at + step]) <= k)]
-            if sketch and len(near):
-                near = near[sum(np.bitwise_count(c[near] ^ c[near + step]).astype(np.int64) for c in sketch) <= most]
             left.append(node[near])
             right.append(node[near + step])
             held += len(near)
@@ -252,7 +238,7 @@ def _linked(k: int, names: list[str], most: int):
             step += 1
         return forest(np.concatenate(left), np.concatenate(right))
 
-    columns = ["part", "key", "low", "high", "own", *names]
+    columns = ["part", "key", "low", "high", "own", "fp", "node"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -284,13 +270,12 @@ def _starts(keys: list[np.ndarray]) -> np.ndarray:
     return new
 
 
-def links(rows: DataFrame, k: int = 3, most: int = 0) -> DataFrame:
+def links(rows: DataFrame, k: int = 3) -> DataFrame:
     """Edges (u, v) of nodes that join the rows within k bits of each other into the same components.
 
-    `rows` holds distinct fp (fingerprint) and node (long, names the row); more long columns are
-    its sketch, of which two linked rows differ in at most `most` bits.
+    `rows` holds distinct fp (fingerprint) and node (long, names the row).
     """
-    names = ["fp", "node", *(c for c in rows.columns if c not in ("fp", "node"))]
+    names = ["fp", "node"]
     n, both = bit_statistics(rows)
     filed = rows.select(*names).mapInArrow(_filed(allocate(n, both, k), names), ", ".join(["part int, key long, own boolean", *(f"{c} long" for c in names)]))
     sizes = filed.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("some")).where("n > 1 and some")
@@ -301,7 +286,7 @@ def links(rows: DataFrame, k: int = 3, most: int = 0) -> DataFrame:
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("part", "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "own", *names)
     )
-    return pieces.repartition("part", "key", "low", "high").sortWithinPartitions("part", "key", "low", "high").mapInArrow(_linked(k, names, most), "u long, v long")
+    return pieces.repartition("part", "key", "low", "high").sortWithinPartitions("part", "key", "low", "high").mapInArrow(_linked(k), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, k: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -378,33 +363,35 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     """doc_id and class_id (the smallest doc_id of the documents that links join), a row per input row.
 
     Two documents are linked if the exact Jaccard similarity of their sets of shingles of `words`
-    words is at least `similarity`. Candidates are documents whose fingerprints of single words
-    differ in CANDIDATE_BITS bits at most, less those that the sketches rule out; their components
-    are the classes within which shingle sets are compared, so no pair of candidates is left out.
+    words is at least `similarity`. Candidates are documents with an equal band of least shingle
+    hashes (see BANDS); their components are the classes within which shingle sets are compared,
+    so no pair of candidates is left out.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    names = ["fp", *(f"s{i}" for i in range(SKETCH))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x.as_py() or b"" for x in batch.column(2).cast(pa.large_binary())]
-            made = [sketches(x, words) for x in texts]
-            node = np.array([_node(shingle_set(x, words)) for x in texts], np.uint64).view(np.int64)
-            values = np.array([[fp, *sketch.tolist()] for fp, sketch in made], np.uint64).reshape(-1, 1 + SKETCH).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), *(pa.array(np.ascontiguousarray(values[:, i])) for i in range(1 + SKETCH))], ["doc_id", "body", "node", *names])
+            sets = [shingle_set(x.as_py() or b"", words) for x in batch.column(2).cast(pa.large_binary())]
+            node = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+            keys = np.array([band_keys(x) for x in sets], np.uint64).reshape(-1).view(np.int64)
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(keys))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), bands], ["doc_id", "body", "node", "bands"])
 
     read = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("body"), F.col(text_col).alias("text"))
-    rows = materialised(read.mapInArrow(run, ", ".join([f"doc_id {kind}", "body long", "node long", *(f"{c} long" for c in names)])))
+    rows = materialised(read.mapInArrow(run, f"doc_id {kind}, body long, node long, bands array<long>"))
     # equal shingle sets are one node, whichever of its texts stands for it
-    distinct = materialised(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "body", *names)).alias("x")).select("node", "first", F.col("x.doc_id").alias("of"), "x.body", *(f"x.{c}" for c in names)))
-    candidates = components(links(distinct.select("fp", "node", *names[1:]), CANDIDATE_BITS, most_bits(similarity)))
+    distinct = materialised(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "body", "bands")).alias("x")).select("node", "first", F.col("x.doc_id").alias("of"), "x.body", "x.bands"))
+    candidates = components(_sharing(distinct))
     edges = _exact(_with_shingles(read, distinct, candidates, words), similarity)
     classes = _classes(distinct.select("node", "first"), edges)
     return rows.select("doc_id", "node").join(classes, "node").select("doc_id", F.col("least").alias("class_id"))
 
 
-def _node(shingles: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(shingles.tobytes(), SEED)
+def _sharing(distinct: DataFrame) -> DataFrame:
+    """Edges (u, v) from each node (with its bands) to the smallest node of every band it shares."""
+    filed = distinct.select("node", F.explode("bands").alias("band"))
+    shared = filed.groupBy("band").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return filed.join(shared, "band").where("node <> v").select(F.col("node").alias("u"), "v")
 
 
 def _with_shingles(read: DataFrame, distinct: DataFrame, candidates: DataFrame, words: int) -> DataFrame:

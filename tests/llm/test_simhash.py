@@ -164,3 +164,15 @@ def test_exact_links_are_complete():
     for edges in (simhash.exact_links(sets, 0.8), near):
         nodes, roots = forest(*np.array(edges).T)
         assert dict(zip(nodes, roots, strict=True)) == dict(zip(*forest(*np.array(near).T), strict=True))
+
+
+def test_appended_and_truncated_copies_are_found(make):
+    rng = np.random.default_rng(7)
+    rows = []
+    for group in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 200 + 10 * group)]
+        n = len(words)
+        rows += [(10 * group, " ".join(words)), (10 * group + 1, " ".join(words[: n * 85 // 100]))]
+        rows += [(10 * group + k, " ".join([*words, *(f"v{x}" for x in rng.integers(0, 10**6, n * share // 100))])) for k, share in ((2, 10), (3, 20))]
+    found, expected = made_and_exact(make, rows)
+    assert found == expected and len(set(expected.values())) == 40
