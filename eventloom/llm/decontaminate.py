@@ -7,11 +7,14 @@ a number) and names (a capitalised word that does not start a sentence). Windows
 counts if its slots are consistent: equal values in the item's slots stand for equal values in
 the document's, and different ones for different ones, so a question with other numbers and names
 is found, while a chance match of placeholders is not. Benchmark windows that are mostly
-placeholders match too much and only count with their own values.
+placeholders match too much and only count with their own values. A window of the same words also
+counts, whatever their case, as capitals alone would make names of a whole passage.
 
 Scale: documents are read as they lie and never shuffled to find matches, as long as the benchmark's windows
 (BROADCAST_WINDOWS at most, counted first) fit in memory everywhere; a larger benchmark is
-joined by shuffle. Only matching documents are looked at again for their slots.
+joined by shuffle. Only matching documents are looked at again for their slots. Windows of equal
+words are found by shorter grams at every few places of a document, of which each window holds
+one; only documents with a gram of the benchmark have all their windows compared.
 
 Edge cases: a null or empty text or item matches nothing; items with fewer than MIN_FORMS forms are
 too short to tell and match nothing; rows that repeat a doc_id and text are judged alike; an empty benchmark
@@ -45,12 +48,17 @@ def words(text: str | Column) -> Column:
     return F.filter(F.split(text_or_empty(text), SPACES), lambda w: w.rlike(r"[\p{L}\p{N}]"))
 
 
-def forms(found: Column) -> Column:
-    """The canonical forms of an array of words."""
+def cores(found: Column) -> Column:
+    """An array of words in lower case, without outer punctuation."""
+    return F.transform(found, lambda w: F.lower(F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")))
+
+
+def forms(found: Column, plain: Column) -> Column:
+    """The canonical forms of an array of words with these cores."""
 
     def form(word: Column, at: Column) -> Column:
         before = F.get(found, at - 1)
-        core = F.lower(F.regexp_replace(word, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+        core = F.get(plain, at)
         return (
             F.when(word.rlike(r"\p{N}"), F.lit(NUMBER))
             .when((at > 0) & word.rlike(r"^[^\p{L}]*\p{Lu}") & ~before.rlike(r"[.!?:;][^\p{L}\p{N}]*$"), F.lit(NAME))
@@ -68,8 +76,7 @@ def _names(found: Column) -> Column:
 
 def slot_pattern(values: Column, kinds: Column) -> Column:
     """For each slot of a window the place of the first slot with the same value: equal patterns map values one to one."""
-    core = F.transform(values, lambda w: F.lower(F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")))
-    slots = F.transform(core, lambda w, i: F.when(_is_slot(F.get(kinds, i)), w).otherwise(F.lit("")))
+    slots = F.transform(cores(values), lambda w, i: F.when(_is_slot(F.get(kinds, i)), w).otherwise(F.lit("")))
     return F.transform(slots, lambda w: F.when(w == "", F.lit(0).cast("long")).otherwise(F.array_position(slots, w)))
 
 
@@ -77,10 +84,16 @@ def _is_slot(form: Column) -> Column:
     return form.isin(NUMBER, UNIT, NAME)
 
 
+def _grams(size: int) -> tuple[int, int]:
+    """(length, step): every window of `size` words holds a gram of this length that starts at a multiple of the step."""
+    length = size // 2 + 1
+    return length, size - length + 1
+
+
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """item_id, size, start, h (the hash of the window's forms), literal, pattern, exact (the hash of its lower-cased words)."""
+    """item_id, size, start, h (the hash of the window's forms), literal, pattern, exact (the hash of its lower-cased words), plain (the hashes of its words' cores)."""
     items = benchmark.select(F.col(id_col).alias("item_id"), words(text_col).alias("words")).where(F.size("words") >= MIN_FORMS)
-    items = items.withColumn("forms", forms(F.col("words"))).withColumn("size", F.least(F.size("words"), F.lit(window)))
+    items = items.withColumn("cores", cores(F.col("words"))).withColumn("forms", forms(F.col("words"), F.col("cores"))).withColumn("size", F.least(F.size("words"), F.lit(window)))
     rows = items.withColumn("start", F.explode(F.sequence(F.lit(1), F.size("words") - F.col("size") + 1)))
     cut = rows.withColumn("f", F.slice("forms", F.col("start"), F.col("size"))).withColumn("w", F.slice("words", F.col("start"), F.col("size")))
     return cut.select(
@@ -91,6 +104,7 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, id_col: str =
         F.size(F.filter("f", lambda x: ~_is_slot(x))).alias("literal"),
         slot_pattern(F.col("w"), F.col("f")).alias("pattern"),
         F.xxhash64(F.transform("w", F.lower)).alias("exact"),
+        _names(F.slice("cores", F.col("start"), F.col("size"))).alias("plain"),
     )
 
 
@@ -100,27 +114,39 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col:
     found = wanted.agg(F.count(F.lit(1)).alias("n"), F.collect_set("size").alias("sizes")).first()  # at most `window` sizes
     light = lambda f: F.broadcast(f) if found["n"] <= BROADCAST_WINDOWS else f.hint("merge")
     # words are a column of their own, as forms look at a word and the one before it
-    read = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("body"), words(text_col).alias("words")).withColumn("forms", _names(forms(F.col("words"))))
+    read = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("body"), words(text_col).alias("words"))
+    read = read.withColumn("cores", cores(F.col("words"))).withColumn("forms", _names(forms(F.col("words"), F.col("cores")))).withColumn("plain", _names(F.col("cores")))
 
-    def hashes(size: int) -> Column:
-        last = F.size("forms") - size + 1
-        starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(F.lit(size).alias("size"), i.alias("at"), F.xxhash64(F.slice("forms", i, F.lit(size))).alias("h")))
+    def hashes(kind: str, size: int, step: int = 1, name: int = 0) -> Column:
+        last = F.size(kind) - size + 1
+        starts = F.when(last >= 1, F.sequence(F.lit(1), last, F.lit(step))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(F.lit(name or size).alias("size"), i.alias("at"), F.xxhash64(F.slice(kind, i, F.lit(size))).alias("h")))
 
     if not found["sizes"]:
         return docs.select(F.col(id_col).alias("id"), F.lit(0).cast("long").alias("body"), F.lit(None).cast(benchmark.schema[item_col].dataType).alias("item_id"), F.lit(0).cast("long").alias("n_windows")).limit(0)
-    windows = F.concat(*[hashes(s) for s in sorted(found["sizes"])])
-    keys = wanted.select("h", "size").distinct()
+    sizes = sorted(found["sizes"])
+    # the grams of windows of a size go by the size below zero
+    windows = F.concat(*[hashes("forms", s) for s in sizes], *[hashes("plain", *_grams(s), -s) for s in sizes])
+    keys = wanted.select("h", "size")
+    for s in sizes:
+        length, step = _grams(s)
+        grams = F.array(*[F.xxhash64(F.slice("plain", i + 1, length)) for i in range(step)])
+        keys = keys.unionByName(wanted.where(F.col("size") == s).select(F.explode(grams).alias("h"), F.lit(-s).alias("size")))
+    keys = keys.distinct()
     hits = read.select("id", "body", F.explode(windows).alias("x")).select("id", "body", "x.*").join(light(keys), ["h", "size"], "left_semi")
     hits = hits.groupBy("id", "body").agg(F.collect_set(F.struct("size", "at", "h")).alias("hits"))
     again = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("body"), F.col(text_col).alias("text"))
     looked = again.join(hits, again["id"].eqNullSafe(hits["id"]) & (again["body"] == hits["body"])).select(again["id"], again["body"], "text", "hits").dropDuplicates(["id", "body"]).select("id", "body", words("text").alias("words"), "hits")
-    looked = looked.withColumn("forms", forms(F.col("words")))
+    looked = materialised(looked.withColumn("cores", cores(F.col("words"))))
+    again = looked.where(F.exists("hits", lambda x: x["size"] < 0)).select("id", "body", _names(F.col("cores")).alias("plain"))
+    equal = again.select("id", "body", F.explode(F.concat(*[hashes("plain", s) for s in sizes])).alias("x")).select("id", "body", "x.size", "x.h")
+    equal = equal.join(light(wanted.select("item_id", "start", "size", F.xxhash64("plain").alias("h"))), ["h", "size"]).select("id", "body", "item_id", "start")
+    looked = looked.withColumn("hits", F.filter("hits", lambda x: x["size"] > 0)).where(F.size("hits") > 0).withColumn("forms", forms(F.col("words"), F.col("cores")))
     cut = lambda c, x: F.slice(c, x["at"], x["size"])
     slots = F.transform("hits", lambda x: F.struct(x["size"].alias("size"), x["h"].alias("h"), slot_pattern(cut("words", x), cut("forms", x)).alias("has"), F.xxhash64(F.transform(cut("words", x), F.lower)).alias("is")))
     checked = looked.select("id", "body", F.explode(slots).alias("x")).select("id", "body", "x.*").join(light(wanted), ["h", "size"])
     consistent = (F.col("has") == F.col("pattern")) & ((F.col("literal") >= MIN_LITERAL) | (F.col("is") == F.col("exact")))
-    return checked.where(consistent).groupBy("id", "body", "item_id").agg(F.countDistinct("start").alias("n_windows"))
+    return checked.where(consistent).select("id", "body", "item_id", "start").unionByName(equal).groupBy("id", "body", "item_id").agg(F.countDistinct("start").alias("n_windows"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -69,3 +69,12 @@ def test_query_finds_whole_passages(spark, data):
     whole = {i for i, t in docs.items() if any(x in " ".join(t.split()) for x in flat)}
     found = {r.doc_id for r in queries.op6_decontaminate(spark, data).where("contaminated").collect()}
     assert whole <= found and len(found - whole) <= 0.02 * len(docs)
+
+
+def test_case_does_not_hide_a_passage(make, spark):
+    shouted = ITEMS[1][1].upper()
+    texts = [shouted, "Before it. " + ITEMS[0][1].title() + " After it.", "so: SEVEN LITTLE WORDS STAND IN THIS ITEM", " ".join(shouted.split()[2:10]), "x " + " ".join(shouted.split()[3:10]), "a a a " + ITEMS[0][1].lower()]
+    assert flagged(make, texts, spark) == {0: [2], 1: [1], 2: [5], 3: [2], 5: [1]}
+    for before in range(9):
+        text = " ".join(["fill"] * before + shouted.split()[4:12] + ["end"])
+        assert flagged(make, [text], spark) == {0: [2]}
