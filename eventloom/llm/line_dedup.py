@@ -1,22 +1,19 @@
 """Line deduplication over a suffix array of line ids, in DataFrame and SQL functions alone.
 
 Every document is the sequence of the ids (64-bit hashes) of its lines that are not blank. The
-suffixes of all sequences are ranked by prefix doubling: a position's rank for its first h lines
-and that of the position h lines on form a pair; Spark sorts the pairs that occur more than once
-and their order is the rank for 2 h lines. Positions whose pair is unique drop out, so each round
-is smaller than the one before, and the doubling ends at `min_lines`. Positions that then share
+suffixes of all sequences are ranked by prefix doubling (see :mod:`eventloom.llm.ranks`) up to `min_lines`. Positions that then share
 a rank are an interval of the suffix array whose longest common prefix is at least `min_lines`
 lines: all but the earliest (by doc_id, then place) are later copies. Neighbouring copies join to
 maximal runs, which are deleted; blank lines stay.
 
 Skew: counting combines before the shuffle, so a line that stands in every document is one row
-per task; the join that hands ranks back is an equality join whose large partitions adaptive
-execution splits. Each round's ranks are written to the shared folder, as a lost executor must
-not change them.
+per task, and hot ranks are handed back by a bounded broadcast.
 
 Edge cases: a null or empty text has one (blank) line and keeps its text; documents with fewer
-lines than a run lose nothing; rows with the same doc_id and text count as one document; a null
-doc_id comes after all others; an empty table gives no rows. Extra columns are not read.
+lines than a run lose nothing; very long texts and texts of very many lines are treated whole, in time that grows with
+their length; rows with the same doc_id and text count as one document; a null
+doc_id comes after all others; an empty table gives no rows. Extra columns are not read. Lines are told apart by their
+ids alone: two different lines with one id would count as equal.
 """
 
 from __future__ import annotations
@@ -24,67 +21,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import materialised, text_or_empty
+from eventloom.llm import ranks
+from eventloom.llm.common import text_or_empty
 
 MIN_LINES = 3
+FULL = r"[^\x20\x09-\x0D]"
 
 
 def _lines(text: str) -> Column:
     return F.split(text_or_empty(text), "\n")
 
 
-def _full_lines(text: str) -> Column:
-    """(at, line) of the lines that are not blank, in order."""
-    return F.filter(F.transform(_lines(text), lambda line, at: F.struct(at.alias("at"), line.alias("line"))), lambda x: x["line"].rlike(r"[^\x20\x09-\x0D]"))
+def positions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, body (a hash of the text), pos (number among the lines that are not blank), at (number among all), rank (the line's id)."""
+    full = F.filter(F.transform(_lines(text_col), lambda line, at: F.struct(at.alias("at"), F.when(line.rlike(FULL), F.xxhash64(line)).alias("rank"))), lambda x: x["rank"].isNotNull())
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("body"), F.posexplode(full).alias("pos", "x")).select("id", "body", "pos", "x.at", "x.rank")
 
 
-def positions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, body (a hash of the text), pos (number among the lines that are not blank), rank (the line's id)."""
-    ids = F.transform(_full_lines(text_col), lambda x: F.xxhash64(x["line"]))
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("body"), F.posexplode(ids).alias("pos", "rank"))
-    return rows
-
-
-def repeated_positions(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, body, pos of the later copies: positions whose next `min_lines` lines also start earlier."""
-    rows = positions(docs, id_col, text_col).dropDuplicates(["id", "body", "pos"])
-    counted = materialised(rows.groupBy("rank").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rank"))
-    rows = rows.join(counted, "rank", "left_semi")
-    h = 1
-    while h < min_lines:
-        step = min(h, min_lines - h)
-        ahead = Window.partitionBy("id", "body").orderBy("pos").rangeBetween(step, step)
-        paired = materialised(rows.withColumn("after", F.max("rank").over(ahead)).where("after is not null"))
-        pairs = paired.groupBy("rank", "after").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rank", "after")
-        ranked = materialised(pairs.orderBy("rank", "after").select("rank", "after", F.monotonically_increasing_id().alias("next")))
-        rows = paired.join(ranked, ["rank", "after"]).select("id", "body", "pos", F.col("next").alias("rank"))
-        h += step
+def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, body, first, last (numbers among all lines), n (lines that are not blank) of the maximal runs of later copies: lines in `min_lines` lines that also start earlier."""
+    sequence = ["id", "body"]
+    rows = positions(docs, id_col, text_col).dropDuplicates([*sequence, "pos"])
+    rows, total = ranks.repeated(rows, sequence, min_lines)
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "pos", "body")
-    earliest = rows.groupBy("rank").agg(F.min(place).alias("first"))
+    earliest = rows.groupBy("rank").agg(F.min(place).alias("earliest"), F.count(F.lit(1)).alias("n"))
     # rows of one document id and place in different texts are copies of the first of them
-    return rows.join(earliest, "rank").where(place > F.col("first")).select("id", "body", "pos")
+    copies = ranks.join_ranks(rows, earliest, ["rank"], total).where(place > F.col("earliest"))
+    # neighbouring copies overlap: a new run starts where the place is further than a run from the one before
+    order = Window.partitionBy(*sequence).orderBy("pos")
+    starts = copies.withColumn("gap", F.col("pos") - F.coalesce(F.lag("pos").over(order), F.lit(-min_lines - 1)) > min_lines).withColumn("run", F.sum(F.col("gap").cast("int")).over(order))
+    return starts.groupBy(*sequence, "run").agg(F.min("at").alias("first"), F.max("upto").alias("last"), (F.max("pos") + min_lines - F.min("pos")).cast("long").alias("n")).drop("run")
 
 
 def drop_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with n_lines, n_removed and kept_text; input columns of these names are replaced."""
-    made = ("n_lines", "n_removed", "kept_text", "__body", "__runs", "__id", "__same")
+    made = ("n_lines", "n_removed", "kept_text", "__body", "__runs", "__id", "__same", "__lines")
     docs = docs.drop(*(c for c in docs.columns if c.lower() in made))
-    copies = repeated_positions(docs, min_lines, id_col, text_col)
-    # neighbouring copies overlap: a new run starts where the place is further than a run from the one before
-    order = Window.partitionBy("id", "body").orderBy("pos")
-    starts = copies.withColumn("gap", F.col("pos") - F.coalesce(F.lag("pos").over(order), F.lit(-min_lines - 1)) > min_lines).withColumn("run", F.sum(F.col("gap").cast("int")).over(order))
-    runs = starts.groupBy("id", "body", "run").agg(F.min("pos").alias("begin"), (F.max("pos") + min_lines).alias("end")).groupBy("id", "body").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("__runs"))
-    runs = runs.select(F.col("id").alias("__id"), F.col("body").alias("__same"), "__runs")
+    runs = repeated_runs(docs, min_lines, id_col, text_col).groupBy("id", "body").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("__runs"), F.sum("n").alias("n_removed"))
+    runs = runs.select(F.col("id").alias("__id"), F.col("body").alias("__same"), "__runs", "n_removed")
     keyed = docs.withColumn("__body", F.xxhash64(F.col(text_col)))
-    joined = keyed.join(runs, keyed[id_col].eqNullSafe(runs["__id"]) & (keyed["__body"] == runs["__same"]), "left")
-    full = _full_lines(text_col)
-    gone = F.transform(F.filter(F.transform(full, lambda x, k: F.struct(x["at"].alias("at"), F.exists(F.col("__runs"), lambda r: (r["begin"] <= k) & (k < r["end"])).alias("gone"))), lambda x: x["gone"]), lambda x: x["at"])
-    removed = F.coalesce(F.aggregate("__runs", F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["begin"]), F.lit(0).cast("long"))
-    kept = F.array_join(F.filter(_lines(text_col), lambda line, at: ~F.array_contains(F.col("__gone"), at)), "\n")
+    joined = keyed.join(runs, keyed[id_col].eqNullSafe(runs["__id"]) & (keyed["__body"] == runs["__same"]), "left").withColumn("__lines", _lines(text_col))
+
+    def part(at: Column) -> Column:
+        """The lines between run at - 1 and run at, and the blank ones within run at."""
+        run = F.get("__runs", at)
+        begin = F.coalesce(F.get("__runs", at - 1)["last"] + 1, F.lit(0))
+        kept = F.slice("__lines", begin + 1, F.coalesce(run["first"], F.size("__lines")) - begin)
+        blank = F.filter(F.slice("__lines", run["first"] + 1, run["last"] - run["first"] + 1), lambda line: ~line.rlike(FULL))
+        return F.concat(kept, F.coalesce(blank, F.array().cast("array<string>")))
+
+    kept = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size("__runs")), part)), "\n")
     return (
-        joined.withColumn("__gone", F.when(F.col("__runs").isNotNull(), gone))
-        .withColumn("n_lines", F.size(_lines(text_col)).cast("long"))
-        .withColumn("n_removed", removed)
+        joined.withColumn("n_lines", F.size("__lines").cast("long"))
+        .withColumn("n_removed", F.coalesce("n_removed", F.lit(0).cast("long")))
         .withColumn("kept_text", F.when(F.col("__runs").isNotNull(), kept).otherwise(F.col(text_col)))
         .select(*docs.columns, "n_lines", "n_removed", "kept_text")
     )

@@ -1,25 +1,13 @@
-"""The distributed search for repeated windows that substring and suffix-array dedup share.
+"""Blocks of documents and content-defined anchors, which substring and suffix-array dedup share.
 
 A text is a sequence of tokens (bytes, or words) and a window is `size` consecutive ones. Every
 window chooses an anchor: the position of the smallest k-gram name within it. Equal windows choose
 equal anchors at equal places, so windows can only repeat where anchors do. Consecutive windows
-with the same anchor form a run; its content is everything its windows cover.
+with the same anchor form a run; its content is everything its windows cover. Blocks are groups
+of documents, dealt by a hash; buckets are ranges of names, which blocks send records to.
 
-1. Blocks of documents (dealt by a hash, about BLOCK_BYTES of text each) send one record for each
-   distinct (anchor, run content) to the index bucket of the anchor.
-2. A bucket knows all contents of an anchor. A content that occurs again is repeated as a whole. An
-   anchor with several contents needs its windows compared: one block is asked for each content.
-3. The asked blocks send the contents; the bucket compares windows of all contents of an anchor by
-   the operator's own method and answers which windows of which record repeat. An anchor with over
-   MOST_CONTENTS contents would be too much for one bucket: its windows go to all buckets by
-   the range of their names, each once per block, and are judged like records.
-4. Blocks put the answers together and cut their texts.
-
-Blocks meet their answers by a co-grouping on the block's number, so texts are shuffled once and
-the shuffle is read three times; all else that moves is hashes, flags and the contents asked for.
-Copies within a block are one record, so a passage that stands in a third of all documents reaches
-a bucket once per block and distinct surrounding. Long texts are searched in slices of SLICE
-windows, which overlap by a window, so memory follows the block, not the text.
+Long texts are cut into slices of SLICE windows, which overlap by a window; the names of all their
+tokens are held at once, so memory is a small multiple of a block or of a longer text.
 """
 
 from __future__ import annotations
@@ -31,42 +19,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from eventloom.llm import textkit as tk
 
 BLOCK_BYTES = 6 << 20
 SLICE = 1 << 20
-#: Contents of one anchor that a bucket compares itself; the windows of an anchor with more are spread over all buckets by their names.
-MOST_CONTENTS = 1000
-#: Flags of a record: every window of it repeats; its content is asked for; its windows are spread.
-REPEATED, ASKED, SPREAD = 1, 2, 4
-#: Kinds of messages: records and flags for them; contents and repeated stretches of them; spread windows and flags for them.
-RECORDS, CONTENTS, WINDOWS = 0, 1, 2
 
 _U64 = np.uint64
 
 
-@dataclass(frozen=True)
-class Search:
-    """What makes a search: the names of a text's tokens (all, or `part`: so many from a place), window and gram size, whether only later windows repeat, what a block sends of a content, and how windows are compared."""
-
-    names: Callable[[bytes], np.ndarray]
-    part: Callable[[bytes, int, int], np.ndarray]
-    size: int
-    gram: int
-    later_only: bool
-    most_contents: int
-    content: Callable[[bytes, int, int], bytes]
-    compare: Callable[[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray], list[np.ndarray]]
-
-
 @dataclass
 class Runs:
-    """The runs of a block's documents, and its distinct records in order of anchor and content."""
+    """The runs of a block's documents (document, first window, number of windows, place of the anchor from there, record), and its distinct records in order of anchor and content."""
 
     document: np.ndarray
     start: np.ndarray
     count: np.ndarray
+    offset: np.ndarray
     record: np.ndarray
     anchors: np.ndarray
     contents: np.ndarray
@@ -74,25 +44,27 @@ class Runs:
     copies: np.ndarray
 
 
-def find_runs(search: Search, ids: np.ndarray, texts: list[bytes]) -> Runs:
-    document, start, count, anchors, contents = [], [], [], [], []
+def find_runs(name: Callable[[bytes], np.ndarray], size: int, gram: int, ids: np.ndarray, texts: list[bytes]) -> Runs:
+    """The runs of windows of `size` tokens that choose one anchor, a gram of `gram` tokens; `name` gives the names of a text's tokens."""
+    document, start, count, offset, anchors, contents = [], [], [], [], [], []
     for d, text in enumerate(texts):
-        names = search.names(text)
-        windows = len(names) - search.size + 1
+        names = name(text)
+        windows = len(names) - size + 1
         for low in range(0, max(0, windows), SLICE):
-            part = names[low : low + SLICE + search.size - 1]
+            part = names[low : low + SLICE + size - 1]
             prefix = tk.prefix_hash(part)
-            grams = tk.window_hash(prefix, search.gram)
-            chosen = tk.selected(grams, search.size - search.gram + 1)
+            grams = tk.window_hash(prefix, gram)
+            chosen = tk.selected(grams, size - gram + 1)
             first, last = tk.run_bounds(chosen)
             anchor = chosen[first]
             document.append(np.full(len(first), d, np.int64))
             start.append(first + low)
             count.append(last - first + 1)
+            offset.append(anchor - first)
             anchors.append(tk.mix64(grams[anchor]))  # chosen grams are small, their mixed names are not
-            contents.append(tk.mix64(tk.span_hash(prefix, first, last + search.size) ^ (anchor - first).astype(np.uint64)))
+            contents.append(tk.mix64(tk.span_hash(prefix, first, last + size) ^ (anchor - first).astype(np.uint64)))
     join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-    document, start, count = join(document, np.int64), join(start, np.int64), join(count, np.int64)
+    document, start, count, offset = (join(x, np.int64) for x in (document, start, count, offset))
     anchors, contents = join(anchors, np.uint64), join(contents, np.uint64)
     # the first run of a record is the earliest: by document id, then by place
     order = np.lexsort((start, ids[document] if len(document) else document, contents, anchors))
@@ -101,7 +73,7 @@ def find_runs(search: Search, ids: np.ndarray, texts: list[bytes]) -> Runs:
     record = np.empty(len(order), np.int64)
     record[order] = np.cumsum(new) - 1
     first = order[new]
-    return Runs(document, start, count, record, anchors[first], contents[first], first, np.bincount(record, minlength=len(first)))
+    return Runs(document, start, count, offset, record, anchors[first], contents[first], first, np.bincount(record, minlength=len(first)))
 
 
 def bucket_of(anchors: np.ndarray, buckets: int) -> np.ndarray:
@@ -123,258 +95,34 @@ def unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def _slices(values: np.ndarray):
+def slices(values: np.ndarray):
+    """(value, from, to) of each run of equal neighbours."""
     first, last = tk.run_bounds(values)
     return zip(values[first].tolist(), first.tolist(), (last + 1).tolist(), strict=True)
 
 
-def _documents(table: pa.Table) -> tuple[np.ndarray, list[bytes]]:
-    """Ids (null: after all others) and texts, in the order of the ids and then of the texts."""
-    ids = np.array([2**63 - 1 if x is None else x for x in table.column("id").to_pylist()], np.int64)
-    return ids, [x or b"" for x in table.column("text").cast(pa.large_binary()).to_pylist()]
-
-
-def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
-    return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
-
-
-_TO_BUCKET = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("kind", pa.int64()), ("data", pa.binary())])
-_TO_BLOCK = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("kind", pa.int64()), ("data", pa.binary())])
-
+def documents(table: pa.Table) -> tuple[np.ndarray, list[bytes], list[int]]:
+    """Ids (null: after all others) and texts in the order of the ids and then of the texts, and where they stand in the table.
 
-def _file_records(search: Search, buckets: int):
-    def run(table: pa.Table) -> pa.Table:
-        block = table.column("block")[0].as_py()
-        ids, texts = _documents(table)
-        runs = find_runs(search, ids, texts)
-        where = ids[runs.document[runs.first]] if len(runs.first) else ids[:0]
-        place = runs.start[runs.first].astype("<i4")
-        rows = []
-        for bucket, a, b in _slices(bucket_of(runs.anchors, buckets)):
-            parts = [runs.anchors[a:b], runs.contents[a:b], np.minimum(runs.copies[a:b], 2).astype(np.uint8)]
-            if search.later_only:
-                parts += [where[a:b], place[a:b]]
-            rows.append((bucket, block, RECORDS, pack(*parts)))
-        return _rows(_TO_BUCKET, rows)
-
-    return run
-
-
-def _judge(search: Search, bucket: int, blocks: list[int], data: list[bytes], kind: int) -> list[tuple]:
-    """Flags for the records (or spread windows) of each block, as messages of `kind`."""
-    kinds = ("<u8", "<u8", "u1", "<i8", "<i4") if search.later_only else ("<u8", "<u8", "u1")
-    parts = [unpack(x, *kinds) for x in data]
-    lengths = [len(p[0]) for p in parts]
-    anchors, contents, copies = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    if search.later_only:
-        where, place = (np.concatenate([p[i] for p in parts]) for i in (3, 4))
-    else:
-        where, place = np.repeat(np.array(blocks, np.int64), lengths), np.zeros(len(anchors), np.int32)
-    order = np.lexsort((place, where, contents, anchors))
-    a, c = anchors[order], contents[order]
-    new_anchor = np.ones(len(order), bool)
-    new_anchor[1:] = a[1:] != a[:-1]
-    new = new_anchor.copy()
-    new[1:] |= c[1:] != c[:-1]
-    content = np.cumsum(new) - 1
-    group = np.cumsum(new_anchor) - 1
-    several = np.bincount(group[new])[group]
-    firsts = np.flatnonzero(new)[content]
-    if search.later_only:
-        w, p = where[order], place[order]
-        repeated = (w != w[firsts]) | (p != p[firsts])
-    else:
-        repeated = np.bincount(content, weights=copies[order])[content] > 1
-    flags = np.empty(len(order), np.uint8)
-    flags[order] = repeated * REPEATED + ((several > 1) & new) * ASKED + (several > search.most_contents) * SPREAD
-    return [(block, bucket, kind, part.tobytes()) for block, part in zip(blocks, np.split(flags, np.cumsum(lengths)[:-1]), strict=True)]
-
-
-def _judge_records(search: Search):
-    def run(table: pa.Table) -> pa.Table:
-        return _rows(_TO_BLOCK, _judge(search, table.column("bucket")[0].as_py(), table.column("block").to_pylist(), table.column("data").to_pylist(), RECORDS))
-
-    return run
-
-
-def _by_document(runs: Runs, some: np.ndarray) -> list[int]:
-    """Numbers of runs in the order of their documents, so that a text's tokens are named once."""
-    return some[np.argsort(runs.document[some], kind="stable")].tolist()
-
-
-@dataclass
-class Spread:
-    """The windows of a block's spread records, and their distinct names in order with the earliest window of each."""
-
-    record: np.ndarray
-    offset: np.ndarray
-    name: np.ndarray
-    names: np.ndarray
-    first: np.ndarray
-    copies: np.ndarray
-
-
-def spread_windows(search: Search, runs: Runs, flags: np.ndarray, ids: np.ndarray, texts: list[bytes]) -> Spread:
-    record, offset, name, where, place = [], [], [], [], []
-    for run in _by_document(runs, runs.first[(flags & (ASKED | SPREAD)) == (ASKED | SPREAD)]):
-        r = int(runs.record[run])
-        start, count, d = int(runs.start[run]), int(runs.count[run]), int(runs.document[run])
-        part = search.part(texts[d], start, count + search.size - 1)
-        record.append(np.full(count, r, np.int64))
-        offset.append(np.arange(count))
-        name.append(tk.window_hash(tk.prefix_hash(part), search.size))
-        where.append(np.full(count, ids[d], np.int64))
-        place.append(start + np.arange(count))
-    join = lambda parts, kind=np.int64: np.concatenate(parts) if parts else np.zeros(0, kind)
-    record, offset, name, where, place = join(record), join(offset), join(name, np.uint64), join(where), join(place)
-    order = np.lexsort((place, where, name))
-    first, last = tk.run_bounds(name[order])
-    return Spread(record, offset, name, name[order][first], order[first], last - first + 1)
-
-
-def _flags(names: np.ndarray, answers: pa.Table, buckets: int, kind: int) -> np.ndarray:
-    """The flags of names that are in order, put together from the answers of their buckets."""
-    got = {bucket: data for bucket, k, data in zip(*(answers.column(c).to_pylist() for c in ("bucket", "kind", "data")), strict=True) if k == kind}
-    flags = np.zeros(len(names), np.uint8)
-    for bucket, a, b in _slices(bucket_of(names, buckets)):
-        flags[a:b] = np.frombuffer(got[bucket], np.uint8)
-    return flags
-
-
-def _send_contents(search: Search, buckets: int):
-    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return _rows(_TO_BUCKET, [])
-        block = table.column("block")[0].as_py()
-        ids, texts = _documents(table)
-        runs = find_runs(search, ids, texts)
-        flags = _flags(runs.anchors, answers, buckets, RECORDS)
-        asked = np.flatnonzero((flags & (ASKED | SPREAD)) == ASKED)
-        rows = []
-        contents = {r: search.content(texts[int(runs.document[r])], int(runs.start[r]), int(runs.count[r])) for r in _by_document(runs, runs.first[asked])}
-        for bucket, a, b in _slices(bucket_of(runs.anchors[asked], buckets)):
-            part = asked[a:b]
-            first = runs.first[part]
-            data = [contents[r] for r in first.tolist()]
-            lengths = np.array([len(x) for x in data], "<i8")
-            parts = [runs.anchors[part], part.astype("<i8"), flags[part], runs.count[first].astype("<i8"), ids[runs.document[first]], runs.start[first].astype("<i8"), lengths]
-            rows.append((bucket, block, CONTENTS, pack(*parts, np.frombuffer(bytearray(b"".join(data)), np.uint8))))
-        spread = spread_windows(search, runs, flags, ids, texts)
-        if len(spread.names):
-            first = runs.first[spread.record[spread.first]]
-            where, place = ids[runs.document[first]], (runs.start[first] + spread.offset[spread.first]).astype("<i4")
-            for bucket, a, b in _slices(bucket_of(spread.names, buckets)):
-                parts = [spread.names[a:b], spread.names[a:b], np.minimum(spread.copies[a:b], 2).astype(np.uint8)]
-                rows.append((bucket, block, WINDOWS, pack(*parts, *([where[a:b], place[a:b]] if search.later_only else []))))
-        return _rows(_TO_BUCKET, rows)
-
-    return run
-
-
-def _compare_contents(search: Search):
-    kinds = ("<u8", "<i8", "u1", "<i8", "<i8", "<i8", "<i8", "u1")
-
-    def run(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
-        sent = list(zip(*(table.column(c).to_pylist() for c in ("block", "kind", "data")), strict=True))
-        windows = [(block, data) for block, kind, data in sent if kind == WINDOWS]
-        out = _judge(search, bucket, [b for b, _ in windows], [x for _, x in windows], WINDOWS) if windows else []
-        blocks = [block for block, kind, _ in sent if kind == CONTENTS]
-        if not blocks:
-            return _rows(_TO_BLOCK, out)
-        parts = [unpack(data, *kinds) for _, kind, data in sent if kind == CONTENTS]
-        anchors, records, flags, counts, where, place, lengths, data = (np.concatenate([p[i] for p in parts]) for i in range(8))
-        owner = np.repeat(np.arange(len(blocks)), [len(p[0]) for p in parts])
-        ends = np.cumsum(lengths)
-        raw = data.tobytes()
-        contents = [raw[e - n : e] for n, e in zip(lengths.tolist(), ends.tolist(), strict=True)]
-        repeated = search.compare(anchors, counts, contents, where, place)
-        answers: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in blocks]
-        starts = np.cumsum(counts) - counts
-        # windows that repeat, as stretches within their record
-        mask = np.zeros(int(counts.sum()), bool)
-        mask[repeated] = True
-        mask[np.repeat((flags & REPEATED).astype(bool), counts)] = False
-        edge = np.zeros(len(mask) + 1, bool)
-        edge[starts] = True
-        at = np.flatnonzero(mask)
-        if len(at):
-            begin = at[(~mask[at - 1]) | edge[at] | (at == 0)]
-            stop = at[np.append(~mask[at[:-1] + 1] | edge[at[:-1] + 1], True)] + 1
-            of = np.searchsorted(starts, begin, side="right") - 1
-            for k in range(len(blocks)):
-                mine = owner[of] == k
-                if mine.any():
-                    answers[k].append((records[of[mine]], begin[mine] - starts[of[mine]], stop[mine] - starts[of[mine]]))
-        out += [(block, bucket, CONTENTS, pack(*(x.astype("<i8") for x in found[0]))) for block, found in zip(blocks, answers, strict=True) if found]
-        return _rows(_TO_BLOCK, out)
-
-    return run
-
-
-def _cut(search: Search, buckets: int, finish: Callable[[bytes, np.ndarray], tuple], schema: pa.Schema):
-    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return schema.empty_table()
-        ids, texts = _documents(table)
-        runs = find_runs(search, ids, texts)
-        flags = _flags(runs.anchors, answers, buckets, RECORDS)
-        repeated = (flags[runs.record] & REPEATED).astype(bool)
-        if search.later_only and len(runs.record):
-            # later copies within the block, too
-            first = runs.first[runs.record]
-            repeated |= (ids[runs.document] != ids[runs.document[first]]) | (runs.start != runs.start[first])
-        begin, stop, document = [runs.start[repeated]], [(runs.start + runs.count)[repeated]], [runs.document[repeated]]
-        by_record: dict[int, list[tuple[int, int]]] = {}
-        for kind, data in zip(answers.column("kind").to_pylist(), answers.column("data").to_pylist(), strict=True):
-            if kind == CONTENTS:
-                for r, a, b in zip(*(x.tolist() for x in unpack(data, "<i8", "<i8", "<i8")), strict=True):
-                    by_record.setdefault(r, []).append((a, b))
-        spread = spread_windows(search, runs, flags, ids, texts)
-        if len(spread.names):
-            at = np.searchsorted(spread.names, spread.name)
-            again = (_flags(spread.names, answers, buckets, WINDOWS)[at] & REPEATED).astype(bool)
-            if search.later_only:
-                run = runs.first[spread.record]
-                doc, start = ids[runs.document[run]], runs.start[run] + spread.offset
-                first = spread.first[at]
-                again |= (doc != doc[first]) | (start != start[first])
-            for r, a in zip(spread.record[again].tolist(), spread.offset[again].tolist(), strict=True):
-                by_record.setdefault(r, []).append((a, a + 1))
-        if by_record:
-            wanted = np.zeros(len(runs.anchors), bool)
-            wanted[list(by_record)] = True
-            for r in np.flatnonzero(wanted[runs.record] & ~repeated).tolist():
-                pairs = np.array(by_record[int(runs.record[r])])
-                begin.append(runs.start[r] + pairs[:, 0])
-                stop.append(runs.start[r] + pairs[:, 1])
-                document.append(np.full(len(pairs), runs.document[r]))
-        begin, stop, document = np.concatenate(begin), np.concatenate(stop) - 1 + search.size, np.concatenate(document)
-        order = np.argsort(document, kind="stable")
-        cuts = np.searchsorted(document[order], np.arange(len(texts) + 1))
-        out = []
-        for d, text in enumerate(texts):
-            mine = order[cuts[d] : cuts[d + 1]]
-            out.append(finish(text, begin[mine], stop[mine]))
-        columns = [table.column("id").combine_chunks(), *(pa.array([r[i] for r in out], f.type) for i, f in enumerate(list(schema)[1:]))]
-        return pa.Table.from_arrays(columns, schema=schema)
+    The order is the same whichever way the rows arrive, so a document's number can be sent about.
+    """
+    ids = [2**63 - 1 if x is None else x for x in table.column("id").to_pylist()]
+    texts = [x or b"" for x in table.column("text").cast(pa.large_binary()).to_pylist()]
+    order = sorted(range(len(ids)), key=lambda k: (ids[k], texts[k]))
+    return np.array([ids[k] for k in order], np.int64), [texts[k] for k in order], order
 
-    return run
 
+def rows_table(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
-def search_and_cut(docs: DataFrame, search: Search, finish: Callable[[bytes, np.ndarray, np.ndarray], tuple], made: list[tuple[str, str, pa.DataType]], id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """id and the columns `made` (name, SQL type, Arrow type), a row per input row.
 
-    `finish` gets a text and the token spans (starts, ends; they may overlap) that repeat.
-    """
+def deal(docs: DataFrame, id_col: str, text_col: str, block_bytes: int):
+    """(id, text, block) of the documents grouped by block, and the number of blocks."""
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} must be of an integer type")
     body = F.col(text_col)
     total = docs.select(F.coalesce(F.sum(F.octet_length(body)), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-total // block_bytes))
     dealt = docs.select(F.col(id_col).cast("long").alias("id"), body.alias("text"), F.pmod(F.xxhash64(F.col(id_col), body), F.lit(blocks)).cast("long").alias("block"))
-    to_bucket, to_block = "bucket long, block long, kind long, data binary", "block long, bucket long, kind long, data binary"
-    # the same shuffle of the texts serves all three steps
-    by_block = dealt.repartition("block").groupBy("block")
-    judged = by_block.applyInArrow(_file_records(search, blocks), to_bucket).groupBy("bucket").applyInArrow(_judge_records(search), to_block)
-    compared = by_block.cogroup(judged.groupBy("block")).applyInArrow(_send_contents(search, blocks), to_bucket).groupBy("bucket").applyInArrow(_compare_contents(search), to_block)
-    schema = pa.schema([(id_col, pa.int64()), *((name, arrow) for name, _, arrow in made)])
-    return by_block.cogroup(judged.unionByName(compared).groupBy("block")).applyInArrow(_cut(search, blocks, finish, schema), ", ".join([f"{id_col} long", *(f"{name} {sql}" for name, sql, _ in made)]))
+    # the same shuffle of the texts serves all steps
+    return dealt.repartition("block").groupBy("block"), blocks

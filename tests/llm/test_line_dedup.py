@@ -43,6 +43,24 @@ def test_hard_cases(hard, none):
     assert found(none, 3) == []
 
 
+def test_texts_of_very_many_lines(make):
+    """Time grows with the number of lines, not with its square."""
+    n = 200_000
+    lines = [f"line {i}" for i in range(n)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(x for i in range(0, n, 4) for x in [*lines[i : i + 3], f"own {i}", ""]))]
+    out = {r.doc_id: r for r in line_dedup.drop_repeated_lines(make(rows), 3).collect()}
+    assert out[1].n_removed == 0 and out[1].kept_text == rows[0][1]
+    assert out[2].n_removed == 3 * (n // 4) and out[2].kept_text == "\n".join(x for i in range(0, n, 4) for x in [f"own {i}", ""])
+
+
+def test_hot_ranks_are_joined_like_others(make, monkeypatch):
+    from eventloom.llm import ranks
+
+    monkeypatch.setattr(ranks, "LEAST_HOT", 2)
+    rows = [(i, "\n".join(f"line {(i * 7 + k * (1 + i % 3)) % 11}" for k in range(i % 14))) for i in range(40)]
+    assert found(make(rows), 2) == brute(rows, 2)
+
+
 def test_query_matches_its_sql(spark, data):
     columns, rows = duck(data, queries.LINE_DEDUP_SQL)
     assert spark_rows(queries.op4_line_dedup(spark, data)) == rows

@@ -71,13 +71,52 @@ def corpus(seed):
     return rows + [(99, "z" * 700), (98, "z" * 650)]
 
 
-@pytest.mark.parametrize("most", [1, 1000])
-@pytest.mark.parametrize("seed", [1, 2])
-def test_random_corpora(make, seed, most):
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_random_corpora(make, seed):
     rows = corpus(seed)
     df = make(rows)
-    assert words_found(df, 8, gram=3, block_bytes=900, most_contents=most) == brute_words(rows, 8)
-    assert bytes_found(df, 40, gram=8, block_bytes=900, most_contents=most) == brute_bytes(rows, 40)
+    assert words_found(df, 8, gram=3, block_bytes=900) == brute_words(rows, 8)
+    for most in (1, 1000):
+        assert bytes_found(df, 40, gram=8, block_bytes=900, most_contents=most) == brute_bytes(rows, 40)
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 7, 9, 403])
+def test_other_sizes(make, size):
+    rows = corpus(4)[:12] + [(99, "z" * 700), (98, "z" * 650)]
+    assert bytes_found(make(rows), size, block_bytes=900) == brute_bytes(rows, size)
+    if size < 10:
+        assert words_found(make(rows), size, gram=3, block_bytes=900) == brute_words(rows, size)
+
+
+def test_words_that_collide_modulo_a_power_of_two_are_different(make):
+    """Two words of 1,024 letters after the Thue-Morse sequence: polynomial hashes modulo 2 ** 64 are equal."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    shared = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, shared + " " + "".join("ab"[b] for b in bits)), (2, shared + " " + "".join("ba"[b] for b in bits))]
+    found = words_found(make(rows), 20)
+    assert found == brute_words(rows, 20) and all(r[2] == 0 for r in found)
+    rows = [(1, shared), (2, "x " + shared + " y"), (3, shared + " z")]
+    assert words_found(make(rows), 19, gram=5) == brute_words(rows, 19)
+
+
+def test_equal_names_do_not_make_words_equal(make, monkeypatch):
+    """Even if every name collides, only equal words are removed."""
+    import numpy as np
+
+    rows = [(i, " ".join(f"d{i}w{k}" for k in range(30))) for i in range(4)]
+    segments = [(i, 0, t.encode()) for i, t in rows] + [(0, 5, b" ".join(rows[3][1].encode().split()[5:20]))]
+    monkeypatch.setattr(substring_dedup, "word_names", lambda words: np.ones(len(words), np.uint64))
+    reference = substring_dedup.Reference(segments, 8)
+    found = reference.candidates(4)
+    assert [substring_dedup.factors(reference, d, *found[d]) if d in found else [] for d in range(4)] == [[], [], [], [(5, 20)]]
+
+
+def test_factors_are_maximal_and_boundaries_are_checked():
+    """Document 9 is put together from two earlier ones; a phrase that lies across its two factors stands in a third."""
+    a, b = [f"a{i}" for i in range(12)], [f"b{i}" for i in range(12)]
+    texts = [(1, a + ["x"]), (2, ["y", *b]), (3, a[-3:] + b[:3]), (9, a + b)]
+    reference = substring_dedup.Reference([(i, 0, " ".join(t).encode()) for i, t in texts], 6)
+    assert substring_dedup.factors(reference, 3, *reference.candidates(4)[3]) == [(0, 12), (9, 15), (12, 24)]
 
 
 def test_hard_cases(hard, none):
@@ -89,24 +128,40 @@ def test_hard_cases(hard, none):
 
 
 def test_long_texts_are_searched_in_slices(make, monkeypatch):
-    rows = corpus(3)
-    monkeypatch.setattr(repeats, "SLICE", 16)
-    search = suffix_dedup._search(40, 8)
     import numpy as np
 
+    rows = corpus(3)
+    monkeypatch.setattr(repeats, "SLICE", 16)
     ids, texts = np.arange(len(rows)), [t.encode() for _, t in rows]
-    runs = repeats.find_runs(search, ids, texts)
+    runs = repeats.find_runs(suffix_dedup._names, 40, 8, ids, texts)
     windows = sum(max(0, len(t) - 39) for t in texts)
     assert runs.count.sum() == windows and runs.count.max() <= 16
 
 
-def test_doubling_finds_shared_suffixes():
+def test_very_long_texts(make):
+    """Texts longer than a block, of which one repeats a stretch of the other."""
+    rng = random.Random(8)
+    long = [f"v{rng.randint(0, 10**7)}" for _ in range(120_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(["other"] + long[50_000:90_000] + ["end"])), (3, " ".join(long[:10]))]
+    assert words_found(make(rows), 20, block_bytes=100_000) == brute_words(rows, 20)
+    cut = {r[0]: r[1:4] for r in bytes_found(make(rows), 400, block_bytes=100_000)}
+    shared = len(" " + " ".join(long[50_000:90_000]) + " ")
+    assert cut[2][1] in range(shared - 1, shared + 2) and cut[1][1] == cut[2][1] and cut[3][1] == 0
+
+
+@pytest.mark.parametrize("size", [3, 8, 10, 19])
+def test_doubling_finds_shared_suffixes(size):
     import numpy as np
 
-    from eventloom.llm import textkit as tk
+    rng = random.Random(size)
+    data = b"abcdefgh" * 3 + b"xyz" + bytes(rng.choice(b"ab") for _ in range(80))
+    at = np.arange(0, len(data) - size + 1, 1 if size % 2 else 3)
+    expected = [k for k, i in enumerate(at) if sum(data[j : j + size] == data[i : i + size] for j in at) > 1]
+    assert sorted(suffix_dedup.doubled(np.frombuffer(data, np.uint8), at, size).tolist()) == expected
+
 
-    data = b"abcdefgh" * 3 + b"xyz"
-    prefix = tk.prefix_hash(tk.BYTE_NAMES[np.frombuffer(data, np.uint8)])
-    at = np.arange(len(data) - 9)
-    expected = [i for i in at if data.count(data[i : i + 10]) and sum(data[j : j + 10] == data[i : i + 10] for j in at) > 1]
-    assert sorted(suffix_dedup.doubled(prefix, at, 10, 3).tolist()) == expected
+def test_text_ids_are_refused(spark):
+    df = spark.createDataFrame([("a", "text")], "doc_id string, text string")
+    for operator in (substring_dedup.drop_repeated_phrases, suffix_dedup.drop_repeated_bytes):
+        with pytest.raises(TypeError):
+            operator(df)
