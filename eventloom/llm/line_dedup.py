@@ -35,7 +35,9 @@ def _lines(text: str) -> Column:
 def positions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, body (a hash of the text), pos (number among the lines that are not blank), at (number among all), rank (the line's id)."""
     full = F.filter(F.transform(_lines(text_col), lambda line, at: F.struct(at.alias("at"), F.when(line.rlike(FULL), F.xxhash64(line)).alias("rank"))), lambda x: x["rank"].isNotNull())
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("body"), F.posexplode(full).alias("pos", "x")).select("id", "body", "pos", "x.at", "x.rank")
+    # the hash of the text is made before the lines become rows, not for each of them
+    read = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("body"), full.alias("full"))
+    return read.select("id", "body", F.posexplode("full").alias("pos", "x")).select("id", "body", "pos", "x.at", "x.rank")
 
 
 def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -55,24 +57,23 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "do
 
 def drop_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with n_lines, n_removed and kept_text; input columns of these names are replaced."""
-    made = ("n_lines", "n_removed", "kept_text", "__body", "__runs", "__id", "__same", "__lines")
+    made = ("n_lines", "n_removed", "kept_text", "__body", "__runs", "__id", "__same")
     docs = docs.drop(*(c for c in docs.columns if c.lower() in made))
     runs = repeated_runs(docs, min_lines, id_col, text_col).groupBy("id", "body").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("__runs"), F.sum("n").alias("n_removed"))
     runs = runs.select(F.col("id").alias("__id"), F.col("body").alias("__same"), "__runs", "n_removed")
     keyed = docs.withColumn("__body", F.xxhash64(F.col(text_col)))
-    joined = keyed.join(runs, keyed[id_col].eqNullSafe(runs["__id"]) & (keyed["__body"] == runs["__same"]), "left").withColumn("__lines", _lines(text_col))
+    joined = keyed.join(runs, keyed[id_col].eqNullSafe(runs["__id"]) & (keyed["__body"] == runs["__same"]), "left")
 
-    def part(at: Column) -> Column:
-        """The lines between run at - 1 and run at, and the blank ones within run at."""
-        run = F.get("__runs", at)
-        begin = F.coalesce(F.get("__runs", at - 1)["last"] + 1, F.lit(0))
-        kept = F.slice("__lines", begin + 1, F.coalesce(run["first"], F.size("__lines")) - begin)
-        blank = F.filter(F.slice("__lines", run["first"] + 1, run["last"] - run["first"] + 1), lambda line: ~line.rlike(FULL))
-        return F.concat(kept, F.coalesce(blank, F.array().cast("array<string>")))
+    # for each line whether a run holds it, put together run by run; a lambda's argument is made once, not for every line
+    def stretch(run: Column, k: Column) -> Column:
+        begin = F.coalesce(F.get("__runs", k - 1)["last"] + 1, F.lit(0))
+        return F.concat(F.array_repeat(F.lit(False), run["first"] - begin), F.array_repeat(F.lit(True), run["last"] - run["first"] + 1))
 
-    kept = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size("__runs")), part)), "\n")
+    inside = F.flatten(F.transform("__runs", stretch))
+    stays = F.transform(F.array(inside), lambda mask: F.filter(_lines(text_col), lambda line, at: ~F.coalesce(F.get(mask, at), F.lit(False)) | ~line.rlike(FULL)))
+    kept = F.array_join(F.get(stays, F.lit(0)), "\n")
     return (
-        joined.withColumn("n_lines", F.size("__lines").cast("long"))
+        joined.withColumn("n_lines", F.size(_lines(text_col)).cast("long"))
         .withColumn("n_removed", F.coalesce("n_removed", F.lit(0).cast("long")))
         .withColumn("kept_text", F.when(F.col("__runs").isNotNull(), kept).otherwise(F.col(text_col)))
         .select(*docs.columns, "n_lines", "n_removed", "kept_text")
