@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,7 +17,8 @@ WORDS = r"[^\x20\x09-\x0D]+"
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, which driver and executors share.
 
-    Only where nothing is set (a local session, as in tests) a temporary folder is made and set.
+    Where nothing is set, a temporary folder is made and set in a local session, as in tests;
+    a cluster's executors would not see it, so there it is an error.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
@@ -24,6 +26,8 @@ def shared_folder(spark: SparkSession) -> str:
         have = context._jsc.sc().getCheckpointDir()
         if have.isDefined():
             return have.get()
+        if not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="eventloom-checkpoint-")
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(folder)

@@ -18,7 +18,8 @@ one; only documents with a gram of the benchmark have all their windows compared
 
 Edge cases: a null or empty text or item matches nothing; items with fewer than MIN_FORMS forms are
 too short to tell and match nothing; rows that repeat a doc_id and text are judged alike; an empty benchmark
-finds nothing and an empty table gives no rows. Extra columns pass through :func:`decontaminated`.
+finds nothing and an empty table gives no rows; very long texts are searched whole. Extra columns pass through
+:func:`decontaminated`. `min_forms` and `min_literal` are parameters of all functions here.
 """
 
 from __future__ import annotations
@@ -90,9 +91,9 @@ def _grams(size: int) -> tuple[int, int]:
     return length, size - length + 1
 
 
-def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text", min_forms: int = MIN_FORMS) -> DataFrame:
     """item_id, size, start, h (the hash of the window's forms), literal, pattern, exact (the hash of its lower-cased words), plain (the hashes of its words' cores)."""
-    items = benchmark.select(F.col(id_col).alias("item_id"), words(text_col).alias("words")).where(F.size("words") >= MIN_FORMS)
+    items = benchmark.select(F.col(id_col).alias("item_id"), words(text_col).alias("words")).where(F.size("words") >= min_forms)
     items = items.withColumn("cores", cores(F.col("words"))).withColumn("forms", forms(F.col("words"), F.col("cores"))).withColumn("size", F.least(F.size("words"), F.lit(window)))
     rows = items.withColumn("start", F.explode(F.sequence(F.lit(1), F.size("words") - F.col("size") + 1)))
     cut = rows.withColumn("f", F.slice("forms", F.col("start"), F.col("size"))).withColumn("w", F.slice("words", F.col("start"), F.col("size")))
@@ -108,9 +109,9 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, id_col: str =
     )
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_forms: int = MIN_FORMS, min_literal: int = MIN_LITERAL) -> DataFrame:
     """id, body (a hash of the text), item_id, n_windows: the items of which a document holds windows with consistent slots."""
-    wanted = materialised(benchmark_windows(benchmark, window, item_col, item_text))
+    wanted = materialised(benchmark_windows(benchmark, window, item_col, item_text, min_forms))
     found = wanted.agg(F.count(F.lit(1)).alias("n"), F.collect_set("size").alias("sizes")).first()  # at most `window` sizes
     light = lambda f: F.broadcast(f) if found["n"] <= BROADCAST_WINDOWS else f.hint("merge")
     # words are a column of their own, as forms look at a word and the one before it
@@ -145,7 +146,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col:
     cut = lambda c, x: F.slice(c, x["at"], x["size"])
     slots = F.transform("hits", lambda x: F.struct(x["size"].alias("size"), x["h"].alias("h"), slot_pattern(cut("words", x), cut("forms", x)).alias("has"), F.xxhash64(F.transform(cut("words", x), F.lower)).alias("is")))
     checked = looked.select("id", "body", F.explode(slots).alias("x")).select("id", "body", "x.*").join(light(wanted), ["h", "size"])
-    consistent = (F.col("has") == F.col("pattern")) & ((F.col("literal") >= MIN_LITERAL) | (F.col("is") == F.col("exact")))
+    consistent = (F.col("has") == F.col("pattern")) & ((F.col("literal") >= min_literal) | (F.col("is") == F.col("exact")))
     return checked.where(consistent).select("id", "body", "item_id", "start").unionByName(equal).groupBy("id", "body", "item_id").agg(F.countDistinct("start").alias("n_windows"))
 
 

@@ -7,11 +7,12 @@ A document's prediction is the language with the largest mean log probability ov
 windows; its score is that mean's share after normalisation.
 
 Training is plain numpy on the driver, from a bounded sample: of the labelled documents that
-`learn_from` lets pass, SAMPLE_DOCUMENTS a language, those with the smallest hash of their id, and
-of each SAMPLE_WINDOWS windows evenly spread over the whole text. The weights are a few hundred
+`learn_from` lets pass, SAMPLE_DOCUMENTS a language, those with the smallest hash of id and text
+(rows that are equal in both count once), and of each SAMPLE_WINDOWS windows evenly spread over the
+whole text. Labels are few, as a network has an output for each. The weights are a few hundred
 kilobytes whatever the corpus. Prediction reads every window of every text, on the executors.
 
-Edge cases: a text that is null or has no letter is `und` with score 0; if nothing is learned,
+Edge cases: a null id is an id like any other; very long texts are predicted whole, a batch of windows at a time; a text that is null or has no letter is `und` with score 0; if nothing is learned,
 every text is; ties go to the language that sorts first; labels that are null teach nothing;
 rows that repeat an id are predicted each; an empty table gives no rows. Extra columns are not read.
 """
@@ -182,13 +183,9 @@ def train(docs: DataFrame, learn_from: Column | None = None, id_col: str = "doc_
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     if learn_from is not None:
         labelled = labelled.where(learn_from)
-    order = Window.partitionBy("lang").orderBy("draw", "id")
-    chosen = (
-        labelled.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(F.col(id_col)).alias("draw"))
-        .withColumn("n", F.row_number().over(order))
-        .where(F.col("n") <= SAMPLE_DOCUMENTS)
-        .select("lang", "id")
-    )
+    drawn = labelled.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("draw"), F.col(text_col).alias("text"))
+    order = Window.partitionBy("lang").orderBy("draw")
+    chosen = drawn.select("lang", "draw").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE_DOCUMENTS).select("lang", "draw")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,7 +197,8 @@ def train(docs: DataFrame, learn_from: Column | None = None, id_col: str = "doc_
                     data.append(rows[k].tobytes())
             yield pa.RecordBatch.from_pydict({"lang": pa.array(labels, pa.string()), "data": pa.array(data, pa.binary())})
 
-    texts = labelled.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), ["lang", "id"], "left_semi")
+    # equal rows are combined before they are shuffled, so the sample holds SAMPLE_DOCUMENTS texts a language at most
+    texts = drawn.join(F.broadcast(chosen), ["lang", "draw"], "left_semi").groupBy("lang", "draw").agg(F.first("text").alias("text"))
     found = sorted((row.lang, bytes(row.data)) for row in texts.select("lang", "text").mapInArrow(cut, "lang string, data binary").collect())
     if not found:
         return None

@@ -22,11 +22,17 @@ from eventloom.llm.common import materialised
 HOT_SHARE, LEAST_HOT = 4096, 1000
 
 
-def join_ranks(rows: DataFrame, ranks: DataFrame, keys: list[str], total: int) -> DataFrame:
-    """Inner join of `rows`, about `total` of them, with one row of `ranks` a key; its column n is the key's number of rows."""
+def split_hot(ranks: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of `ranks` (a key and n, its number of rows, `total` of them in all) that are hot, 4,096 at most, and the others."""
     most = max(LEAST_HOT, total // HOT_SHARE)
-    marked = rows.join(F.broadcast(ranks.where(F.col("n") > most)), keys, "left")
-    rest = marked.where("n is null").select(*rows.columns).join(ranks.where(F.col("n") <= most), keys)
+    return ranks.where(F.col("n") > most), ranks.where(F.col("n") <= most)
+
+
+def join_ranks(rows: DataFrame, ranks: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Inner join of `rows` with one row of `ranks` a key; its column n is the key's number of rows, `total` in all."""
+    hot, cold = split_hot(ranks, total)
+    marked = rows.join(F.broadcast(hot), keys, "left")
+    rest = marked.where("n is null").select(*rows.columns).join(cold, keys)
     return marked.where("n is not null").unionByName(rest)
 
 

@@ -44,28 +44,49 @@ class Runs:
     copies: np.ndarray
 
 
-def find_runs(name: Callable[[bytes], np.ndarray], size: int, gram: int, ids: np.ndarray, texts: list[bytes]) -> Runs:
-    """The runs of windows of `size` tokens that choose one anchor, a gram of `gram` tokens; `name` gives the names of a text's tokens."""
-    document, start, count, offset, anchors, contents = [], [], [], [], [], []
-    for d, text in enumerate(texts):
-        names = name(text)
-        windows = len(names) - size + 1
-        for low in range(0, max(0, windows), SLICE):
+def find_runs(name: Callable[[int], np.ndarray], size: int, gram: int, ids: np.ndarray) -> Runs:
+    """The runs of windows of `size` tokens that choose one anchor, a gram of `gram` tokens; `name` gives the names of the tokens of a document by its number."""
+    found: list[list[np.ndarray]] = [[] for _ in range(6)]
+    held: list[tuple[int, int, np.ndarray]] = []
+
+    def search() -> None:
+        """The runs of the held stretches (document, first token, names), all at once: windows across two of them are left out."""
+        length = np.array([len(n) for _, _, n in held])
+        base = np.cumsum(length) - length
+        prefix = tk.prefix_hash(np.concatenate([n for _, _, n in held]))
+        grams = tk.window_hash(prefix, gram)
+        at = np.repeat(base, length - size + 1) + tk.counted(length - size + 1)
+        chosen = tk.selected(grams, size - gram + 1)[at]
+        first, last = tk.run_bounds(chosen)
+        anchor, begin, end = chosen[first], at[first], at[last]
+        of = np.searchsorted(base, begin, "right") - 1
+        parts = (
+            np.array([d for d, _, _ in held])[of],
+            begin - base[of] + np.array([low for _, low, _ in held])[of],
+            end - begin + 1,
+            anchor - begin,
+            tk.mix64(grams[anchor]),  # chosen grams are small, their mixed names are not
+            tk.mix64(tk.span_hash(prefix, begin, end + size) ^ (anchor - begin).astype(np.uint64)),
+        )
+        for kept, part in zip(found, parts, strict=True):
+            kept.append(part)
+        held.clear()
+
+    tokens = 0
+    for d in range(len(ids)):
+        names = name(d)
+        for low in range(0, max(0, len(names) - size + 1), SLICE):
             part = names[low : low + SLICE + size - 1]
-            prefix = tk.prefix_hash(part)
-            grams = tk.window_hash(prefix, gram)
-            chosen = tk.selected(grams, size - gram + 1)
-            first, last = tk.run_bounds(chosen)
-            anchor = chosen[first]
-            document.append(np.full(len(first), d, np.int64))
-            start.append(first + low)
-            count.append(last - first + 1)
-            offset.append(anchor - first)
-            anchors.append(tk.mix64(grams[anchor]))  # chosen grams are small, their mixed names are not
-            contents.append(tk.mix64(tk.span_hash(prefix, first, last + size) ^ (anchor - first).astype(np.uint64)))
+            held.append((d, low, part))
+            tokens += len(part)
+            if tokens >= SLICE:
+                search()
+                tokens = 0
+    if held:
+        search()
     join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-    document, start, count, offset = (join(x, np.int64) for x in (document, start, count, offset))
-    anchors, contents = join(anchors, np.uint64), join(contents, np.uint64)
+    document, start, count, offset = (join(x, np.int64) for x in found[:4])
+    anchors, contents = (join(x, np.uint64) for x in found[4:])
     # the first run of a record is the earliest: by document id, then by place
     order = np.lexsort((start, ids[document] if len(document) else document, contents, anchors))
     new = np.ones(len(order), bool)

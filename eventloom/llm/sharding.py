@@ -1,30 +1,38 @@
 """Sharding as a two-pass external shuffle, in DataFrame and SQL functions alone.
 
-Pass one scatters records by seeded hashes of their doc_id: the shard by jump consistent hashing,
-the bucket within the shard uniformly, with as many buckets as keep each within
-`bucket_rows` rows and `bucket_bytes` bytes of text on average. Pass two runs a Fisher-Yates
-shuffle over each bucket: the swaps are drawn from a seeded hash of (shard, bucket, step), so a
-retried task or another run gives the same permutation. Slots are gapless within a shard: the
-buckets' sizes are summed in order, and a record's slot is its bucket's offset plus its position.
+Pass one scatters records by seeded hashes: the shard by jump consistent hashing of the doc_id, the
+bucket within the shard uniformly by a hash of the whole record, with as many buckets in a shard as
+keep each within `bucket_rows` rows and `bucket_bytes` bytes of text on average. Pass two runs a
+Fisher-Yates shuffle over each bucket: the swaps are drawn from a seeded hash of (shard, bucket,
+step), so a retried task or another run gives the same permutation. Slots are gapless within a
+shard: the buckets' sizes are summed in order, and a record's slot is its bucket's offset plus its
+position.
 
 Law `key`: doc_id and the number of shards decide the shard. When one shard is added, a record
 either stays or goes to the new shard.
 
-Copies of one text have different ids, so they scatter like other records. Only the small table
-of bucket sizes is summed in order, one task per shard.
+Skew: records of one doc_id (or none) share a shard, as the law has it, but not a bucket. Records
+that are equal in all columns are counted first; one of each is kept and made as many times as it
+was counted, in pieces of PIECE, each copy with a number of its own, which scatters it like
+other records. Only the small table of bucket sizes is summed in order, one task per shard.
 
 Edge cases: a null text has size 1; rows with a null doc_id share one shard; rows that repeat a
-doc_id share shard and bucket and get slots of their own in order of their text; an empty table
-gives no rows. Extra columns pass through; input columns named shard, slot or grown_shard are
-replaced.
+doc_id share a shard and get slots of their own; very long texts count by their bytes when buckets are
+sized; an empty table gives no rows. Extra columns of any type pass through; input columns named
+shard, slot or grown_shard are replaced, and so are those named like the columns used meanwhile (see `made`).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
-from eventloom.llm.common import text_or_empty
+from eventloom.llm.common import materialised, text_or_empty
+from eventloom.llm.ranks import join_ranks, split_hot
+
+#: Copies of one record that a task makes at once.
+PIECE = 4096
 
 
 def jump_shard(key: Column, shards: int, seed: int = 17) -> Column:
@@ -49,24 +57,50 @@ def fisher_yates(size: Column, *salts: Column | int) -> Column:
     return F.aggregate(steps, start, step)
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, bucket_rows: int = 400, bucket_bytes: int = 8 << 20) -> DataFrame:
+def _has_map(kind: DataType) -> bool:
+    if isinstance(kind, ArrayType):
+        return _has_map(kind.elementType)
+    return isinstance(kind, MapType) or isinstance(kind, StructType) and any(_has_map(f.dataType) for f in kind)
+
+
+def numbered_copies(docs: DataFrame) -> DataFrame:
+    """`docs` with __same and __twin (two hashes of the whole row) and __copy (a number among equal rows, from 0)."""
+    # maps cannot be hashed as they are
+    content = [F.to_json(F.struct(F.col(f.name))) if _has_map(f.dataType) else F.col(f.name) for f in docs.schema]
+    hashed = docs.withColumn("__same", F.xxhash64(*content)).withColumn("__twin", F.xxhash64(F.lit(1), *content))
+    names = ["__same", "__twin"]
+    twins = materialised(hashed.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    total = twins.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    if not total:
+        return hashed.withColumn("__copy", F.lit(0).cast("long"))
+    hot, cold = split_hot(twins, total)
+    single = hashed.join(F.broadcast(hot), names, "left_anti").join(cold, names, "left_anti").withColumn("__copy", F.lit(0).cast("long"))
+    one = join_ranks(hashed, twins, names, total).groupBy(*names).agg(F.first(F.struct(*[F.col(c) for c in docs.columns])).alias("__row"), F.first("n").alias("__n"))
+    pieces = one.withColumn("__piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / PIECE)))).repartition(*names, "__piece")
+    copies = pieces.withColumn("__copy", F.explode(F.sequence(F.col("__piece") * PIECE, F.least(F.col("__n"), (F.col("__piece") + 1) * PIECE) - 1)))
+    return single.unionByName(copies.select("__row.*", *names, "__copy"))
+
+
+def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, bucket_rows: int = 128, bucket_bytes: int = 8 << 20) -> DataFrame:
     """`docs` with shard (int), slot (long, from 0 in each shard) and grown_shard (int, the shard if there were one more)."""
-    made = ("shard", "slot", "grown_shard", "__bucket", "__offset", "__rows", "__order", "__at", "__row")
-    docs = docs.drop(*(c for c in docs.columns if c.lower() in made))
-    weight = docs.select(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(text_or_empty(text_col))), F.lit(0)).alias("b")).first()
-    buckets = max(1, -(-weight["n"] // (shards * bucket_rows)), -(-weight["b"] // (shards * bucket_bytes)))
-    key = F.col(id_col)
-    scattered = docs.withColumn("shard", jump_shard(key, shards, seed)).withColumn("__bucket", F.pmod(F.xxhash64(key, F.lit(seed + 1)), F.lit(buckets)))
+    made = ("shard", "slot", "grown_shard", "__bucket", "__offset", "__rows", "__order", "__at", "__row", "__same", "__twin", "__copy", "__n", "__piece", "__ranked", "n")
+    extra = [c for c in docs.columns if c.lower() == "n"]
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in made and c not in extra)).withColumnsRenamed({c: f"__kept_{c}" for c in extra})
+    key, names = F.col(id_col), docs.columns
+    rows = numbered_copies(docs).withColumn("shard", jump_shard(key, shards, seed))
+    weights = {r["shard"]: r for r in rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(text_or_empty(text_col))).alias("b")).collect()}  # a row a shard
+    buckets = [max(1, -(-weights[k]["n"] // bucket_rows), -(-weights[k]["b"] // bucket_bytes)) if k in weights else 1 for k in range(shards)]
+    scattered = rows.withColumn("__bucket", F.pmod(F.xxhash64("__same", "__copy", F.lit(seed + 1)), F.element_at(F.array(*[F.lit(b).cast("long") for b in buckets]), F.col("shard") + 1)))
     in_order = Window.partitionBy("shard").orderBy("__bucket")
     offsets = (
         scattered.groupBy("shard", "__bucket")
         .agg(F.count(F.lit(1)).alias("__n"))
         .select("shard", "__bucket", (F.sum("__n").over(in_order) - F.col("__n")).alias("__offset"))
     )
-    record = F.struct(F.xxhash64(key, F.lit(seed + 2)).alias("draw"), key.alias("id"), F.xxhash64(F.col(text_col)).alias("body"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    record = F.struct(F.xxhash64("__same", "__copy", F.lit(seed + 2)).alias("draw"), F.col("__same").alias("same"), F.col("__twin").alias("twin"), F.col("__copy").alias("copy"), F.struct(*[F.col(c) for c in names]).alias("row"))
     gathered = scattered.repartition("shard", "__bucket").groupBy("shard", "__bucket").agg(F.collect_list(record).alias("__rows"))
-    # the order before the shuffle: seeded hash, id, hash of the text; the place in the gathered list breaks ties of equal rows only
-    ranked = F.sort_array(F.transform("__rows", lambda r, k: F.struct(r["draw"].alias("draw"), r["id"].alias("id"), r["body"].alias("body"), k.alias("k"))))
+    # the order before the shuffle: seeded hash, then the hashes and number of the row
+    ranked = F.sort_array(F.transform("__rows", lambda r, k: F.struct(r["draw"].alias("draw"), r["same"].alias("same"), r["twin"].alias("twin"), r["copy"].alias("copy"), k.alias("k"))))
     permuted = F.transform(F.col("__order"), lambda p: F.get(F.col("__rows"), F.get(F.col("__ranked"), p)["k"])["row"])
     shuffled = (
         gathered.withColumn("__ranked", ranked)
@@ -77,7 +111,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
     )
     out = shuffled.select("__row.*", "shard", (F.col("__offset") + F.col("__at")).cast("long").alias("slot"))
     grown = F.when(jump_shard(key, shards + 1, seed) == shards, F.lit(shards)).otherwise(F.col("shard"))
-    return out.withColumn("grown_shard", grown.cast("int"))
+    return out.withColumn("grown_shard", grown.cast("int")).withColumnsRenamed({f"__kept_{c}": c for c in extra})
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

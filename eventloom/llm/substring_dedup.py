@@ -35,9 +35,10 @@ raise). Extra columns are not read.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,38 +61,13 @@ _TO_BLOCK = pa.schema([("block", pa.int64()), ("kind", pa.int64()), ("bucket", p
 _PIECES = pa.schema([("block", pa.int64()), ("data", pa.binary())])
 
 
-class _Names(dict):
-    """64-bit names of words, made on first sight."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = name = xxhash.xxh64_intdigest(word, 11)
-        return name
-
-
-_known = _Names()
-
-
-def word_names(words: list[bytes]) -> np.ndarray:
-    if len(_known) > 1 << 20:
-        _known.clear()
-    return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
-
-
-def _names(text: bytes) -> np.ndarray:
-    return word_names(text.split())
-
-
-def _window_names(names: np.ndarray, size: int) -> np.ndarray:
-    return tk.window_hash(tk.prefix_hash(names), size)
-
-
 def _file_stretches(size: int, gram: int, buckets: int):
     """A block's records to the index: one for each distinct stretch, at its earliest place."""
 
     def run(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
         ids, texts, _ = documents(table)
-        runs = find_runs(_names, size, gram, ids, texts)
+        runs = find_runs(tk.all_word_names(texts).__getitem__, size, gram, ids)
         first, bucket = runs.first, bucket_of(runs.anchors, buckets)
         order = np.lexsort((runs.start[first], runs.document[first], bucket))
         columns = [runs.anchors, runs.contents, ids[runs.document[first]], runs.document[first], runs.start[first], runs.count[first]]
@@ -156,24 +132,21 @@ def _file_windows(size: int, gram: int, buckets: int):
             return rows_table(_TO_BUCKET, [])
         block = table.column("block")[0].as_py()
         ids, texts, _ = documents(table)
-        runs = find_runs(_names, size, gram, ids, texts)
+        named = tk.all_word_names(texts)
+        runs = find_runs(named.__getitem__, size, gram, ids)
         first, bucket = runs.first, bucket_of(runs.anchors, buckets)
         order = np.lexsort((runs.start[first], runs.document[first], bucket))
         got = dict(zip(answers.column("bucket").to_pylist(), answers.column("data").to_pylist(), strict=True))
         flagged = [order[a:b][np.frombuffer(got[to], bool)] for to, a, b in slices(bucket[order])]
         chosen = first[np.concatenate(flagged)] if flagged else first[:0]
         chosen = chosen[np.lexsort((runs.start[chosen], runs.document[chosen]))]
-        names, document, start = [], [], []
-        for d, a, b in slices(runs.document[chosen]):
-            of_text = _window_names(_names(texts[d]), size)
-            begin, count = runs.start[chosen[a:b]], runs.count[chosen[a:b]]
-            place = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-            names.append(of_text[place])
-            document.append(np.full(len(place), d))
-            start.append(place)
-        if not names:
+        if not len(chosen):
             return rows_table(_TO_BUCKET, [])
-        names, document, start = (np.concatenate(x) for x in (names, document, start))
+        every, counts = tk.all_windows(named, size)
+        count = runs.count[chosen]
+        document = np.repeat(runs.document[chosen], count)
+        start = np.repeat(runs.start[chosen], count) + tk.counted(count)
+        names = every[(np.cumsum(counts) - counts)[document] + start]
         # a window once a block, at its earliest place
         order = np.lexsort((start, ids[document], names))
         order = order[tk.run_bounds(names[order])[0]]
@@ -222,18 +195,12 @@ class Reference:
 
     def __init__(self, segments: list[tuple[int, int, bytes]], size: int):
         self.size, self.segments = size, segments
-        self.names: list[np.ndarray] = []
+        self.names = tk.all_word_names([text for _, _, text in segments])
         self._words: dict[int, list[bytes]] = {}
-        windows = []
-        for _, _, text in segments:
-            self.names.append(_names(text))
-            windows.append(_window_names(self.names[-1], size))
-        lengths = np.array([len(w) for w in windows], np.int64)
-        name = np.concatenate(windows) if windows else np.zeros(0, np.uint64)
-        segment = np.repeat(np.arange(len(windows)), lengths)
-        offset = np.arange(len(name)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        name, lengths = tk.all_windows(self.names, size)
+        segment, offset = np.repeat(np.arange(len(lengths)), lengths), tk.counted(lengths)
         # only windows that occur twice can stand earlier
-        order = np.argsort(name, kind="stable")
+        order = np.argsort(name)
         first, last = tk.run_bounds(name[order])
         order = order[np.repeat(last > first, last - first + 1)]
         name, segment, offset = name[order], segment[order], offset[order]
@@ -293,12 +260,12 @@ def factors(reference: Reference, segment: int, windows: np.ndarray, entries: np
     After a factor the parse goes on with the first window that crosses its end.
     """
     found, k = [], 0
-    while k < len(windows):
-        start = int(windows[k])
-        n = reference.factor(segment, start, int(entries[k]))
+    at, number = windows.tolist(), entries.tolist()
+    while k < len(at):
+        n = reference.factor(segment, at[k], number[k])
         if n:
-            found.append((start, start + n))
-            k = int(np.searchsorted(windows, start + n - reference.size + 1))
+            found.append((at[k], at[k] + n))
+            k = bisect_left(at, at[k] + n - reference.size + 1, k)
         else:
             k += 1
     return found

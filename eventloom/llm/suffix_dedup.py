@@ -75,7 +75,7 @@ class Search:
         return min(3, self.size // self.cell)
 
     def runs(self, ids: np.ndarray, texts: list[bytes]) -> Runs:
-        return find_runs(_names, self.size, self.gram, ids, texts)
+        return find_runs(lambda d: _names(texts[d]), self.size, self.gram, ids)
 
 
 def _names(text: bytes) -> np.ndarray:
@@ -185,11 +185,6 @@ def _by_document(runs: Runs, records: np.ndarray):
         yield d, records[a:b]
 
 
-def _counted(count: np.ndarray) -> np.ndarray:
-    """0 .. count - 1 for each count, in one array."""
-    return np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-
-
 def _cells(search: Search, buckets: int):
     """The cells of the records that are to be ranked, a row each: Spark's positions."""
 
@@ -206,7 +201,7 @@ def _cells(search: Search, buckets: int):
             first = runs.first[chosen]
             low = -(runs.offset[first] // search.cell)
             count = (runs.count[first] + search.size - 1 - runs.offset[first]) // search.cell - low
-            cell = np.repeat(low, count) + _counted(count)
+            cell = np.repeat(low, count) + tk.counted(count)
             begin = np.repeat(runs.start[first] + runs.offset[first], count) + cell * search.cell
             records.append(np.repeat(chosen, count))
             places.append(cell)
@@ -233,7 +228,7 @@ def spread_strings(search: Search, runs: Runs, flags: np.ndarray, texts: list[by
     for d, chosen in _by_document(runs, np.flatnonzero((flags & (RANKED | SPREAD)) == (RANKED | SPREAD))):
         prefix = tk.prefix_hash(_names(texts[d]))
         count = runs.count[runs.first[chosen]]
-        at = _counted(count)
+        at = tk.counted(count)
         start = np.repeat(runs.start[runs.first[chosen]], count) + at
         record.append(np.repeat(chosen, count))
         offset.append(at)
@@ -286,7 +281,7 @@ def _repeated_strings(search: Search, anchors: np.ndarray, counts: np.ndarray, d
 
     def rank(records: np.ndarray) -> None:
         held = np.concatenate([data[p : p + n] for p, n in zip(place[records].tolist(), lengths[records].tolist(), strict=True)])
-        inside = _counted(counts[records])
+        inside = tk.counted(counts[records])
         at = np.repeat(np.cumsum(lengths[records]) - lengths[records], counts[records]) + inside
         mask[(np.repeat(base[records], counts[records]) + inside)[doubled(held, at, search.size)]] = True
 
@@ -357,7 +352,7 @@ def _cut(search: Search, buckets: int, schema: pa.Schema):
         since, upto = np.searchsorted(record, runs.record, "left"), np.searchsorted(record, runs.record, "right")
         count = np.where(whole, 0, upto - since)
         run_of = np.repeat(np.arange(len(count)), count)
-        stretch = np.repeat(since, count) + _counted(count)
+        stretch = np.repeat(since, count) + tk.counted(count)
         begin = np.concatenate((runs.start[whole], runs.start[run_of] + low[stretch]))
         stop = np.concatenate(((runs.start + runs.count)[whole], runs.start[run_of] + high[stretch])) - 1 + search.size
         document = np.concatenate((runs.document[whole], runs.document[run_of]))

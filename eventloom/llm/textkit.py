@@ -7,11 +7,13 @@ document (or a long slice of one) without a Python step per byte.
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 #: The bytes that separate words: space and the controls from tab to carriage return.
 SPACE_BYTES = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 
 _U64 = np.uint64
+_FULL = _U64(0xFFFFFFFFFFFFFFFF)
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _IS_SPACE = np.zeros(256, dtype=bool)
@@ -79,12 +81,53 @@ def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2], edge[1::2]
 
 
-def word_names(data: bytes, seed_table: np.ndarray = BYTE_NAMES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and 64-bit names of the words of a text."""
+#: Bytes up to which words are named eight at a time, all at once; longer ones are named one by one.
+LONG_WORD = 64
+
+
+def word_names(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and 64-bit names of the words of a text: each eight bytes are mixed in before the next."""
     start, end = word_spans(data)
     if not len(start):
         return start, end, np.zeros(0, np.uint64)
-    return start, end, span_hash(prefix_hash(seed_table[np.frombuffer(data, np.uint8)]), start, end)
+    padded = np.frombuffer(data + bytes(8), np.uint8)
+    eights = np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))  # the eight bytes from each place on
+    size = end - start
+    names = mix64(size.astype(np.uint64) * _U64(_BASE))
+    left = np.arange(len(start))
+    for at in range(0, LONG_WORD, 8):
+        held = np.minimum(size[left] - at, 8)
+        part = eights[start[left] + at] & (_FULL >> ((8 - held) * 8).astype(np.uint64))
+        names[left] = mix64((names[left] ^ part) * _U64(_BASE) + _U64(at))
+        left = left[size[left] > at + 8]
+        if not len(left):
+            break
+    for k in np.flatnonzero(size > LONG_WORD).tolist():
+        names[k] = xxhash.xxh64_intdigest(data[start[k] : end[k]], 11)
+    return start, end, names
+
+
+def all_word_names(texts: list[bytes], most: int = 8 << 20) -> list[np.ndarray]:
+    """The names of the words of each text; short texts are named together."""
+    out: list[np.ndarray] = []
+    group: list[bytes] = []
+    held = 0
+
+    def named() -> None:
+        start, _, names = word_names(b" ".join(group))
+        edges = np.cumsum([0, *(len(t) + 1 for t in group)])
+        cuts = np.searchsorted(start, edges)
+        out.extend(names[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+
+    for text in texts:
+        group.append(text)
+        held += len(text)
+        if held >= most:
+            named()
+            group, held = [], 0
+    if group:
+        named()
+    return out
 
 
 def selected(grams: np.ndarray, width: int) -> np.ndarray:
@@ -123,3 +166,18 @@ def covered(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     np.add.at(steps, start, 1)
     np.add.at(steps, end, -1)
     return np.cumsum(steps[:n]) > 0
+
+
+def counted(count: np.ndarray) -> np.ndarray:
+    """0 .. count - 1 for each count, in one array."""
+    return np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+
+
+def all_windows(named: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The names of the windows of all sequences, one sequence after the other, and how many each has."""
+    length = np.array([len(n) for n in named], np.int64)
+    count = np.maximum(length - size + 1, 0)
+    if not count.any():
+        return np.zeros(0, np.uint64), count
+    every = window_hash(prefix_hash(np.concatenate(named)), size)
+    return every[np.repeat(np.cumsum(length) - length, count) + counted(count)], count

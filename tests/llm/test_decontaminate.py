@@ -1,3 +1,7 @@
+import random
+from functools import lru_cache
+
+import regex
 from pyspark.sql import functions as F
 
 from eventloom.llm import decontaminate, queries
@@ -78,3 +82,94 @@ def test_case_does_not_hide_a_passage(make, spark):
     for before in range(9):
         text = " ".join(["fill"] * before + shouted.split()[4:12] + ["end"])
         assert flagged(make, [text], spark) == {0: [2]}
+
+
+@lru_cache
+def plain_words(text):
+    return tuple(w for w in regex.split(r"[\x20\x09-\x0D]+", text or "") if regex.search(r"[\p{L}\p{N}]", w))
+
+
+@lru_cache
+def plain_core(word):
+    return regex.sub(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "", word).lower()
+
+
+@lru_cache
+def plain_forms(words):
+    return [plain_form(words, k) for k in range(len(words))]
+
+
+def plain_form(words, k):
+    word, before, core = words[k], words[k - 1] if k else "", plain_core(words[k])
+    if regex.search(r"\p{N}", word):
+        return "<num>"
+    if k and regex.match(r"[^\p{L}]*\p{Lu}", word) and not regex.search(r"[.!?:;][^\p{L}\p{N}]*$", before):
+        return "<name>"
+    return "<unit>" if k and regex.search(r"\p{N}", before) and core in decontaminate.UNITS else core
+
+
+def plain_match(a, i, b, j, n, min_literal):
+    """Whether the n words of a from i and of b from j match: by the same words, or as templates whose slots map one to one."""
+    left, right = [plain_core(w) for w in a[i : i + n]], [plain_core(w) for w in b[j : j + n]]
+    if left == right:
+        return True
+    forms = plain_forms(a)[i : i + n]
+    if forms != plain_forms(b)[j : j + n]:
+        return False
+    slots = [(x, y) for x, y, f in zip(left, right, forms, strict=True) if f in ("<num>", "<unit>", "<name>")]
+    one_to_one = len({x for x, _ in slots}) == len({y for _, y in slots}) == len(set(slots))
+    return one_to_one and (n - len(slots) >= min_literal or [w.lower() for w in a[i : i + n]] == [w.lower() for w in b[j : j + n]])
+
+
+def plain_matches(text, items, window=8, min_forms=5, min_literal=4):
+    """The items of which a text holds a window, comparing each place of the one with each of the other."""
+    have, found = plain_words(text), []
+    for item, body in items:
+        wanted = plain_words(body)
+        n = min(window, len(wanted))
+        if len(wanted) >= min_forms and any(plain_match(wanted, i, have, j, n, min_literal) for i in range(len(wanted) - n + 1) for j in range(len(have) - n + 1)):
+            found.append(item)
+    return found
+
+
+def test_equals_a_plain_matcher(make, spark):
+    rng = random.Random(11)
+    names, units, verbs = ["Anna", "Bob", "Carl", "Oslo", "Rome"], ["km", "kg", "hours", "miles"], ["walks", "buys", "sees", "and", "from", "to", "by", "the"]
+
+    def sentence(n):
+        out = []
+        for _ in range(n):
+            kind = rng.random()
+            out.append(rng.choice(names) if kind < 0.2 else str(rng.randint(1, 4)) if kind < 0.3 else rng.choice(units) if kind < 0.4 else rng.choice(verbs) + rng.choice(["", "", "", ",", "."]))
+        return out
+
+    items = [(k, " ".join(sentence(rng.randint(3, 14)))) for k in range(25)]
+    texts = []
+    for k in range(120):
+        words = sentence(rng.randint(0, 12)) + list(plain_words(items[k % 25][1])) + sentence(rng.randint(0, 6))
+        for _ in range(rng.randint(0, 3)):  # other values in some places
+            at = rng.randrange(len(words))
+            words[at] = rng.choice(names) if words[at][0].isupper() else str(rng.randint(1, 9)) if words[at].isdigit() else words[at].upper() if rng.random() < 0.3 else words[at]
+        texts.append(" ".join(words))
+    frame = spark.createDataFrame(items, "item_id int, text string")
+    for options in ({}, {"window": 5, "min_forms": 3, "min_literal": 2}):
+        found = {r.doc_id: list(r.item_ids) for r in decontaminate.contamination(make(list(enumerate(texts))), frame, **options).collect()}
+        expected = {k: plain_matches(t, items, **options) for k, t in enumerate(texts)}
+        assert found == expected and 20 < sum(map(bool, expected.values()))
+
+
+def test_query_equals_a_plain_matcher(spark, data):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()][:12]
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.read.parquet(f"{data}/documents.parquet").where(F.length("text") < 1500)
+    found = {r.doc_id: list(r.item_ids) for r in decontaminate.contamination(docs.select("doc_id", "text"), frame).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    # templates are compared word by word only where three of an item's words stand in the text in a row
+    grams = {i: {tuple(plain_forms(w)[k : k + 3]) for w in [plain_words(t)] for k in range(len(w) - 2)} for i, t in items}
+    plain = {i: {tuple(map(plain_core, w[k : k + 3])) for w in [plain_words(t)] for k in range(len(w) - 2)} for i, t in items}
+    for doc, text in texts.items():
+        words = plain_words(text)
+        have = {tuple(plain_forms(words)[k : k + 3]) for k in range(len(words) - 2)}
+        cores = {tuple(map(plain_core, words[k : k + 3])) for k in range(len(words) - 2)}
+        likely = [(i, t) for i, t in items if have & grams[i] or cores & plain[i]]
+        assert found[doc] == plain_matches(text, likely)

@@ -67,3 +67,45 @@ def test_windows_cover_the_whole_text():
     data = bytes(range(1, 256)) * 7
     assert language.windows(data).tobytes().rstrip(b"\0") == data
     assert language.windows(b"").shape == (1, language.WINDOW)
+
+
+def test_repeated_rows_do_not_widen_the_sample(make, monkeypatch):
+    """Rows of one id, equal or not, count against the bound like others."""
+    seen = []
+    monkeypatch.setattr(language, "SAMPLE_DOCUMENTS", 40)
+    monkeypatch.setattr(language, "fit", lambda x, labels, **_: seen.append((len(x), labels)))
+    long = "the house and the walk of that thing " * 60
+    rows = [(1, long, "en")] * 300 + [(2, f"{i} {long}", "en") for i in range(300)] + [(None, f"der und nicht {i}", "de") for i in range(100)]
+    language.train(make(rows))
+    (n, labels), = seen
+    assert labels.count("de") == 40 and labels.count("en") <= 40 * language.SAMPLE_WINDOWS and n == len(labels)
+
+
+def plain_prediction(model, text):
+    """Language and score with loops over windows, places, filters and languages."""
+    if not text or not any(map(str.isalpha, text)):
+        return "und", 0.0
+    data = text.encode()
+    mean = np.zeros(len(model.languages))
+    cut = [data[i : i + language.WINDOW].ljust(language.WINDOW, b"\0") for i in range(0, len(data), language.WINDOW)]
+    for part in cut:
+        pooled = []
+        for table, bias in zip(model.tables, model.biases, strict=True):
+            for f in range(language.FILTERS):
+                best = max(sum(float(table[j][part[i + j]][f]) for j in range(len(table))) for i in range(len(part) - len(table) + 1))
+                pooled.append(max(0.0, best + float(bias[f])))
+        scores = np.array(pooled) @ model.weights.astype(float) + model.offset
+        mean += (scores - np.log(np.exp(scores - scores.max()).sum()) - scores.max()) / len(cut)
+    share = np.exp(mean - mean.max())
+    share /= share.sum()
+    return model.languages[int(share.argmax())], float(share.max())
+
+
+def test_predictions_equal_plain_loops(make):
+    rows = [*corpus(60), (100, "the " * 400, None), (101, "1 2 3", None), (102, None, None)]
+    df = make(rows)
+    model = language.train(df)
+    found = {r.doc_id: r for r in language.predict(df, model).collect()}
+    for i, text, *_ in rows[::7] + rows[-3:]:
+        lang, score = plain_prediction(model, text)
+        assert found[i].lang_pred == lang and abs(found[i].score - score) < 1e-3

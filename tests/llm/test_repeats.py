@@ -103,9 +103,11 @@ def test_equal_names_do_not_make_words_equal(make, monkeypatch):
     """Even if every name collides, only equal words are removed."""
     import numpy as np
 
+    from eventloom.llm import textkit as tk
+
     rows = [(i, " ".join(f"d{i}w{k}" for k in range(30))) for i in range(4)]
     segments = [(i, 0, t.encode()) for i, t in rows] + [(0, 5, b" ".join(rows[3][1].encode().split()[5:20]))]
-    monkeypatch.setattr(substring_dedup, "word_names", lambda words: np.ones(len(words), np.uint64))
+    monkeypatch.setattr(tk, "all_word_names", lambda texts: [np.ones(len(t.split()), np.uint64) for t in texts])
     reference = substring_dedup.Reference(segments, 8)
     found = reference.candidates(4)
     assert [substring_dedup.factors(reference, d, *found[d]) if d in found else [] for d in range(4)] == [[], [], [], [(5, 20)]]
@@ -133,7 +135,7 @@ def test_long_texts_are_searched_in_slices(make, monkeypatch):
     rows = corpus(3)
     monkeypatch.setattr(repeats, "SLICE", 16)
     ids, texts = np.arange(len(rows)), [t.encode() for _, t in rows]
-    runs = repeats.find_runs(suffix_dedup._names, 40, 8, ids, texts)
+    runs = repeats.find_runs(lambda d: suffix_dedup._names(texts[d]), 40, 8, ids)
     windows = sum(max(0, len(t) - 39) for t in texts)
     assert runs.count.sum() == windows and runs.count.max() <= 16
 
@@ -160,6 +162,20 @@ def test_doubling_finds_shared_suffixes(size):
     assert sorted(suffix_dedup.doubled(np.frombuffer(data, np.uint8), at, size).tolist()) == expected
 
 
+def test_names_of_words():
+    from eventloom.llm import textkit as tk
+
+    rng = random.Random(5)
+    texts = [b"", b"  ", b"a", *(bytes(rng.choice(b"ab \n\t") for _ in range(rng.randint(0, 200))) for _ in range(60)), b"x" * 63 + b" " + b"x" * 64 + b" " + b"x" * 65 + b" " + b"x" * 1000 + b" x"]
+    named = tk.all_word_names(texts, 300)
+    by_word = {}
+    for text, names in zip(texts, named, strict=True):
+        assert len(names) == len(text.split())
+        for word, name in zip(text.split(), names.tolist(), strict=True):
+            assert by_word.setdefault(word, name) == name
+    assert len(set(by_word.values())) == len(by_word)
+
+
 def test_text_ids_are_refused(spark):
     df = spark.createDataFrame([("a", "text")], "doc_id string, text string")
     for operator in (substring_dedup.drop_repeated_phrases, suffix_dedup.drop_repeated_bytes):

@@ -1,5 +1,8 @@
+import struct
 import zlib
+from collections import Counter
 
+import xxhash
 from pyspark.sql import functions as F
 
 from eventloom.llm import queries, sharding
@@ -9,6 +12,7 @@ from eventloom.llm.sharding import fisher_yates, shard_documents
 def test_hard_cases(hard, none):
     clash = hard.withColumn("slot", F.lit("x")).withColumn("__rows", F.lit(1)).withColumn("m", F.create_map(F.lit("k"), F.lit(1)))
     rows = shard_documents(clash, 8, bucket_rows=2).collect()
+    assert shard_documents(hard.withColumn("n", F.lit("kept")), 8).select("n").distinct().collect() == [("kept",)]
     assert sorted((r.doc_id, r.text) for r in rows if r.doc_id and r.text) == sorted((r.doc_id, r.text) for r in hard.collect() if r.doc_id and r.text)
     assert len(rows) == hard.count()
     for s in range(8):
@@ -36,6 +40,70 @@ def test_fisher_yates_permutes(spark):
     assert any(r.p != sorted(r.p) for r in rows)
 
 
+def spark_hash(*values):
+    """xxhash64 of Spark: longs (int) and ints ((int,)) by their bytes, texts in UTF-8, each seeded with the one before; nulls change nothing."""
+    h = 42
+    for v in values:
+        if v is not None:
+            data = v.encode() if isinstance(v, str) else struct.pack("<i", v[0]) if isinstance(v, tuple) else struct.pack("<q", v)
+            h = xxhash.xxh64_intdigest(data, h)
+    return h
+
+
+def signed(h):
+    return h - (1 << 64) if h >> 63 else h
+
+
+def plain_shards(rows, shards, seed, bucket_rows):
+    """{shard: rows in the order of their slots} by plain jump hashing and Fisher-Yates; rows are (doc_id, text)."""
+
+    def shard_of(key):
+        found = 0
+        for j in range(1, shards):
+            if (spark_hash(key, (j,), (seed,)) >> 11) / (1 << 53) < 1 / (j + 1):
+                found = j
+        return found
+
+    seen, placed = Counter(), {}
+    for i, t in sorted(rows, key=repr):
+        placed.setdefault(shard_of(i), []).append((i, t, signed(spark_hash(i, t)), signed(spark_hash((1,), i, t)), seen[i, t]))
+        seen[i, t] += 1
+    out = {}
+    for shard, members in placed.items():
+        buckets = max(1, -(-len(members) // bucket_rows))
+        parts = {}
+        for i, t, same, twin, copy in members:
+            parts.setdefault(signed(spark_hash(same, copy, (seed + 1,))) % buckets, []).append((signed(spark_hash(same, copy, (seed + 2,))), same, twin, copy, i, t))
+        out[shard] = []
+        for bucket in sorted(parts):
+            order = [x[4:] for x in sorted(parts[bucket], key=lambda x: x[:4])]
+            for k in range(len(order) - 1, 0, -1):
+                j = signed(spark_hash((k,), (shard,), bucket, (seed,))) % (k + 1)
+                order[k], order[j] = order[j], order[k]
+            out[shard] += order
+    return out
+
+
+def test_equals_plain_jump_hashing_and_fisher_yates(make, hard):
+    rows = [(i, f"text {i % 5}") for i in range(300)] + [(7, "again")] * 90 + [(None, f"none {i}") for i in range(150)] + [(r.doc_id, r.text) for r in hard.collect()]
+    df = make(rows).select("doc_id", "text")
+    for shards in (1, 3, 8):
+        got = {}
+        for r in shard_documents(df, shards, bucket_rows=20).orderBy("shard", "slot").collect():
+            got.setdefault(r.shard, []).append((r.doc_id, r.text))
+        assert got == plain_shards(rows, shards, 17, 20)
+
+
+def test_one_hot_id_is_spread_over_buckets(spark):
+    """A third of all rows are equal and another third have no id: buckets stay small."""
+    n = 24_000
+    df = spark.range(n).select(F.when(F.col("id") % 3 == 0, F.lit(5)).when(F.col("id") % 3 == 1, F.col("id")).cast("long").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("same")).otherwise(F.concat(F.lit("t"), "id")).alias("text"))
+    rows = shard_documents(df, 8).groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("last"), F.countDistinct("slot").alias("slots")).collect()
+    assert sum(r.n for r in rows) == n and all(r.last == r.n - 1 and r.slots == r.n for r in rows)
+    copies = sharding.numbered_copies(df).where("doc_id = 5 and text = 'same'").agg(F.countDistinct("__copy").alias("k"), F.count("*").alias("n")).first()
+    assert copies.k == copies.n == n // 3
+
+
 def test_shards_are_written_in_order(make, tmp_path):
     path = str(tmp_path / "shards")
     df = make([(i, f"t{i}") for i in range(50)])
