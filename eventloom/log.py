@@ -14,7 +14,7 @@ ROLES = ("case_id", "activity", "timestamp", "resource", "seq")
 
 #: Names by which columns are taken for a role, in order of preference.
 ROLE_NAMES = {
-    "case_id": ("case_id", "caseid", "case", "case:concept:name", "trace_id", "order_id", "ticket_id", "user_id"),
+    "case_id": ("case_id", "caseid", "case", "case:concept:name", "trace_id", "order_id", "orderid", "ticket_id", "user_id", "id"),
     "activity": ("activity", "concept:name", "event", "event_type", "action", "task", "step"),
     "timestamp": ("timestamp", "time:timestamp", "time", "datetime", "event_time", "ts", "created_at"),
     "resource": ("resource", "org:resource", "user", "agent", "performer", "assigned_to"),

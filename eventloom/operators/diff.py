@@ -45,6 +45,25 @@ def summary(left: DataFrame, right: DataFrame) -> DataFrame:
     return one(left, "left").unionByName(one(right, "right"))
 
 
+def hybrid(left: DataFrame, right: DataFrame, change: float = 0.1, most: int = 10, max_depth: int | None = None) -> DataFrame:
+    """The hybrid difference as (kind, name, left_value, right_value): time ranges that changed, nodes of the prefix trees by status, and those of the `most` slowest steps of either log whose mean duration changed by over `change` (or that only one has)."""
+    from eventloom.operators import mining, tree
+
+    ends = lambda log, side: log.where("timestamp > 0").agg(F.min("timestamp").alias("first event"), F.max("timestamp").alias("last event")).select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias(f"{side}_value")) for c in ("first event", "last event")])).alias("x")).select("x.*")
+    ranges = ends(left, "left").join(ends(right, "right"), "name").where("left_value <> right_value").select(F.lit("time range").alias("kind"), "name", "left_value", "right_value")
+    nodes = tree.compare(left, right, max_depth=max_depth).groupBy("status").agg(F.count(F.lit(1)).cast("double").alias("n")).select(F.lit("nodes").alias("kind"), F.col("status").alias("name"), F.lit(None).cast("double").alias("left_value"), F.col("n").alias("right_value"))
+
+    def slow(log: DataFrame, side: str) -> DataFrame:
+        steps = mining.intervals(log).groupBy("activity").agg(F.avg(F.col("end") - F.col("start")).alias(f"{side}_value"), F.count(F.lit(1)).alias("n"))
+        rank = F.row_number().over(Window.orderBy(F.desc(f"{side}_value"), "activity"))  # a row an activity
+        return steps.select(F.col("activity").alias("name"), f"{side}_value", rank.alias(f"{side}_rank"))
+
+    both = slow(left, "left").join(slow(right, "right"), "name", "full_outer").where(f"left_rank <= {most} or right_rank <= {most}")
+    moved = F.col("left_value").isNull() | F.col("right_value").isNull() | (F.abs(F.col("right_value") - F.col("left_value")) > F.lit(change) * F.col("left_value"))
+    slower = both.where(moved).select(F.lit("bottleneck").alias("kind"), "name", F.round("left_value", 3).alias("left_value"), F.round("right_value", 3).alias("right_value"))
+    return ranges.unionByName(nodes).unionByName(slower)
+
+
 def text_report(left: DataFrame, right: DataFrame, most: int = 20) -> str:
     """The differences as text: a line per log and per changed activity, the largest changes first."""
     lines = [f"{r.side}: {r.n_events} events, {r.n_cases} cases, average duration {r.avg_duration} ns" for r in summary(left, right).orderBy("side").collect()]

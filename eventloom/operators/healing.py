@@ -138,7 +138,9 @@ def heal(column: str | Column, delimiter: str = ",", columns: int | None = None,
         "whitespace": fix_space,
         "columns": lambda x: fix_columns(x, columns, delimiter) if columns else x,
     }
-    return reduce(lambda x, name: steps[name](x), [n for n in RULES if n in rules], c)
+    # a lambda's argument is made once, however often a rule reads it
+    healed = reduce(lambda x, name: F.transform(x, steps[name]), [n for n in RULES if n in rules], F.array(c))
+    return F.get(healed, F.lit(0))
 
 
 def corpus_patterns(df: DataFrame, column: str, **options) -> DataFrame:

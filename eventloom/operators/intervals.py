@@ -1,17 +1,18 @@
 """Joins on intervals and times: overlaps, stabbing queries, as-of lookups.
 
-Overlap joins cut time into cells of one width, give every interval a row for each cell that it
-touches and join on the cell; a pair is kept only in the cell where the later of the two starts,
-so it comes out once. The width follows the longest interval's share of the range, bounded so that an
-interval touches at most MOST_CELLS cells.
+Overlap joins cut time into cells of several widths, each STEP times the one before: an interval
+belongs to the narrowest that is not shorter than itself, so it touches two cells there at most. A pair meets in
+the cells of the longer interval's width, where the shorter is filed too, and is kept only in the cell where the later of the
+two starts, so it comes out once. One long interval thus widens no other's cells.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST_CELLS = 64
+#: Between one width and the next, and widths at most.
+STEP, MOST_WIDTHS = 8, 16
 
 
 def stab(spans: DataFrame, start: int, end: int) -> DataFrame:
@@ -19,24 +20,42 @@ def stab(spans: DataFrame, start: int, end: int) -> DataFrame:
     return spans.where((F.col("start") <= end) & (F.col("end") >= start))
 
 
-def _cell_width(spans: DataFrame) -> int:
-    row = spans.agg(F.expr("percentile_approx(`end` - `start`, 0.9)").alias("usual"), F.max(F.col("end") - F.col("start")).alias("longest")).first()
-    return max(1, int(row["usual"] or 1), -(-int(row["longest"] or 1) // MOST_CELLS))
+def _widths(spans: DataFrame, first: int | None = None) -> list[int]:
+    """Cell widths from `first` (or a usual length) up to the longest."""
+    row = spans.agg(F.expr("percentile_approx(`end` - `start`, 0.5)").alias("usual"), F.max(F.col("end") - F.col("start")).alias("longest")).first()
+    widths = [max(1, first or int(row["usual"] or 1))]
+    while widths[-1] < (row["longest"] or 1) and len(widths) < MOST_WIDTHS:
+        widths.append(widths[-1] * STEP)
+    widths[-1] = max(widths[-1], int(row["longest"] or 1))
+    return widths
 
 
-def _in_cells(spans: DataFrame, width: int, prefix: str) -> DataFrame:
-    cells = F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))
-    return spans.select(*[F.col(c).alias(f"{prefix}_{c}") for c in spans.columns], F.explode(cells).alias("cell"))
+def _in_cells(spans: DataFrame, widths: list[int], prefix: str) -> DataFrame:
+    """Intervals with a row for each cell that they touch of their own width (`own`) and of the wider ones."""
+    length = F.col("end") - F.col("start")
+    level = F.lit(len(widths) - 1)
+    for k in range(len(widths) - 2, -1, -1):
+        level = F.when(length <= widths[k], F.lit(k)).otherwise(level)
+
+    def filed(k: int, width: int) -> Column:
+        touched = F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))
+        return F.when(F.col("__level") <= k, F.transform(touched, lambda c: F.struct(F.lit(k).alias("level"), c.alias("cell"), (F.col("__level") == k).alias("own"))))
+
+    # an empty or reversed interval has no length; it is filed where it starts
+    leveled = spans.where(F.col("end") >= F.col("start")).withColumn("__level", level)
+    cells = F.flatten(F.array_compact(F.array(*[filed(k, w) for k, w in enumerate(widths)])))
+    return leveled.select(*[F.col(c).alias(f"{prefix}_{c}") for c in spans.columns], F.explode(cells).alias("x")).select(*[f"{prefix}_{c}" for c in spans.columns], "x.level", "x.cell", F.col("x.own").alias(f"{prefix}__own"))
 
 
 def overlaps(left: DataFrame, right: DataFrame, on: list[str] | None = None, width: int | None = None) -> DataFrame:
     """Pairs of intervals that share more than an instant, equal in the columns `on`: all columns of both with prefixes l_ and r_, and overlap_start, overlap_end."""
-    width = width or _cell_width(left.select("start", "end").unionByName(right.select("start", "end")))
-    a, b = _in_cells(left, width, "l"), _in_cells(right, width, "r")
-    same = (a["cell"] == b["cell"]) & (F.col("l_start") < F.col("r_end")) & (F.col("r_start") < F.col("l_end"))
+    widths = _widths(left.select("start", "end").unionByName(right.select("start", "end")), width)
+    a, b = _in_cells(left, widths, "l"), _in_cells(right, widths, "r")
+    same = (a["level"] == b["level"]) & (a["cell"] == b["cell"]) & (F.col("l_start") < F.col("r_end")) & (F.col("r_start") < F.col("l_end")) & (F.col("l__own") | F.col("r__own"))
     for c in on or []:
         same &= F.col(f"l_{c}") == F.col(f"r_{c}")
-    pairs = a.join(b, same).where(a["cell"] == F.floor(F.greatest("l_start", "r_start") / width)).drop("cell")
+    cell = F.element_at(F.array(*[F.lit(w).cast("long") for w in widths]), a["level"] + 1)
+    pairs = a.join(b, same).where(a["cell"] == F.floor(F.greatest("l_start", "r_start") / cell)).drop("level", "cell", "l__own", "r__own")
     return pairs.withColumn("overlap_start", F.greatest("l_start", "r_start")).withColumn("overlap_end", F.least("l_end", "r_end")).where("overlap_end > overlap_start")
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventloom.sources import stores
+
 TARGET_BYTES = 128 << 20
 
 
@@ -72,20 +75,62 @@ class Catalogue:
         path = f"{self.folder}/{name}/v{number}"
         df.write.parquet(path)
         n = self.spark.read.parquet(path).count()
-        self.spark.createDataFrame([(name, number, path, mode, n)], "table_name string, version int, path string, mode string, n_rows long").write.mode("append").parquet(self._log())
+        self._record(name, number, path, mode, n)
         return number
 
     def read(self, name: str, version: int | None = None) -> DataFrame:
         """The rows as of a version: those since the last overwrite up to it."""
         rows = self.history().where((F.col("table_name") == name) & (F.col("version") <= (version or 1 << 30))).orderBy("version").collect()
-        last = max((r["version"] for r in rows if r["mode"] == "overwrite"), default=0)
-        paths = [r["path"] for r in rows if r["version"] >= last]
+        last = max((r["version"] for r in rows if r["mode"] in ("overwrite", "drop")), default=0)
+        paths = [r["path"] for r in rows if r["version"] >= last and r["mode"] != "drop"]
         if not paths:
             raise ValueError(f"no table {name!r}")
         return self.spark.read.parquet(*paths)
 
-    def tables(self) -> list[str]:
-        return sorted(r[0] for r in self.history().select("table_name").distinct().collect())
+    def tables(self, database: str | None = None) -> list[str]:
+        """Names of the tables (of a database: without it) that are not dropped."""
+        last = self.history().groupBy("table_name").agg(F.max_by("mode", "version").alias("mode")).where("mode <> 'drop'")
+        names = sorted(r[0] for r in last.select("table_name").collect())  # a row a table
+        return names if database is None else [n.split(".", 1)[1] for n in names if n.startswith(f"{database}.")]
+
+    def _databases(self) -> str:
+        return f"{self.folder}/_databases"
+
+    def create_database(self, name: str, comment: str = "") -> None:
+        """A database is a prefix of table names, with a description of its own."""
+        if not name.isidentifier():
+            raise ValueError(f"no name of a database: {name!r}")
+        if name in self.databases():
+            raise ValueError(f"there is a database {name!r}")
+        stores.put(self.spark, f"{self._databases()}/{name}.json", json.dumps({"name": name, "comment": comment}).encode())
+
+    def databases(self) -> list[str]:
+        if not stores.exists(self.spark, self._databases()):
+            return []
+        return sorted(x.path.rsplit("/", 1)[-1].removesuffix(".json") for x in stores.listed(self.spark, self._databases()) if x.path.endswith(".json"))
+
+    def create_table(self, database: str, name: str, df: DataFrame) -> int:
+        """The first version of a new table of a database."""
+        if database not in self.databases():
+            raise ValueError(f"no database {database!r}")
+        if name in self.tables(database):
+            raise ValueError(f"there is a table {name!r}")
+        return self.write(f"{database}.{name}", df, "overwrite")
+
+    def drop_table(self, name: str) -> None:
+        """Hides a table; its versions stay on disk for those who name them."""
+        if name not in self.tables():
+            raise ValueError(f"no table {name!r}")
+        self._record(name, self.version(name) + 1, "", "drop", 0)
+
+    def drop_database(self, name: str) -> None:
+        """Drops an empty database."""
+        if self.tables(name):
+            raise ValueError(f"database {name!r} has tables")
+        stores.delete(self.spark, f"{self._databases()}/{name}.json")
+
+    def _record(self, name: str, number: int, path: str, mode: str, n: int) -> None:
+        self.spark.createDataFrame([(name, number, path, mode, n)], "table_name string, version int, path string, mode string, n_rows long").write.mode("append").parquet(self._log())
 
 
 def metric_stats(metrics: DataFrame) -> DataFrame:

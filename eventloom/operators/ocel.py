@@ -54,8 +54,10 @@ def events_with_objects(log: Ocel) -> DataFrame:
 
 def project(log: Ocel, object_type: str) -> DataFrame:
     """The log flattened to one object type: its objects are the cases."""
-    flat = events_with_objects(log).where(F.col("object_type") == object_type)
-    return flat.select(F.col("object_id").alias("case_id"), "event_id", F.col("event_type").alias("activity"), "timestamp").distinct()
+    wanted = log.objects.where(F.col("object_type") == object_type).select("object_id").distinct()
+    related = log.event_object.select("event_id", "object_id").join(wanted, "object_id", "left_semi").repartition("event_id").distinct()
+    events = log.events.select("event_id", F.col("event_type").alias("activity"), "timestamp").repartition("event_id").distinct()
+    return related.join(events, "event_id").select(F.col("object_id").alias("case_id"), "event_id", "activity", "timestamp")
 
 
 def of_type(log: Ocel, object_type: str) -> DataFrame:
@@ -70,14 +72,17 @@ def related_objects(log: Ocel, object_id: str) -> DataFrame:
 
 def attributes_at(log: Ocel, at: str) -> DataFrame:
     """object_id, attr_name, attr_value: the version of each attribute at an instant."""
-    return log.object_attribute.where(F.col("timestamp") <= F.lit(at).cast("timestamp")).groupBy("object_id", "attr_name").agg(F.max_by("attr_value", "timestamp").alias("attr_value"))
+    return log.object_attribute.where(F.col("timestamp") <= F.lit(at).cast("timestamp")).groupBy("object_id", "attr_name").agg(F.max_by("attr_value", F.struct("timestamp", "attr_value")).alias("attr_value"))
 
 
 def _lifecycles(log: Ocel) -> DataFrame:
     """Events by (object_type, object_id) in order, with the next activity."""
-    rows = events_with_objects(log).select("object_type", "object_id", "event_id", F.col("event_type").alias("activity"), "timestamp").distinct()
-    order = Window.partitionBy("object_type", "object_id").orderBy("timestamp", "event_id")
-    return rows.withColumn("next_activity", F.lead("activity").over(order)).withColumn("n", F.row_number().over(order))
+    # one shuffle by event for the distinct relations and their events, one by object for the order and the types
+    related = log.event_object.select("event_id", "object_id").repartition("event_id").distinct()
+    events = log.events.select("event_id", F.col("event_type").alias("activity"), "timestamp").repartition("event_id").distinct()
+    order = Window.partitionBy("object_id").orderBy("timestamp", "event_id")
+    rows = related.join(events, "event_id").withColumn("next_activity", F.lead("activity").over(order)).withColumn("n", F.row_number().over(order))
+    return rows.join(log.objects.select("object_id", "object_type").repartition("object_id").distinct(), "object_id")
 
 
 def oc_dfg(log: Ocel, least: int = 1) -> DataFrame:

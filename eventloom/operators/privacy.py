@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventloom.operators.numbering import numbered
+
 
 def draw(keys: list[str], seed: int = 0) -> Column:
     """A seeded hash of the keys as a number from 0 to 1: the same for the same row in every run."""
@@ -55,8 +57,8 @@ def pseudonymise(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """
     for column, prefix in columns.items():
         values = df.where(F.col(column).isNotNull() & (F.col(column) != "")).select(column).distinct()
-        numbered = values.withColumn("__name", F.concat(F.lit(prefix), F.row_number().over(Window.orderBy(column))))
-        df = df.join(numbered, column, "left").withColumn(column, F.coalesce("__name", column)).drop("__name")
+        names = numbered(values, [column], "__name").withColumn("__name", F.concat(F.lit(prefix), "__name"))
+        df = df.join(names, column, "left").withColumn(column, F.coalesce("__name", column)).drop("__name")
     return df
 
 

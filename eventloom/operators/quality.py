@@ -8,6 +8,8 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventloom.session import materialised
+
 
 
 def column_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -74,6 +76,29 @@ def log_quality(log: DataFrame) -> DataFrame:
     )
 
 
+def top_values(df: DataFrame, columns: list[str], most: int = 10) -> DataFrame:
+    """column_name, value, n, share (percent of the column's values that are not null), rank of the `most` most frequent values of each column; ties by value. Values are counted once for all columns."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns])
+    counts = df.select(F.explode(pairs).alias("x")).select("x.*").where("value is not null").groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    totals = counts.groupBy("column_name").agg(F.sum("n").alias("total"))
+    order = Window.partitionBy("column_name").orderBy(F.desc("n"), "value")
+    ranked = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    return ranked.join(totals, "column_name").select("column_name", "value", "n", F.round(F.col("n").cast("double") * 100 / F.col("total"), 6).alias("share"), "rank")
+
+
+def report(log: DataFrame, most: int = 10) -> DataFrame:
+    """The quality report as (section, name, value): counts and completeness, uniqueness of cases, activities and resources, events per case, the most frequent activities and resources."""
+    line = lambda section, name, value: F.struct(F.lit(section).alias("section"), F.lit(name).alias("name"), value.cast("double").alias("value"))
+    wide = log_quality(log)
+    first = wide.select(F.explode(F.array(*[line("completeness", c, F.col(c)) for c in wide.columns])).alias("r")).select("r.*")
+    distinct = log.agg(*[F.countDistinct(c).alias(c) for c in ("case_id", "activity", "resource")])
+    second = distinct.select(F.explode(F.array(*[line("uniqueness", c, F.col(c)) for c in distinct.columns])).alias("r")).select("r.*")
+    cases = log.groupBy("case_id").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.avg("n"), 6).alias("mean"))
+    third = cases.select(F.explode(F.array(*[line("events per case", c, F.col(c)) for c in cases.columns])).alias("r")).select("r.*")
+    top = top_values(log, ["activity", "resource"], most).select(F.concat(F.lit("top "), "column_name").alias("section"), F.col("value").alias("name"), F.col("n").cast("double").alias("value"))
+    return first.unionByName(second).unionByName(third).unionByName(top)
+
+
 def issues(log: DataFrame) -> DataFrame:
     """severity, issue, n: missing roles are errors, repeats and few events warnings."""
     from eventloom.operators import mining
@@ -107,15 +132,20 @@ def quality_score(df: DataFrame) -> DataFrame:
 def rank_percentiles(df: DataFrame, column: str, shares: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
     """For each share p the sorted value number floor(n p), at most the last: by ranks over the histogram of values."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("k"))
-    upto = counts.withColumn("upto", F.sum("k").over(Window.orderBy("v"))).withColumn("n", F.sum("k").over(Window.partitionBy()))
+    # values sorted in ranges; counts summed within a range, and over the ranges before it
+    part = F.shiftrightunsigned("id", 33)
+    kept = materialised(counts.orderBy("v").withColumn("id", F.monotonically_increasing_id())).withColumn("part", part)
+    sizes = kept.groupBy("part").agg(F.sum("k").alias("size"))
+    sizes = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"), F.sum("size").over(Window.partitionBy()).alias("n"))
+    upto = kept.join(F.broadcast(sizes), "part").withColumn("upto", F.col("before") + F.sum("k").over(Window.partitionBy("part").orderBy("id")))
     at = lambda p: F.least(F.floor(F.col("n") * F.lit(p)), F.col("n") - 1)
     return upto.agg(*[F.min(F.when(F.col("upto") > at(p), F.col("v"))).alias(f"p{round(p * 100)}") for p in shares])
 
 
-def type_votes(df: DataFrame, column: str) -> DataFrame:
-    """How many values of a text column are of each type: each value has its narrowest."""
-    c = F.trim(F.col(column))
-    kind = (
+def _kind(column: str) -> Column:
+    """The narrowest type of a text."""
+    c = F.trim(F.col(f"`{column}`"))
+    return (
         F.when(c.isNull() | c.isin(*NULL_TOKENS), "null")
         .when(F.lower(c).isin("true", "false", "yes", "no"), "bool")
         .when(c.rlike(r"^[+-]?\d{1,18}$"), "int")
@@ -123,7 +153,22 @@ def type_votes(df: DataFrame, column: str) -> DataFrame:
         .when(c.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"), "timestamp")
         .otherwise("string")
     )
-    return df.select(kind.alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: The types that a value can be of.
+KINDS = ("null", "bool", "int", "float", "timestamp", "string")
+
+
+def all_type_votes(df: DataFrame) -> dict[str, dict[str, int]]:
+    """For each column how many of its values are of each type, of all columns in one pass."""
+    kinds = df.select(*[_kind(c).alias(f"c{i}") for i, c in enumerate(df.columns)])
+    row = kinds.agg(*[F.count_if(F.col(f"c{i}") == k).alias(f"c{i}_{k}") for i in range(len(df.columns)) for k in KINDS]).first()
+    return {c: {k: row[f"c{i}_{k}"] for k in KINDS if row[f"c{i}_{k}"]} for i, c in enumerate(df.columns)}
+
+
+def type_votes(df: DataFrame, column: str) -> DataFrame:
+    """How many values of a text column are of each type: each value has its narrowest."""
+    return df.select(_kind(column).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 #: Texts that mean null on ingest.

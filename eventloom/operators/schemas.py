@@ -115,12 +115,11 @@ class SchemaHistory:
 
 def inferred(df: DataFrame, least: float = 0.5) -> T.StructType:
     """Types of the columns of a text frame by vote: the most frequent type of the values that are not null, the narrower of equals."""
-    from eventloom.operators.quality import type_votes
+    from eventloom.operators.quality import all_type_votes
 
     order = {"bool": T.BooleanType(), "int": T.LongType(), "float": T.DoubleType(), "timestamp": T.TimestampNTZType(), "string": T.StringType()}
     fields = []
-    for c in df.columns:
-        votes = {r["kind"]: r["n"] for r in type_votes(df, c).collect()}
+    for c, votes in all_type_votes(df).items():
         if votes.get("float") and votes.get("int"):
             votes["float"] += votes.pop("int")
         best = max(order, key=lambda k: (votes.get(k, 0), -list(order).index(k)))

@@ -10,18 +10,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.log import as_timestamp, in_case
+from eventloom.operators.numbering import numbered
 
 UNKNOWN = "Unknown"
 
 
 def _numbered(df: DataFrame, name: str, key: str) -> DataFrame:
-    """A dimension is an aggregate, small against the facts: its keys are numbered in one order."""
+    """Activities, resources and days are few, so one task numbers them."""
     return df.withColumn(key, F.row_number().over(Window.orderBy(name)))
 
 
 def dim_cases(log: DataFrame) -> DataFrame:
     cases = log.groupBy("case_id").agg(F.min("timestamp").alias("start_ts"), F.max("timestamp").alias("end_ts"), F.count(F.lit(1)).alias("event_count"))
-    return _numbered(cases.withColumn("duration_seconds", F.round((F.col("end_ts") - F.col("start_ts")) / 1e9, 6)), "case_id", "case_key")
+    cases = cases.withColumn("duration_seconds", F.round((F.col("end_ts") - F.col("start_ts")) / 1e9, 6))
+    return numbered(cases, ["case_id"], "case_key").withColumn("case_key", F.col("case_key").cast("int"))
 
 
 def dim_activities(log: DataFrame) -> DataFrame:
@@ -65,10 +67,15 @@ def fact_events(log: DataFrame, cases: DataFrame | None = None, activities: Data
     return keyed.select("seq", "case_key", "activity_key", "resource_key", "time_key", "timestamp", "previous_ts", "since_previous")
 
 
+def with_fact_key(facts: DataFrame) -> DataFrame:
+    """Facts with fact_key: 1, 2, 3, ... in order of seq."""
+    return numbered(facts, ["seq"], "fact_key")
+
+
 def export(log: DataFrame, folder: str) -> list[str]:
     """The five tables as Parquet below `folder`; returns their paths."""
     dims = {"dim_cases": dim_cases(log), "dim_activities": dim_activities(log), "dim_resources": dim_resources(log), "dim_time": dim_time(log)}
-    tables = {**dims, "fact_events": fact_events(log, *dims.values())}
+    tables = {**dims, "fact_events": with_fact_key(fact_events(log, *dims.values()))}
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
     return [f"{folder}/{name}" for name in tables]

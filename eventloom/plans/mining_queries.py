@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom import log as logs
+from eventloom.log import as_timestamp
 from eventloom.operators import diff, intervals, mining, star, tree
 from eventloom.plans.registry import E, log, query
 from eventloom.session import table
@@ -86,21 +87,59 @@ query("pm09_has_path", T + " SELECT count(*) > 0 AS has_path FROM tr WHERE p[1:2
 query("jn15_cases_with_path", T + " SELECT case_id FROM tr WHERE p[1:2] = ['view', 'click']")(lambda s, d: logs.traces(log(s, d)).where(F.slice("trace", 1, 2) == F.array(F.lit("view"), F.lit("click"))).select("case_id"))
 query("pm12_paths", T + " SELECT array_to_string(p, ' -> ') AS path, count(*) AS n FROM tr GROUP BY 1")(lambda s, d: logs.traces(log(s, d)).select(tree.render(F.slice("trace", 1, 4)).alias("path")).groupBy("path").agg(F.count(F.lit(1)).alias("n")))
 query("pm04_traces", E + " SELECT case_id, md5(string_agg(activity, '>' ORDER BY timestamp, seq)) AS trace FROM e GROUP BY case_id")(lambda s, d: logs.traces(log(s, d)).select("case_id", F.md5(F.array_join("trace", ">")).alias("trace")))
-query("pm06_subtree_hashes")(lambda s, d: tree.subtree_hashes(tree.nodes(log(s, d), 4)))
-query("pm07_fingerprint", None)(lambda s, d: tree.fingerprint(log(s, d), 4))
+#: Subtree hashes from nodes n(depth, node_hash, parent_hash, case_count): from the deepest level up, a level a step.
+UP = """, r AS (SELECT depth, node_hash, parent_hash, case_count FROM n UNION ALL SELECT 0, sha256('__ROOT__'), '', CAST((SELECT sum(case_count) FROM n WHERE depth = 1) AS BIGINT)),
+le AS (SELECT *, lpad(hex(case_count), 16, '0') AS x FROM r),
+d AS (SELECT depth, node_hash, parent_hash, x[15:16] || x[13:14] || x[11:12] || x[9:10] || x[7:8] || x[5:6] || x[3:4] || x[1:2] AS count_hex FROM le),
+up(depth, node_hash, parent_hash, subtree) AS (
+  SELECT depth, node_hash, parent_hash, node_hash FROM d WHERE depth = (SELECT max(depth) FROM d)
+  UNION ALL
+  SELECT d.depth, d.node_hash, d.parent_hash, CASE WHEN c.below IS NULL THEN d.node_hash ELSE sha256(unhex(d.node_hash) || unhex(c.below) || unhex(d.count_hex)) END
+  FROM (SELECT max(depth) - 1 AS level FROM up) l JOIN d ON d.depth = l.level LEFT JOIN (SELECT parent_hash, string_agg(subtree, '' ORDER BY subtree) AS below FROM up GROUP BY 1) c ON c.parent_hash = d.node_hash
+)"""
+query("pm06_subtree_hashes", T.replace("WITH e", "WITH RECURSIVE e") + UP + " SELECT node_hash, subtree FROM up")(lambda s, d: tree.subtree_hashes(log(s, d), 4))
+query("pm07_fingerprint", T.replace("WITH e", "WITH RECURSIVE e") + UP + " SELECT subtree AS fingerprint FROM up WHERE depth = 0")(lambda s, d: tree.fingerprint(log(s, d), 4))
+#: All nodes of the tree, whatever its depth.
+DEEP = E.replace("WITH e", "WITH RECURSIVE e") + """, tr AS (SELECT case_id, list(activity ORDER BY timestamp, seq) AS p FROM e GROUP BY case_id),
+walk(case_id, depth, activity, node_hash, parent_hash) AS (
+  SELECT case_id, 1, p[1], sha256(encode(p[1]) || unhex(sha256('__ROOT__'))), sha256('__ROOT__') FROM tr
+  UNION ALL
+  SELECT w.case_id, w.depth + 1, t.p[w.depth + 1], sha256(encode(t.p[w.depth + 1]) || unhex(w.node_hash)), w.node_hash FROM walk w JOIN tr t ON t.case_id = w.case_id WHERE w.depth < len(t.p)
+), n AS (SELECT depth, activity, node_hash, parent_hash, count(*) AS case_count FROM walk GROUP BY 1, 2, 3, 4)"""
+query("pm05_all_nodes", DEEP + " SELECT depth, activity, node_hash, parent_hash, case_count FROM n")(lambda s, d: tree.nodes(log(s, d)).drop("avg_duration"))
+query("pm06_all_subtree_hashes", DEEP + UP + " SELECT node_hash, subtree FROM up")(lambda s, d: tree.subtree_hashes(log(s, d)))
+query("pm07_whole_fingerprint", DEEP + UP + " SELECT subtree AS fingerprint FROM up WHERE depth = 0")(lambda s, d: tree.fingerprint(log(s, d)))
+
+
+@query("snk13_tree_manifest", T + " SELECT depth, activity, node_hash, parent_hash, case_count FROM n")
+def _manifest(s, d) -> DataFrame:
+    from eventloom.session import scratch
+
+    path = scratch(s, "manifest")
+    tree.write_manifest(log(s, d), path, 4)
+    return tree.read_manifest(s, path).drop("avg_duration")
+
+
+query("snk13_tree_binary", T + " SELECT depth, activity, node_hash, parent_hash, case_count FROM n")(lambda s, d: tree.decode_nodes(tree.encode_nodes(tree.nodes(log(s, d), 4))).drop("avg_duration"))
+query("snk13_tree_footer", T + " SELECT depth, activity, node_hash, parent_hash, case_count FROM n")(
+    lambda s, d: tree.decode_nodes(tree.encode_nodes(tree.nodes(log(s, d), 4)).select(F.base64("node").alias("footer")).select(F.unbase64("footer").alias("node"))).drop("avg_duration")
+)
 query("pm10_tree_stats", E + ", t AS (SELECT list(activity ORDER BY timestamp, seq) AS p FROM e GROUP BY case_id), n AS (SELECT DISTINCT p[1:k] AS path, k FROM (SELECT p, unnest(range(1, len(p) + 1)) AS k FROM t)) SELECT (SELECT count(*) FROM n) AS n_nodes, (SELECT CAST(max(k) AS INTEGER) FROM n) AS max_depth, (SELECT count(*) FROM e) AS n_events, (SELECT count(*) FROM t) AS n_cases, (SELECT count(*) FROM n WHERE path NOT IN (SELECT path[1:k - 1] FROM n)) AS n_leaves")(
     lambda s, d: tree.stats(log(s, d))
 )
 
 
-@query("pm11_tree_diff", T.replace("FROM events\n", "FROM events WHERE user_id % 2 = 0\n").replace("WITH e AS", "WITH e AS") + """, ln AS (SELECT node_hash, activity, depth, round(case_count / (SELECT count(*) FROM tr)::DOUBLE, 9) AS left_share, avg_duration AS ld FROM n),
+HALVES = T.replace("FROM events\n", "FROM events WHERE user_id % 2 = 0\n").replace("WITH e AS", "WITH e AS") + """, ln AS (SELECT node_hash, activity, depth, round(case_count / (SELECT count(*) FROM tr)::DOUBLE, 9) AS left_share, avg_duration AS ld FROM n),
 e2 AS (SELECT CAST(user_id AS VARCHAR) AS case_id, event_type AS activity, epoch_us(ts) * 1000 AS timestamp, event_id AS seq FROM events WHERE user_id % 2 = 1),
 tr2 AS (SELECT case_id, list(activity ORDER BY timestamp, seq)[1:4] AS p, list(timestamp ORDER BY timestamp, seq) AS t FROM e2 GROUP BY case_id),
 g1 AS (SELECT case_id, 1 AS depth, p[1] AS activity, sha256(encode(p[1]) || unhex(sha256('__ROOT__'))) AS node_hash, t[2] - t[1] AS duration FROM tr2 WHERE len(p) >= 1),
 g2 AS (SELECT tr2.case_id, 2 AS depth, p[2] AS activity, sha256(encode(p[2]) || unhex(g1.node_hash)) AS node_hash, t[3] - t[2] AS duration FROM tr2 JOIN g1 USING (case_id) WHERE len(p) >= 2),
 g3 AS (SELECT tr2.case_id, 3 AS depth, p[3] AS activity, sha256(encode(p[3]) || unhex(g2.node_hash)) AS node_hash, t[4] - t[3] AS duration FROM tr2 JOIN g2 USING (case_id) WHERE len(p) >= 3),
 g4 AS (SELECT tr2.case_id, 4 AS depth, p[4] AS activity, sha256(encode(p[4]) || unhex(g3.node_hash)) AS node_hash, t[5] - t[4] AS duration FROM tr2 JOIN g3 USING (case_id) WHERE len(p) >= 4),
-rn AS (SELECT node_hash, activity, depth, round(count(*) / (SELECT count(*) FROM tr2)::DOUBLE, 9) AS right_share, round(avg(duration), 3) AS rd FROM (SELECT * FROM g1 UNION ALL SELECT * FROM g2 UNION ALL SELECT * FROM g3 UNION ALL SELECT * FROM g4) x GROUP BY 1, 2, 3)
+rn AS (SELECT node_hash, activity, depth, round(count(*) / (SELECT count(*) FROM tr2)::DOUBLE, 9) AS right_share, round(avg(duration), 3) AS rd FROM (SELECT * FROM g1 UNION ALL SELECT * FROM g2 UNION ALL SELECT * FROM g3 UNION ALL SELECT * FROM g4) x GROUP BY 1, 2, 3)"""
+
+
+@query("pm11_tree_diff", HALVES + """
 SELECT node_hash, activity, depth, left_share, right_share, CASE WHEN left_share IS NULL THEN 'new' WHEN right_share IS NULL THEN 'removed' WHEN abs(right_share - left_share) > 0.01 THEN 'frequency' WHEN ld > 0 AND rd > 0 AND abs(rd - ld) / ld > 0.1 THEN 'duration' ELSE 'same' END AS status
 FROM ln FULL JOIN rn USING (node_hash, activity, depth)""")
 def _tree_diff(s, d) -> DataFrame:
@@ -108,9 +147,9 @@ def _tree_diff(s, d) -> DataFrame:
     return tree.compare(e.where("cast(case_id as long) % 2 = 0"), e.where("cast(case_id as long) % 2 = 1"), max_depth=4)
 
 
-query("jn09_shared_nodes", None)(lambda s, d: (lambda e: tree.nodes(e.where("cast(case_id as long) % 2 = 0"), 4).select("node_hash", "activity").join(tree.nodes(e.where("cast(case_id as long) % 2 = 1"), 4).select("node_hash"), "node_hash"))(log(s, d)))
-query("ag21_tree_objects", T + " SELECT p[1] AS activity, count(DISTINCT e.resource) AS n_resources FROM tr JOIN e USING (case_id) GROUP BY 1")(
-    lambda s, d: (lambda e: logs.traces(e).select("case_id", F.get("trace", F.lit(0)).alias("activity")).join(e.select("case_id", "resource"), "case_id").groupBy("activity").agg(F.countDistinct("resource").alias("n_resources")))(log(s, d))
+query("jn09_shared_nodes", HALVES + " SELECT ln.node_hash, ln.activity FROM ln JOIN rn USING (node_hash)")(lambda s, d: (lambda e: tree.nodes(e.where("cast(case_id as long) % 2 = 0"), 4).select("node_hash", "activity").join(tree.nodes(e.where("cast(case_id as long) % 2 = 1"), 4).select("node_hash"), "node_hash"))(log(s, d)))
+query("ag21_tree_objects", T + ", v AS (SELECT case_id, node_hash FROM h1 UNION ALL SELECT case_id, node_hash FROM h2 UNION ALL SELECT case_id, node_hash FROM h3 UNION ALL SELECT case_id, node_hash FROM h4), o AS (SELECT DISTINCT case_id, 'resource' AS object_type, resource AS object_id FROM e WHERE resource IS NOT NULL UNION SELECT DISTINCT case_id, 'day', strftime(ts, '%Y-%m-%d') FROM e) SELECT node_hash, object_type, count(DISTINCT object_id) AS n_objects, count(DISTINCT case_id) AS n_cases FROM v JOIN o USING (case_id) GROUP BY 1, 2")(
+    lambda s, d: (lambda e: tree.object_counts(e, e.where("resource is not null").select("case_id", F.lit("resource").alias("object_type"), F.col("resource").alias("object_id")).unionByName(e.select("case_id", F.lit("day").alias("object_type"), F.date_format(as_timestamp("timestamp"), "yyyy-MM-dd").alias("object_id"))), 4))(log(s, d))
 )
 
 
@@ -122,13 +161,8 @@ def _halves(s, d) -> tuple[DataFrame, DataFrame]:
 
 H = E + ", a AS (SELECT * FROM e WHERE CAST(case_id AS BIGINT) % 2 = 0), b AS (SELECT * FROM e WHERE CAST(case_id AS BIGINT) % 2 = 1 AND activity <> 'error')"
 STATUS = "CASE WHEN left_n = 0 THEN 'new' WHEN right_n = 0 THEN 'removed' WHEN abs(delta) < {} THEN 'stable' WHEN delta > 0 THEN 'increased' ELSE 'decreased' END AS status"
-query(
-    "pm15_activity_changes",
-    H
-    + ", x AS (SELECT activity, coalesce(l.n, 0) AS left_n, coalesce(r.n, 0) AS right_n FROM (SELECT activity, count(*) AS n FROM a GROUP BY 1) l FULL JOIN (SELECT activity, count(*) AS n FROM b GROUP BY 1) r USING (activity)), y AS (SELECT *, left_n * 100.0::DOUBLE / sum(left_n) OVER () AS ls, right_n * 100.0::DOUBLE / sum(right_n) OVER () AS rs FROM x), z AS (SELECT activity, left_n, right_n, round(ls, 6) AS left_share, round(rs, 6) AS right_share, round(rs - ls, 6) AS delta FROM y) SELECT *, "
-    + STATUS.format("1.0")
-    + " FROM z",
-)(lambda s, d: diff.activity_changes(*_halves(s, d)))
+CHANGES = H + ", x AS (SELECT activity, coalesce(l.n, 0) AS left_n, coalesce(r.n, 0) AS right_n FROM (SELECT activity, count(*) AS n FROM a GROUP BY 1) l FULL JOIN (SELECT activity, count(*) AS n FROM b GROUP BY 1) r USING (activity)), y AS (SELECT *, left_n * 100.0::DOUBLE / sum(left_n) OVER () AS ls, right_n * 100.0::DOUBLE / sum(right_n) OVER () AS rs FROM x), z AS (SELECT activity, left_n, right_n, round(ls, 6) AS left_share, round(rs, 6) AS right_share, round(rs - ls, 6) AS delta FROM y)"
+query("pm15_activity_changes", CHANGES + " SELECT *, " + STATUS.format("1.0") + " FROM z")(lambda s, d: diff.activity_changes(*_halves(s, d)))
 query(
     "pm15_resource_changes",
     H
@@ -136,14 +170,22 @@ query(
     + STATUS.format("5.0")
     + " FROM z",
 )(lambda s, d: diff.resource_changes(*_halves(s, d)))
-query("st03_largest_changes", None)(lambda s, d: diff.activity_changes(*_halves(s, d)).orderBy(F.abs("delta").desc(), "activity").limit(3))
+query("st03_largest_changes", CHANGES + " SELECT *, " + STATUS.format("1.0") + " FROM z ORDER BY abs(delta) DESC, activity LIMIT 3")(lambda s, d: diff.activity_changes(*_halves(s, d)).orderBy(F.abs("delta").desc(), "activity").limit(3))
 query("jn07_merged_counts", H + " SELECT activity, coalesce(l.n, 0) AS left_n, coalesce(r.n, 0) AS right_n FROM (SELECT activity, count(*) AS n FROM a GROUP BY 1) l FULL JOIN (SELECT activity, count(*) AS n FROM b GROUP BY 1) r USING (activity)")(lambda s, d: diff.activity_changes(*_halves(s, d)).select("activity", "left_n", "right_n"))
 query("jn08_only_in_one", H + " SELECT DISTINCT activity, 'left' AS side FROM a WHERE activity NOT IN (SELECT activity FROM b) UNION ALL SELECT DISTINCT activity, 'right' FROM b WHERE activity NOT IN (SELECT activity FROM a)")(lambda s, d: diff.only_in(*_halves(s, d)))
 query("so02_key_union", H + " SELECT activity FROM a UNION SELECT activity FROM b")(lambda s, d: (lambda x, y: x.select("activity").unionByName(y.select("activity")).distinct())(*_halves(s, d)))
-query("so01_except_cases", H + " SELECT resource FROM a WHERE activity = 'view' EXCEPT SELECT resource FROM b WHERE activity = 'signup'")(lambda s, d: (lambda x, y: x.where("activity = 'view'").select("resource").subtract(y.where("activity = 'signup'").select("resource")))(*_halves(s, d)))
+query("so01_except_cases", E + " SELECT case_id FROM e WHERE activity = 'purchase' EXCEPT SELECT case_id FROM e WHERE activity = 'error' AND resource = 'r1'")(lambda s, d: (lambda e: e.where("activity = 'purchase'").select("case_id").subtract(e.where("activity = 'error' and resource = 'r1'").select("case_id")))(log(s, d)))
 SIDE = "SELECT '{0}' AS side, CAST(sum(n) AS BIGINT) AS n_events, count(*) AS n_cases, min(a) AS first_ts, max(b) AS last_ts, CAST(sum(b - a) // count(*) AS BIGINT) AS avg_duration FROM (SELECT count(*) AS n, min(timestamp) AS a, max(timestamp) AS b FROM {1} WHERE timestamp > 0 GROUP BY case_id) t"
 query("pm15_summary", H + " " + SIDE.format("left", "a") + " UNION ALL " + SIDE.format("right", "b"))(lambda s, d: diff.summary(*_halves(s, d)))
-query("pm16_text_report")(lambda s, d: s.createDataFrame([(x,) for x in diff.text_report(*_halves(s, d)).splitlines()], "line string"))
+REPORT = CHANGES + ", t AS (SELECT *, " + STATUS.format("1.0") + " FROM z), s AS (" + SIDE.format("left", "a") + " UNION ALL " + SIDE.format("right", "b") + ") SELECT side || ': ' || n_events || ' events, ' || n_cases || ' cases, average duration ' || avg_duration || ' ns' AS line FROM s UNION ALL SELECT line FROM (SELECT printf('%s %s: %.2f%% -> %.2f%%', status, activity, left_share, right_share) AS line FROM t WHERE status <> 'stable' ORDER BY abs(delta) DESC, activity LIMIT 20)"
+query("pm16_text_report", REPORT)(lambda s, d: s.createDataFrame([(x,) for x in diff.text_report(*_halves(s, d)).splitlines()], "line string"))
+query(
+    "pm14_hybrid_diff",
+    H + ", ends AS (SELECT 'time range' AS kind, 'first event' AS name, CAST((SELECT min(timestamp) FROM a) AS DOUBLE) AS left_value, CAST((SELECT min(timestamp) FROM b) AS DOUBLE) AS right_value UNION ALL SELECT 'time range', 'last event', CAST((SELECT max(timestamp) FROM a) AS DOUBLE), CAST((SELECT max(timestamp) FROM b) AS DOUBLE)), li AS (SELECT activity, coalesce(lead(timestamp) OVER (PARTITION BY case_id ORDER BY timestamp, seq), timestamp) - timestamp AS t FROM a), ri AS (SELECT activity, coalesce(lead(timestamp) OVER (PARTITION BY case_id ORDER BY timestamp, seq), timestamp) - timestamp AS t FROM b), ls AS (SELECT activity AS name, avg(t) AS left_value FROM li GROUP BY 1), rs AS (SELECT activity AS name, avg(t) AS right_value FROM ri GROUP BY 1) SELECT * FROM ends WHERE left_value <> right_value UNION ALL SELECT 'bottleneck', name, coalesce(round(left_value, 0), -1), coalesce(round(right_value, 0), -1) FROM ls FULL JOIN rs USING (name) WHERE left_value IS NULL OR right_value IS NULL OR abs(right_value - left_value) > 0.02 * left_value",
+)(lambda s, d: diff.hybrid(*_halves(s, d), change=0.02).where("kind <> 'nodes'").select("kind", "name", *[F.when(F.col("kind") == "bottleneck", F.coalesce(F.round(c), F.lit(-1.0))).otherwise(F.col(c)).alias(c) for c in ("left_value", "right_value")]))
+query("pm14_hybrid_nodes", HALVES + " SELECT CASE WHEN left_share IS NULL THEN 'new' WHEN right_share IS NULL THEN 'removed' WHEN abs(right_share - left_share) > 0.01 THEN 'frequency' WHEN ld > 0 AND rd > 0 AND abs(rd - ld) / ld > 0.1 THEN 'duration' ELSE 'same' END AS name, CAST(count(*) AS DOUBLE) AS n FROM ln FULL JOIN rn USING (node_hash, activity, depth) GROUP BY 1")(
+    lambda s, d: (lambda e: diff.hybrid(e.where("cast(case_id as long) % 2 = 0"), e.where("cast(case_id as long) % 2 = 1"), max_depth=4))(log(s, d)).where("kind = 'nodes'").select("name", F.col("right_value").alias("n"))
+)
 
 # intervals
 P = I + ", p AS (SELECT * FROM iv WHERE \"start\" >= {0} AND \"start\" < {1})".format(FIRST, FIRST + 2 * DAY)
@@ -191,6 +233,9 @@ query(
 )(lambda s, d: star.fact_events(log(s, d)).withColumn("previous_ts", F.coalesce("previous_ts", F.lit(-1))))
 
 
+query("wn06_fact_key", SS + " SELECT seq, row_number() OVER (ORDER BY seq) AS fact_key, case_key FROM e JOIN dc USING (case_id)")(lambda s, d: star.with_fact_key(star.fact_events(log(s, d))).select("seq", "fact_key", "case_key"))
+
+
 @query("ss06_export", SS + " SELECT 'dim_cases' AS name, count(*) AS n FROM dc UNION ALL SELECT 'dim_activities', count(*) FROM da UNION ALL SELECT 'dim_resources', count(*) FROM dr UNION ALL SELECT 'dim_time', count(*) FROM dt UNION ALL SELECT 'fact_events', count(*) FROM e")
 def _export(s, d) -> DataFrame:
     from eventloom.session import scratch

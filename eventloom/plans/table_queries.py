@@ -71,7 +71,24 @@ query("ag06_column_counts", "SELECT 'activity' AS column_name, count(*) AS n_row
 query("ag07_log_quality", E + " SELECT count(*) AS n_events, count(*) FILTER (case_id IS NULL) AS no_case, count(*) FILTER (activity IS NULL) AS no_activity, count(*) FILTER (timestamp <= 0) AS no_time, count(*) FILTER (resource IS NULL) AS no_resource, round(count(*) FILTER (case_id IS NOT NULL AND activity IS NOT NULL AND timestamp > 0) * 100.0::DOUBLE / count(*), 6) AS completeness FROM e")(
     lambda s, d: quality.log_quality(log(s, d))
 )
-query("ql02_issues", None)(lambda s, d: quality.issues(log(s, d)))
+#: A log with defects: events without activity, time or resource, and repeated ones.
+DEFECTS = E + ", f AS (SELECT case_id, CASE WHEN seq % 50 <> 0 THEN activity END AS activity, CASE WHEN seq % 40 = 0 THEN 0 ELSE timestamp END AS timestamp, CASE WHEN seq % 3 = 0 THEN resource END AS resource FROM e), g AS (SELECT * FROM f UNION ALL SELECT case_id, activity, timestamp, resource FROM e WHERE seq % 30 = 1)"
+
+
+def defective(s, d) -> DataFrame:
+    e = log(s, d)
+    broken = e.withColumn("activity", F.expr("case when seq % 50 <> 0 then activity end")).withColumn("timestamp", F.expr("case when seq % 40 = 0 then 0 else timestamp end")).withColumn("resource", F.expr("case when seq % 3 = 0 then resource end"))
+    return broken.unionByName(e.where("seq % 30 = 1"))
+
+
+query(
+    "ql02_issues",
+    DEFECTS + ", c AS (SELECT avg(n) AS mean, count(*) FILTER (n = 1) / count(*) AS single FROM (SELECT case_id, count(*) AS n FROM g GROUP BY 1) t) SELECT * FROM (SELECT 'error' AS severity, 'events without an activity' AS issue, count(*) FILTER (activity IS NULL) AS n FROM g UNION ALL SELECT 'error', 'events without a time', count(*) FILTER (timestamp <= 0) FROM g UNION ALL SELECT 'warning', 'repeated events', CAST(sum(k - 1) AS BIGINT) FROM (SELECT count(*) AS k FROM g GROUP BY case_id, activity, timestamp) t UNION ALL SELECT 'warning', 'over half the events without a resource', CASE WHEN count(*) FILTER (resource IS NULL) * 2 > count(*) THEN count(*) FILTER (resource IS NULL) ELSE 0 END FROM g UNION ALL SELECT 'warning', 'under two events per case', CASE WHEN (SELECT mean FROM c) < 2 THEN count(*) ELSE 0 END FROM g UNION ALL SELECT 'warning', 'over 30 % of cases with one event', CASE WHEN (SELECT single FROM c) > 0.3 THEN count(*) ELSE 0 END FROM g) t WHERE n > 0",
+)(lambda s, d: quality.issues(defective(s, d)))
+query("ql01_top_values", E + ", v AS (SELECT 'activity' AS column_name, activity AS value FROM e UNION ALL SELECT 'resource', resource FROM e WHERE resource IS NOT NULL), k AS (SELECT column_name, value, count(*) AS n FROM v GROUP BY 1, 2), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value) AS INTEGER) AS rank, sum(n) OVER (PARTITION BY column_name) AS total FROM k) SELECT column_name, value, n, round(n * 100.0::DOUBLE / total, 6) AS share, rank FROM r WHERE rank <= 10")(lambda s, d: quality.top_values(log(s, d), ["activity", "resource"]))
+query("ql01_report", E + ", c AS (SELECT case_id, count(*) AS n FROM e GROUP BY 1), k AS (SELECT 'top activity' AS section, activity AS name, CAST(count(*) AS DOUBLE) AS value FROM e GROUP BY 2 UNION ALL SELECT 'top resource', resource, CAST(count(*) AS DOUBLE) FROM e WHERE resource IS NOT NULL GROUP BY 2), t AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY value DESC, name) AS rank FROM k) SELECT section, name, value FROM t WHERE rank <= 10 UNION ALL SELECT 'uniqueness', 'case_id', count(DISTINCT case_id) FROM e UNION ALL SELECT 'uniqueness', 'activity', count(DISTINCT activity) FROM e UNION ALL SELECT 'uniqueness', 'resource', count(DISTINCT resource) FROM e UNION ALL SELECT 'events per case', 'least', min(n) FROM c UNION ALL SELECT 'events per case', 'most', max(n) FROM c UNION ALL SELECT 'events per case', 'mean', round(avg(n), 6) FROM c")(
+    lambda s, d: quality.report(log(s, d)).where("section <> 'completeness'")
+)
 query("ql04_quality_score", E + " SELECT round((100.0::DOUBLE + 100 + 100 + count(resource) * 100.0::DOUBLE / count(*) + 100) / 5, 6) AS score, CAST(0 AS BIGINT) AS n_constant, CAST(0 AS BIGINT) AS n_mostly_null FROM e")(lambda s, d: quality.quality_score(log(s, d)))
 query("ag13_distinct_sketch", "SELECT true AS close")(
     lambda s, d: quality.approximate_distinct(table(s, d, "lineitem"), "l_partkey").join(table(s, d, "lineitem").agg(F.countDistinct("l_partkey").alias("exact"))).select((F.abs(F.col("estimate") - F.col("exact")) <= F.col("exact") * 0.03).alias("close"))

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,16 +29,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir; a temporary one in a local session)."""
-    import tempfile
-    import uuid
-
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir, which driver and executors share; a local session without one gets a temporary folder, elsewhere that is an error."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not folder:
         have = context._jsc.sc().getCheckpointDir()
-        folder = have.get() if have.isDefined() else tempfile.mkdtemp(prefix="eventloom-")
+        if have.isDefined():
+            return have.get()
+        if not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="eventloom-")
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(folder)
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return folder
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """The rows written once to the shared folder, with the lineage cut there."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)

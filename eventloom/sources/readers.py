@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from eventloom.log import event_log
 from eventloom.operators import schemas
+from eventloom.sources import stores
 
 ROW_ERROR = "_corrupt_record"
 
@@ -87,6 +88,14 @@ def json(spark: SparkSession, path: str, schema: T.StructType | str | None = Non
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+def json_text(spark: SparkSession, path: str) -> DataFrame:
+    """A JSON array of objects, or a single one, with every member as text: strings as they are, nested values as JSON, null as null. The columns are all members that occur, by name."""
+    whole = spark.read.text(path, wholetext=True).select(F.when(F.trim("value").startswith("["), F.col("value")).otherwise(F.concat(F.lit("["), "value", F.lit("]"))).alias("value"))
+    rows = whole.select(F.explode(F.from_json("value", "array<map<string,string>>")).alias("m"))
+    names = sorted(r[0] for r in rows.select(F.explode(F.map_keys("m")).alias("k")).distinct().collect())  # a row a column
+    return rows.select(*[F.col("m")[n].alias(n) for n in names])
+
+
 def event_json(spark: SparkSession, path: str, case_id: str, activity: str, timestamp: str, resource: str | None = None) -> DataFrame:
     """A log from JSON lines; other members become the map `attributes`."""
     raw = spark.read.text(path).select(F.from_json("value", "map<string,string>").alias("m")).where("m is not null")
@@ -126,6 +135,23 @@ def xes(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def typed_xes(spark: SparkSession, path: str) -> DataFrame:
+    """An XES log's events: case_id, activity, timestamp (ns), resource, seq, and attributes with their types: an array of (key, type, value)."""
+    traces = spark.read.format("xml").option("rowTag", "trace").schema(_TRACE).load(path)
+    events = traces.select(_attributes("").alias("trace"), F.posexplode("event").alias("seq", "e"))
+    of_kind = lambda k: F.transform(F.coalesce(F.col(f"e.{k}"), F.array().cast(_KEYED)), lambda x: F.struct(x["_key"].alias("key"), F.lit(k).alias("type"), x["_value"].alias("value")))
+    typed = F.flatten(F.array(*[of_kind(k) for k in _KINDS]))
+    roles = ("concept:name", "time:timestamp", "org:resource")
+    return events.select("trace", F.col("seq").cast("long").alias("seq"), _attributes("e.").alias("a"), F.filter(typed, lambda x: ~x["key"].isin(*roles)).alias("attributes")).select(
+        F.col("trace")["concept:name"].alias("case_id"),
+        F.col("a")["concept:name"].alias("activity"),
+        (F.unix_micros(F.col("a")["time:timestamp"].try_cast("timestamp")) * 1000).alias("timestamp"),
+        F.col("a")["org:resource"].alias("resource"),
+        "seq",
+        "attributes",
+    )
+
+
 def _attributes(of: str) -> Column:
     every = F.flatten(F.array(*[F.coalesce(F.col(f"{of}{k}"), F.array().cast(_KEYED)) for k in _KINDS]))
     return F.map_from_entries(F.transform(F.array_distinct(F.transform(every, lambda x: x["_key"])), lambda k: F.struct(k.alias("key"), F.get(F.filter(every, lambda x: x["_key"] == k), F.lit(0))["_value"].alias("value"))))
@@ -187,19 +213,38 @@ def memory(spark: SparkSession, data: str | bytes, kind: str = "csv", **options)
     return spark.read.json(lines) if kind == "jsonl" else spark.read.option("header", True).option("inferSchema", True).csv(lines, **options)
 
 
-def download(spark: SparkSession, url: str, folder: str, headers: dict[str, str] | None = None) -> str:
-    """A file from the web, written to the shared folder through Spark's own file system; returns its path."""
+#: Content types and the formats that they announce.
+CONTENT_TYPES = {
+    "text/csv": "csv", "application/csv": "csv", "text/tab-separated-values": "tsv", "application/json": "json", "application/x-ndjson": "jsonl", "application/jsonl": "jsonl",
+    "application/xml": "xes", "text/xml": "xes", "application/vnd.apache.parquet": "parquet", "application/x-parquet": "parquet",
+    "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": "xlsx",
+}
+
+
+def download(spark: SparkSession, url: str, folder: str, headers: dict[str, str] | None = None, user: str | None = None, password: str = "") -> tuple[str, str | None]:
+    """A file from the web, written to the shared folder through Spark's own file system: its path, and the format that the content type or else the extension names.
+
+    With `user` the request carries basic authentication.
+    """
+    from base64 import b64encode
+    from urllib.parse import urlsplit
     from urllib.request import Request, urlopen
 
-    path = f"{folder}/{url.rstrip('/').rsplit('/', 1)[-1] or 'download'}"
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    out = where.getFileSystem(conf).create(where, True)
-    with urlopen(Request(url, headers=headers or {})) as response:
-        while chunk := response.read(1 << 20):
-            out.write(bytearray(chunk))
-    out.close()
-    return path
+    headers = dict(headers or {})
+    if user is not None:
+        headers["Authorization"] = "Basic " + b64encode(f"{user}:{password}".encode()).decode()
+    name = urlsplit(url).path.rstrip("/").rsplit("/", 1)[-1] or "download"
+    with urlopen(Request(url, headers=headers)) as response:
+        kind = CONTENT_TYPES.get((response.headers.get_content_type() or "").lower())
+        path = stores.put(spark, f"{folder}/{name}", iter(lambda: response.read(stores.PART), b""))
+    extension = name.removesuffix(".gz").rsplit(".", 1)[-1].lower()
+    return path, kind or (extension if extension in READERS else None)
+
+
+def http(spark: SparkSession, url: str, folder: str, kind: str | None = None, headers: dict[str, str] | None = None, user: str | None = None, password: str = "", **options) -> DataFrame:
+    """A table from the web: downloaded, then read by its format (`kind`, or what the server says, or the extension)."""
+    path, found = download(spark, url, folder, headers, user, password)
+    return read(spark, path, kind or found, **options)
 
 
 def union_csv(spark: SparkSession, paths: list[str], sep: str = ",") -> DataFrame:

@@ -182,3 +182,74 @@ def test_xlsx_log(spark, tmp_path):
 def test_fnv_of_known_bytes():
     assert quality.fnv64a(b"") == 0xCBF29CE484222325
     assert quality.fnv64a(b"a") == 0xAF63DC4C8601EC8C
+
+
+def test_one_long_interval_changes_no_pair(spark):
+    rows = [("v", 0, 0, 10**9)] + [("v", i, i * 10, i * 10 + i % 7) for i in range(1, 60)]
+    df = spark.createDataFrame(rows, "activity string, seq long, start long, end long")
+    found = sorted((r.l_seq, r.r_seq) for r in intervals.overlaps(df, df).collect())
+    assert found == sorted((i, j) for _, i, a, b in rows for _, j, c, d in rows if min(b, d) > max(a, c) and a < d and c < b)
+
+
+def test_numbers_have_no_gaps(spark):
+    from eventloom.operators.numbering import numbered
+
+    df = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("v")).repartition(7)
+    out = numbered(df, ["v"], "n").orderBy("n").collect()
+    assert [r.n for r in out] == list(range(1, 1001)) and [r.v for r in out] == sorted(r.v for r in out)
+    assert numbered(df.limit(0), ["v"], "n").count() == 0
+
+
+def test_long_cases_have_the_hashes_of_a_plain_walk(spark):
+    rows = [("a", f"s{i % 5}", i, None, i) for i in range(300)] + [("b", f"s{i % 5}", i, None, i) for i in range(130)] + [("b", "end", 500, None, 500)]
+    found = tree.visits(log(spark, rows)).collect()
+    for case in "ab":
+        last = hashlib.sha256(b"__ROOT__").hexdigest()
+        mine = sorted((r for r in found if r.case_id == case), key=lambda r: r.depth)
+        for r, (_, activity, *_) in zip(mine, [x for x in rows if x[0] == case], strict=True):
+            assert r.parent_hash == last and r.activity == activity
+            last = hashlib.sha256(activity.encode() + bytes.fromhex(last)).hexdigest()
+            assert r.node_hash == last
+
+
+def test_plain_identifiers_are_found_as_cases():
+    assert logs.detect_roles(["OrderID", "step", "at_time"])["case_id"] == "OrderID"
+    assert logs.detect_roles(["id", "step", "ts"])["case_id"] == "id"
+
+
+def test_arrow_files_are_for_small_results(spark, tmp_path):
+    import pyarrow as pa
+
+    from eventloom.sources import sinks
+
+    path = str(tmp_path / "small.arrow")
+    assert sinks.write_arrow(spark.range(20).toDF("n"), path) == 20
+    assert pa.ipc.open_file(path).read_all().column("n").to_pylist() == list(range(20))
+    with pytest.raises(ValueError):
+        sinks.write_arrow(spark.range(20).toDF("n"), path, most_rows=19)
+
+
+def test_catalogue_refuses_what_it_should(spark, tmp_path):
+    from eventloom.operators.maintenance import Catalogue
+
+    store = Catalogue(spark, str(tmp_path / "store"))
+    store.create_database("d")
+    store.create_table("d", "t", spark.range(3).toDF("n"))
+    for wrong in (lambda: store.create_database("d"), lambda: store.create_table("d", "t", spark.range(1)), lambda: store.create_table("none", "t", spark.range(1)), lambda: store.drop_database("d"), lambda: store.drop_table("d.none")):
+        with pytest.raises(ValueError):
+            wrong()
+    store.drop_table("d.t")
+    store.create_table("d", "t", spark.range(5).toDF("n"))
+    assert store.read("d.t").count() == 5 and store.read("d.t", 1).count() == 3
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from eventloom import session
+
+    unset = SimpleNamespace(get=lambda *_: None)
+    never = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(master="spark://host:7077", getConf=lambda: unset, _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: never)))
+    with pytest.raises(RuntimeError):
+        session.shared_folder(SimpleNamespace(conf=unset, sparkContext=context))
