@@ -49,6 +49,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def plainly_named(docs: DataFrame, replaced: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, str]]:
+    """`docs` without the columns `replaced` (whatever their case), the others named c0, c1, ...: none clashes with columns made on the way. And the names: given -> made."""
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in replaced))
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 

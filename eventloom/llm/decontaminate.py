@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import SPACES, materialised, text_or_empty
+from eventloom.llm.common import SPACES, materialised, plainly_named, text_or_empty
 
 WINDOW = 8
 MIN_FORMS = 5
@@ -152,15 +152,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """`docs` with contaminated, n_items and item_ids; input columns of these names are replaced."""
-    made = ("contaminated", "n_items", "item_ids", "__body", "__id", "__same")
-    docs = docs.drop(*(c for c in docs.columns if c.lower() in made))
+    docs, names = plainly_named(docs, ("contaminated", "n_items", "item_ids"))
+    id_col, text_col = names[id_col], names[text_col]
     items = matches(docs, benchmark, window, id_col, text_col, **options).groupBy("id", "body").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids")).select(F.col("id").alias("__id"), F.col("body").alias("__same"), "item_ids")
     keyed = docs.withColumn("__body", F.xxhash64(F.col(text_col)))
     joined = keyed.join(items, keyed[id_col].eqNullSafe(items["__id"]) & (keyed["__body"] == items["__same"]), "left")
     none = F.array().cast(items.schema["item_ids"].dataType)
-    return joined.select(*[keyed[c] for c in docs.columns], F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("item_ids", none).alias("item_ids")).withColumn("n_items", F.greatest("n_items", F.lit(0).cast("long")))
+    return joined.select(*[keyed[c] for c in docs.columns], F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("item_ids", none).alias("item_ids")).withColumn("n_items", F.greatest("n_items", F.lit(0).cast("long"))).toDF(*names, "contaminated", "n_items", "item_ids")
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that hold no benchmark passage, with their columns."""
-    return contamination(docs, benchmark, **options).where("not contaminated").select(*docs.columns)
+    docs, names = plainly_named(docs)
+    return contamination(docs, benchmark, window, names[id_col], names[text_col], **options).where("not contaminated").select(*docs.columns).toDF(*names)

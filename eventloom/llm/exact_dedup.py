@@ -13,7 +13,8 @@ reaches a reducer as one row per input partition.
 
 Edge cases: a null text counts as the empty text; texts of white space only equal each other;
 rows that repeat a doc_id and a text count separately in group_size and each is `kept` if its
-doc_id is the smallest; a null doc_id is larger than any other; an empty table gives no rows.
+doc_id is the smallest; a null doc_id is larger than any other; very long texts are compared whole, on the JVM; an
+empty table gives no rows.
 Columns of the input other than doc_id and the text are not read.
 """
 

@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from eventloom.llm.common import plainly_named
+
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
@@ -231,6 +233,13 @@ def predict(docs: DataFrame, model: ByteCnn | None, text_col: str = "text") -> D
     return docs.mapInArrow(run, schema)
 
 
+def recognised(docs: DataFrame, model: ByteCnn | None, least_score: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The documents with a language that the model is sure of by `least_score`, with their columns; those without a letter go."""
+    docs, names = plainly_named(docs)
+    sure = predict(docs, model, names[text_col]).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
+    return sure.select(*docs.columns).toDF(*names)
+
+
 def _groups(asked: list[int], texts: list, most: int = 4 << 20) -> Iterator[list[int]]:
     """The rows in groups of about `most` characters."""
     group, held = [], 0

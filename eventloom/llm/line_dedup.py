@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.llm import ranks
-from eventloom.llm.common import text_or_empty
+from eventloom.llm.common import plainly_named, text_or_empty
 
 MIN_LINES = 3
 FULL = r"[^\x20\x09-\x0D]"
@@ -57,8 +57,8 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "do
 
 def drop_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with n_lines, n_removed and kept_text; input columns of these names are replaced."""
-    made = ("n_lines", "n_removed", "kept_text", "__body", "__runs", "__id", "__same")
-    docs = docs.drop(*(c for c in docs.columns if c.lower() in made))
+    docs, names = plainly_named(docs, ("n_lines", "n_removed", "kept_text"))
+    id_col, text_col = names[id_col], names[text_col]
     runs = repeated_runs(docs, min_lines, id_col, text_col).groupBy("id", "body").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("__runs"), F.sum("n").alias("n_removed"))
     runs = runs.select(F.col("id").alias("__id"), F.col("body").alias("__same"), "__runs", "n_removed")
     keyed = docs.withColumn("__body", F.xxhash64(F.col(text_col)))
@@ -77,4 +77,5 @@ def drop_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str
         .withColumn("n_removed", F.coalesce("n_removed", F.lit(0).cast("long")))
         .withColumn("kept_text", F.when(F.col("__runs").isNotNull(), kept).otherwise(F.col(text_col)))
         .select(*docs.columns, "n_lines", "n_removed", "kept_text")
+        .toDF(*names, "n_lines", "n_removed", "kept_text")
     )

@@ -19,8 +19,8 @@ the table of sources is ordered in one task.
 
 Edge cases: a null text or one without words has size 0 and is never taken; if all sizes are 0
 all targets are 0; rows that repeat a doc_id are separate documents in the order of their text;
-an empty table gives no rows. Extra columns are passed through by :func:`mix_documents`; names
-that start with two underscores are its own.
+very long texts are split over as many blocks as they fill; an empty table gives no rows. Extra columns of any
+name are passed through by :func:`mix_documents`.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import WORDS, materialised, text_or_empty
+from eventloom.llm.common import WORDS, materialised, plainly_named, text_or_empty
 
 #: The weights of sources in order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -36,8 +36,8 @@ WEIGHTS = (5, 2, 1)
 GOLDEN = 0x9E3779B97F4A7C15
 #: Grid cells of the unit interval, by which points and cumulative weights are joined.
 CELLS = 4096
-#: Slots that are ranked together.
-STRETCH = 1 << 16
+#: Slots that are ranked together; buckets whose words are summed together.
+STRETCH, PART = 1 << 16, 1 << 12
 
 
 def word_count(text: str | Column) -> Column:
@@ -124,7 +124,12 @@ def streamed(light: DataFrame, seed: int = 29, bucket_rows: int = 512) -> DataFr
     draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 33)
     drawn = light.withColumn("key", source_key("source")).withColumn("draw", draw).withColumn("bucket", F.shiftrightunsigned(F.col("draw") * F.lit(n).cast("long"), 31))
     sums = drawn.groupBy("key", "bucket").agg(F.sum("size").alias("words"))
-    starts = sums.select("key", "bucket", (F.sum("words").over(Window.partitionBy("key").orderBy("bucket")) - F.col("words")).alias("start"))
+    # words before a bucket: those of the stretches of buckets before its own, and those before it in there
+    sums = sums.withColumn("part", F.floor(F.col("bucket") / PART))
+    parts = sums.groupBy("key", "part").agg(F.sum("words").alias("all"))
+    parts = parts.select("key", "part", (F.sum("all").over(Window.partitionBy("key").orderBy("part")) - F.col("all")).alias("base"))
+    before = F.sum("words").over(Window.partitionBy("key", "part").orderBy("bucket")) - F.col("words")
+    starts = sums.withColumn("before", before).join(parts, ["key", "part"]).select("key", "bucket", (F.col("base") + F.col("before")).alias("start"))
     order = Window.partitionBy("key", "bucket").orderBy("draw", "doc_id", "body")
     upto = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return drawn.withColumn("upto", upto).withColumn("row", F.row_number().over(order)).join(starts, ["key", "bucket"]).withColumn("begin", F.col("start") + F.col("upto") - F.col("size")).drop("draw", "words", "upto", "start")
@@ -154,19 +159,21 @@ def lighter(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Dat
 
 
 def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """doc_id, size, source_size, target, taken, source: a row per input row."""
+    """doc_id, size, source_size, target, taken, source, slot (the first at which words of the document are taken, null if none are): a row per input row."""
     rows, targets = mix(lighter(docs, id_col, text_col, source_col), **options)
     sources = targets.select(source_key("source").alias("key"), "source_size", "target")
     taken = F.coalesce(F.aggregate("passes", F.lit(0).cast("long"), lambda a, p: a + p["words"]), F.lit(0).cast("long"))
-    return rows.join(sources, "key").select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source")
+    return rows.join(sources, "key").select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source", F.array_min(F.transform("passes", lambda p: p["slot"])).alias("slot"))
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mix itself: the columns of `docs`, a row per document and pass that takes words of it.
+    """The mix itself: the columns of `docs`, a row per document and pass that takes words of it, in the order of the slots that take them.
 
     A document of which a pass takes only the first words has its text cut there, words joined by
     one space.
     """
+    docs, names = plainly_named(docs)
+    id_col, text_col, source_col = names[id_col], names[text_col], names[source_col]
     rows, _ = mix(lighter(docs, id_col, text_col, source_col), **options)
     same = ["__id", "__body", "__key"]
     nth = Window.partitionBy(*same)
@@ -178,4 +185,5 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     joined = kept.join(planned, on).select(*[kept[c] for c in docs.columns], planned["__size"], F.explode(planned["__passes"]).alias("__pass"))
     part = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORDS), F.lit(0)), F.lit(1), F.col("__pass.words").cast("int")), " ")
     text = F.when(F.col("__pass.words") >= F.col("__size"), F.col(text_col)).otherwise(part)
-    return joined.withColumn(text_col, text).select(*docs.columns)
+    ordered = joined.withColumn(text_col, text).repartitionByRange("__pass.slot").sortWithinPartitions("__pass.slot")
+    return ordered.select(*docs.columns).toDF(*names)

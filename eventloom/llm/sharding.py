@@ -18,8 +18,8 @@ other records. Only the small table of bucket sizes is summed in order, one task
 
 Edge cases: a null text has size 1; rows with a null doc_id share one shard; rows that repeat a
 doc_id share a shard and get slots of their own; very long texts count by their bytes when buckets are
-sized; an empty table gives no rows. Extra columns of any type pass through; input columns named
-shard, slot or grown_shard are replaced, and so are those named like the columns used meanwhile (see `made`).
+sized; an empty table gives no rows. Extra columns of any type and name pass through, but input columns
+named shard, slot or grown_shard are replaced.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
-from eventloom.llm.common import materialised, text_or_empty
+from eventloom.llm.common import materialised, plainly_named, text_or_empty
 from eventloom.llm.ranks import join_ranks, split_hot
 
 #: Copies of one record that a task makes at once.
@@ -83,9 +83,8 @@ def numbered_copies(docs: DataFrame) -> DataFrame:
 
 def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, bucket_rows: int = 128, bucket_bytes: int = 8 << 20) -> DataFrame:
     """`docs` with shard (int), slot (long, from 0 in each shard) and grown_shard (int, the shard if there were one more)."""
-    made = ("shard", "slot", "grown_shard", "__bucket", "__offset", "__rows", "__order", "__at", "__row", "__same", "__twin", "__copy", "__n", "__piece", "__ranked", "n")
-    extra = [c for c in docs.columns if c.lower() == "n"]
-    docs = docs.drop(*(c for c in docs.columns if c.lower() in made and c not in extra)).withColumnsRenamed({c: f"__kept_{c}" for c in extra})
+    docs, given = plainly_named(docs, ("shard", "slot", "grown_shard"))
+    id_col, text_col = given[id_col], given[text_col]
     key, names = F.col(id_col), docs.columns
     rows = numbered_copies(docs).withColumn("shard", jump_shard(key, shards, seed))
     weights = {r["shard"]: r for r in rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(text_or_empty(text_col))).alias("b")).collect()}  # a row a shard
@@ -111,7 +110,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
     )
     out = shuffled.select("__row.*", "shard", (F.col("__offset") + F.col("__at")).cast("long").alias("slot"))
     grown = F.when(jump_shard(key, shards + 1, seed) == shards, F.lit(shards)).otherwise(F.col("shard"))
-    return out.withColumn("grown_shard", grown.cast("int")).withColumnsRenamed({f"__kept_{c}": c for c in extra})
+    return out.withColumn("grown_shard", grown.cast("int")).toDF(*given, "shard", "slot", "grown_shard")
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

@@ -18,8 +18,8 @@ piece: exact, whatever the bucket's size. Tasks emit spanning edges (at most one
 piece), never all pairs of a group, and components are found with alternating stars.
 
 Edge cases: null text is the empty text; rows that repeat a doc_id keep their own fingerprints; a
-null doc_id takes part and its component_id is the smallest non-null id; an empty table gives no
-rows. Other columns are not read.
+null doc_id takes part and its component_id is the smallest non-null id; very long texts are hashed whole, 65,536
+shingles at a time; an empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from eventloom.llm.common import materialised
 from eventloom.llm.components import components, forest
+from eventloom.llm.ranks import join_ranks
 from eventloom.llm.textkit import mix64
 
 BITS = 64
@@ -300,8 +301,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, k: int = 3, id_col: str = "
 def _classes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, least: the smallest `first` of each node's component."""
     roots = components(edges)
-    rooted = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    return rooted.join(rooted.groupBy("root").agg(F.min("first").alias("least")), "root").select("node", "least")
+    rooted = materialised(nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")))
+    # a class may hold a third of all nodes
+    least = rooted.groupBy("root").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("n"))
+    return join_ranks(rooted, least, ["root"], rooted.count()).select("node", "least")
 
 
 def exact_links(sets: list[np.ndarray], similarity: float, block: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -359,13 +362,14 @@ def _exact(rows: DataFrame, similarity: float) -> DataFrame:
     return pieces.groupBy("root", "low", "high").applyInArrow(run, "u long, v long")
 
 
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", k: int = 3) -> DataFrame:
     """doc_id and class_id (the smallest doc_id of the documents that links join), a row per input row.
 
     Two documents are linked if the exact Jaccard similarity of their sets of shingles of `words`
-    words is at least `similarity`. Candidates are documents with an equal band of least shingle
-    hashes (see BANDS); their components are the classes within which shingle sets are compared,
-    so no pair of candidates is left out.
+    words is at least `similarity`. Candidates are documents whose SimHashes differ in `k` bits at
+    most, found by the pigeonhole search, and, as SimHashes of pairs near `similarity` differ in
+    far more, those with an equal band of least shingle hashes (see BANDS). The components of both
+    are the classes within which shingle sets are compared, so no pair of candidates is left out.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -375,18 +379,34 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
             node = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
             keys = np.array([band_keys(x) for x in sets], np.uint64).reshape(-1).view(np.int64)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(keys))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), bands], ["doc_id", "body", "node", "bands"])
+            fps = pa.array(np.array([set_fingerprint(x) for x in sets], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), fps, bands], ["doc_id", "body", "node", "fp", "bands"])
 
     read = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("body"), F.col(text_col).alias("text"))
-    rows = materialised(read.mapInArrow(run, f"doc_id {kind}, body long, node long, bands array<long>"))
+    rows = materialised(read.mapInArrow(run, f"doc_id {kind}, body long, node long, fp long, bands array<long>"))
     # equal shingle sets are one node, whichever of its texts stands for it
-    distinct = materialised(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "body", "bands")).alias("x")).select("node", "first", F.col("x.doc_id").alias("of"), "x.body", "x.bands"))
-    candidates = components(_sharing(distinct))
+    distinct = materialised(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "body", "fp", "bands")).alias("x")).select("node", "first", F.col("x.doc_id").alias("of"), "x.body", "x.fp", "x.bands"))
+    candidates = components(_sharing(distinct).unionByName(_near(distinct, k)))
     edges = _exact(_with_shingles(read, distinct, candidates, words), similarity)
     classes = _classes(distinct.select("node", "first"), edges)
     return rows.select("doc_id", "node").join(classes, "node").select("doc_id", F.col("least").alias("class_id"))
 
 
+def set_fingerprint(shingles: np.ndarray) -> int:
+    """The SimHash of a set of shingle hashes."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(shingles), 1 << 16):
+        ones += np.unpackbits(shingles[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(shingles)).view(">u8")[0])
+
+
+def _near(distinct: DataFrame, k: int) -> DataFrame:
+    """Edges (u, v) that join the nodes whose SimHashes are equal or differ in `k` bits at most."""
+    fps = materialised(distinct.groupBy("fp").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")))
+    same = join_ranks(distinct.select("node", "fp"), fps.where("n > 1"), ["fp"], distinct.count()).where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
+    return links(fps.select("fp", F.col("least").alias("node")), k).unionByName(same)
+
+
 def _sharing(distinct: DataFrame) -> DataFrame:
     """Edges (u, v) from each node (with its bands) to the smallest node of every band it shares."""
     filed = distinct.select("node", F.explode("bands").alias("band"))

@@ -15,8 +15,8 @@ those in the written index are read: a retried task leaves an unread file at wor
 
 Edge cases: a null html is an empty payload, and empty payloads equal each other; a null url is
 written as urn:eventloom:none; rows that repeat both the smallest page_id and the payload are all
-responses, for nothing tells them apart; a null page_id is never the smallest unless all are; an
-empty table writes nothing. Extra columns are not read.
+responses, for nothing tells them apart; a null page_id is never the smallest unless all are; a very
+long html is one record, held whole by the task that writes or reads it; an empty table writes nothing. Extra columns are not read.
 """
 
 from __future__ import annotations

@@ -80,6 +80,27 @@ def test_hard_cases(hard, none):
     assert mixing.mix_report(none).count() == 0 and mixing.mix_documents(none).count() == 0
 
 
+def test_columns_keep_their_values_whatever_their_names(make):
+    names = ("__id", "__body", "__key", "__size", "__passes", "__nth", "__pass", "c0", "slot", "bucket")
+    df = make(CORPORA[0])
+    for k, name in enumerate(names):
+        df = df.withColumn(name, F.concat(F.lit(f"{k}-"), "doc_id"))
+    out = mixing.mix_documents(df, block_words=7)
+    assert out.columns == df.columns
+    rows = out.collect()
+    assert rows and all(r[name] == f"{k}-{r.doc_id}" for r in rows for k, name in enumerate(names))
+
+
+def test_the_mix_is_in_the_order_of_the_schedule(make):
+    df = make(CORPORA[1])
+    slot = {r.doc_id: r.slot for r in mixing.mix_report(df, block_words=7).collect()}
+    first = {}
+    for n, r in enumerate(mixing.mix_documents(df, block_words=7).collect()):
+        first.setdefault(r.doc_id, n)
+    order = sorted(first, key=first.get)
+    assert [slot[i] for i in order] == sorted(slot[i] for i in order)
+
+
 def test_schedule_is_even(spark):
     targets = spark.createDataFrame([("a", 60_000, 60_000.0), ("b", 30_000, 30_000.0), ("c", 10_000, 10_000.0)], "source string, source_size long, target double")
     keys = {r.k: r.source for r in targets.select("source", mixing.source_key("source").alias("k")).collect()}

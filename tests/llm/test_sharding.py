@@ -10,6 +10,8 @@ from eventloom.llm.sharding import fisher_yates, shard_documents
 
 
 def test_hard_cases(hard, none):
+    kept = shard_documents(hard.withColumn("__rows", F.lit(1)).withColumn("__n", F.lit("n")), 8, bucket_rows=2)
+    assert kept.select("__rows", "__n").distinct().collect() == [(1, "n")]
     clash = hard.withColumn("slot", F.lit("x")).withColumn("__rows", F.lit(1)).withColumn("m", F.create_map(F.lit("k"), F.lit(1)))
     rows = shard_documents(clash, 8, bucket_rows=2).collect()
     assert shard_documents(hard.withColumn("n", F.lit("kept")), 8).select("n").distinct().collect() == [("kept",)]

@@ -176,3 +176,14 @@ def test_appended_and_truncated_copies_are_found(make):
         rows += [(10 * group + k, " ".join([*words, *(f"v{x}" for x in rng.integers(0, 10**6, n * share // 100))])) for k, share in ((2, 10), (3, 20))]
     found, expected = made_and_exact(make, rows)
     assert found == expected and len(set(expected.values())) == 40
+
+
+def test_near_fingerprints_are_candidates(make):
+    """SimHash and bands each find candidates; what is linked is decided by the exact similarity."""
+    base = [f"w{i}" for i in range(400)]
+    rows = [(1, " ".join(base)), (2, " ".join(base[:-1] + ["other"])), (3, " ".join(f"v{i}" for i in range(400)))]
+    found = {r.doc_id: r.class_id for r in simhash.similar_documents(make(rows)).collect()}
+    assert found == {1: 1, 2: 1, 3: 3}
+    sets = [simhash.shingle_set(t.encode(), 5) for _, t in rows]
+    assert bin(simhash.set_fingerprint(sets[0]) ^ simhash.set_fingerprint(sets[1])).count("1") <= 3
+    assert simhash.set_fingerprint(np.array([2**63, 1], np.uint64)) == 0 and simhash.set_fingerprint(np.array([2**63 + 1], np.uint64)) == 2**63 + 1
