@@ -7,7 +7,6 @@ documents they get.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from eventloom.llm import decontaminate, language, mixing, sharding, simhash
 from eventloom.llm.common import scratch_path, table
@@ -19,8 +18,7 @@ LEAST_SCORE = 0.5
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages learned from their labels."""
     model = language.train(docs, language.fold() != 2)
-    known = language.predict(docs, model).where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return known.select(*docs.columns)
+    return language.recognised(docs, model, LEAST_SCORE)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
