@@ -38,6 +38,7 @@ def join_ranks(rows: DataFrame, ranks: DataFrame, keys: list[str], total: int) -
 
 def repeated(rows: DataFrame, sequence: list[str], length: int) -> tuple[DataFrame, int]:
     """The rows (columns `sequence` name a sequence; pos, at, rank) whose next `length` ranks stand elsewhere too, with the rank of those as `rank` and the last one's `at` as `upto`, and an upper bound of their number."""
+    rows = materialised(rows)
     counted = materialised(rows.groupBy("rank").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     rows = join_ranks(rows, counted, ["rank"], total).drop("n")

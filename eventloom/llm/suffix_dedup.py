@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 
 from eventloom.llm import ranks
 from eventloom.llm import textkit as tk
+from eventloom.llm.common import materialised
 from eventloom.llm.repeats import BLOCK_BYTES, Runs, bucket_of, deal, documents, find_runs, pack, rows_table, slices, unpack
 
 SIZE = 400
@@ -379,7 +380,8 @@ def drop_repeated_bytes(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id
     search = Search(size, min(gram, size), most_contents)
     by_block, blocks = deal(docs, id_col, text_col, block_bytes)
     to_bucket, to_block = "bucket long, block long, kind long, data binary", "block long, bucket long, kind long, data binary"
-    judged = by_block.applyInArrow(_file_records(search, blocks), to_bucket).groupBy("bucket").applyInArrow(_judge_records(search), to_block)
+    # written once, as each use of it in a job of its own would search all texts again
+    judged = materialised(by_block.applyInArrow(_file_records(search, blocks), to_bucket).groupBy("bucket").applyInArrow(_judge_records(search), to_block))
     cells = by_block.cogroup(judged.groupBy("block")).applyInArrow(_cells(search, blocks), "block long, record long, pos long, rank long")
     shared, _ = ranks.repeated(cells.withColumn("at", F.col("pos")), ["block", "record"], search.core)
     left = shared.groupBy("block", "record").agg(F.min("pos").alias("low"), F.max("pos").alias("high"))
