@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from eventloom.log import as_timestamp
 from eventloom.operators import healing, maintenance
-from eventloom.plans import pipeline
+from eventloom.plans import ingest, pipeline
 from eventloom.plans.registry import E, log, query
 from eventloom.session import scratch, table
 from eventloom.sources import detect, readers, sinks, stores
@@ -316,7 +316,49 @@ def _chain(s, d) -> DataFrame:
     return pipeline.Pipeline().then(lambda x: x.where("value is not null")).then(counted).apply(table(s, d, "events"))
 
 
-query("udf01_function", "SELECT event_id, upper(event_type) AS event_type FROM events")(lambda s, d: table(s, d, "events").transform(lambda x: x.withColumn("event_type", F.upper("event_type"))).select("event_id", "event_type"))
+def _marked(event: dict) -> dict | None:
+    return {**event, "event_type": event["event_type"].upper()} if event["value"] > 5 else None
+
+
+query("udf01_function", "SELECT event_id, upper(event_type) AS event_type, value FROM events WHERE value > 5")(lambda s, d: pipeline.Pipeline([pipeline.processor(_marked)]).apply(table(s, d, "events").select("event_id", "event_type", "value")))
+query("str05b_safe_steps", COUNT_SQL)(lambda s, d: pipeline.Pipeline([pipeline.safe(lambda x: pipeline.PLUGINS["no such step"](x)), pipeline.checkpointed(counted)]).apply(table(s, d, "events")))
+
+
+@query("str05b_dead_letters", "SELECT 'good' AS part, count(*) FILTER (value > 5) AS n FROM events UNION ALL SELECT 'bad', count(*) FILTER (value <= 5) FROM events UNION ALL SELECT 'traced', count(*) FILTER (value > 5) FROM events")
+def _steps(s, d) -> DataFrame:
+    path, trace = scratch(s, "steps"), pipeline.Trace()
+    count = trace.traced("good", pipeline.with_dead_letters(lambda x: x, lambda x: F.when(F.col("value") <= 5, "column too small"), path, "events"))
+    good = sinks.discard(count(table(s, d, "events")))
+    return s.createDataFrame([("good", good), ("bad", sinks.read_dead_letters(s, path).count()), ("traced", trace.rows()["good"])], "part string, n long")
+
+
+@query("ing01_presets", "SELECT unnest(['high_quality', 'high_speed', 'low_memory']) AS preset, (SELECT count(*) FROM events) AS n, (SELECT round(sum(value), 2) FROM events) AS total")
+def _presets(s, d) -> DataFrame:
+    source, rows = written(s, d, "csv", header=True), []
+    for preset in ingest.INGEST:
+        r = ingest.ingest(s, source, scratch(s, f"preset-{preset}"), preset).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total")).first()
+        rows.append((preset, r["n"], r["total"]))
+    return s.createDataFrame(rows, "preset string, n long, total double")
+
+
+@query("ing02_batches", "SELECT * FROM (VALUES (0, 'a,b'), (1, 'c'), (2, 'd,e,f'), (3, 'g')) t(batch, files)")
+def _batches(s, d) -> DataFrame:
+    files = [stores.Stored(p, n, 0) for p, n in zip("gfedcba", (5, 1, 1, 1, 20, 5, 4), strict=True)]
+    return s.createDataFrame([(i, ",".join(b)) for i, b in enumerate(ingest.batches(files, 10, 3))], "batch int, files string")
+
+
+@query("str05_resumed", "SELECT (SELECT count(*) FROM events) AS n, (SELECT round(sum(value), 2) FROM events) AS total, true AS stopped, true AS resumed")
+def _resumed(s, d) -> DataFrame:
+    """An ingest that stops after its first batch, and another that goes on from there."""
+    source, to, progress = scratch(s, "source"), scratch(s, "table"), f"{scratch(s, 'progress')}/state.json"
+    table(s, d, "events").select("event_id", "value").repartition(4).write.option("header", True).csv(source)
+    first = ingest.ingest_folder(s, source, to, progress, target=1, most_batches=1)
+    second = ingest.ingest_folder(s, source, to, progress, target=1)
+    out = s.read.parquet(to).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    return out.withColumn("stopped", F.lit(len(first.done) == 1 and first.started)).withColumn("resumed", F.lit(len(second.done) == 4))
+
+
+query("snk05_event_parquet", E + " SELECT case_id, activity, timestamp, CAST('' AS VARCHAR) AS resource FROM e")(lambda s, d: (lambda p: (sinks.write_parquet(readers.event_csv(s, written(s, d, "csv", header=True), "user_id", "event_type", "ts"), p), s.read.parquet(p).select("case_id", "activity", "timestamp", F.coalesce("resource", F.lit("")).alias("resource")))[1])(scratch(s, "roles")))
 
 
 @query("udf02_plugin", "SELECT count(*) AS n FROM events WHERE value > 10")

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def read_folder(spark: SparkSession, path: str, schema, kind: str = "parquet", files_per_trigger: int | None = None, glob: str | None = None) -> DataFrame:
-    """A stream of the files of a folder, at most so many a trigger."""
+def read_folder(spark: SparkSession, path: str, schema, kind: str = "parquet", files_per_trigger: int | None = None, glob: str | None = None, bytes_per_trigger: int | None = None) -> DataFrame:
+    """A stream of the files of a folder, at most so many (or so many bytes of them) a trigger."""
     reader = spark.readStream.format(kind).schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    if bytes_per_trigger:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_trigger)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     return reader.load(path)

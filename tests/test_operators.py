@@ -253,3 +253,30 @@ def test_a_cluster_without_a_shared_folder_is_an_error():
     context = SimpleNamespace(master="spark://host:7077", getConf=lambda: unset, _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: never)))
     with pytest.raises(RuntimeError):
         session.shared_folder(SimpleNamespace(conf=unset, sparkContext=context))
+
+
+def test_a_token_bucket_waits_for_what_is_over_its_burst():
+    from eventloom.plans.ingest import Pace
+
+    now, waited = [0.0], []
+    pace = Pace(10, 20, clock=lambda: now[0], wait=waited.append)
+    pace(20)
+    pace(10)
+    now[0] = 4.0
+    pace(5)
+    assert waited == [1.0]
+
+
+def test_a_watched_folder_is_rebuilt_when_it_rests(spark, tmp_path):
+    from eventloom.plans.ingest import watch
+
+    built = []
+    (tmp_path / "a.csv").write_text("x")
+
+    def rebuild(files):
+        built.append(sorted(f.path.rsplit("/", 1)[-1] for f in files if not f.path.endswith(".crc")))
+        if len(built) == 1:
+            (tmp_path / "b.csv").write_text("y")
+
+    assert watch(spark, str(tmp_path), rebuild, quiet=0.2, poll=0.02, stop=lambda: len(built) == 2) == 2
+    assert built == [["a.csv"], ["a.csv", "b.csv"]]
