@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import SPACES, partitions, text_or_empty
+from eventloom.llm.common import SPACES, partitions, plainly_named, text_or_empty
 
 #: Bits of a fingerprint that choose the filter segment, which one task merges.
 SEGMENT_BITS = 16
@@ -162,5 +162,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that stay, with all their columns."""
-    stay = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(stay, id_col, "left_semi")
+    docs, names = plainly_named(docs)
+    id_col, text_col = names[id_col], names[text_col]
+    stay = exact_groups(docs, id_col, text_col).where("kept").select("doc_id", "text_sha256").distinct()
+    same = docs[id_col].eqNullSafe(stay["doc_id"]) & (F.sha2(normalised(text_col), 256) == stay["text_sha256"])
+    return docs.join(stay, same, "left_semi").toDF(*names)
