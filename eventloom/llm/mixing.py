@@ -167,7 +167,7 @@ def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mix itself: the columns of `docs`, a row per document and pass that takes words of it, in the order of the slots that take them.
+    """The mix itself: the columns of `docs`, a row per document and pass that takes words of it, in each partition in the order of the slots that take them.
 
     A document of which a pass takes only the first words has its text cut there, words joined by
     one space.
@@ -185,5 +185,5 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     joined = kept.join(planned, on).select(*[kept[c] for c in docs.columns], planned["__size"], F.explode(planned["__passes"]).alias("__pass"))
     part = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORDS), F.lit(0)), F.lit(1), F.col("__pass.words").cast("int")), " ")
     text = F.when(F.col("__pass.words") >= F.col("__size"), F.col(text_col)).otherwise(part)
-    ordered = joined.withColumn(text_col, text).repartitionByRange("__pass.slot").sortWithinPartitions("__pass.slot")
+    ordered = joined.withColumn(text_col, text).sortWithinPartitions("__pass.slot")
     return ordered.select(*docs.columns).toDF(*names)

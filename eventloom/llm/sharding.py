@@ -12,9 +12,9 @@ Law `key`: doc_id and the number of shards decide the shard. When one shard is a
 either stays or goes to the new shard.
 
 Skew: records of one doc_id (or none) share a shard, as the law has it, but not a bucket. Records
-that are equal in all columns are counted first; one of each is kept and made as many times as it
-was counted, in pieces of PIECE, each copy with a number of its own, which scatters it like
-other records. Only the small table of bucket sizes is summed in order, one task per shard.
+that are equal in all columns are counted first; of those with over MANY equals one is kept and made as
+many times as it was counted, in pieces of PIECE, each copy with a number of its own, which
+scatters it like other records. Only the small table of bucket sizes is summed in order, one task per shard.
 
 Edge cases: a null text has size 1; rows with a null doc_id share one shard; rows that repeat a
 doc_id share a shard and get slots of their own; very long texts count by their bytes when buckets are
@@ -31,8 +31,8 @@ from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 from eventloom.llm.common import materialised, plainly_named, text_or_empty
 from eventloom.llm.ranks import join_ranks, split_hot
 
-#: Copies of one record that a task makes at once.
-PIECE = 4096
+#: Equal rows that may share a bucket; copies of one row that a task makes at once; rows with more equals that are broadcast.
+MANY, PIECE, BROADCAST_TWINS = 256, 4096, 100_000
 
 
 def jump_shard(key: Column, shards: int, seed: int = 17) -> Column:
@@ -64,18 +64,22 @@ def _has_map(kind: DataType) -> bool:
 
 
 def numbered_copies(docs: DataFrame) -> DataFrame:
-    """`docs` with __same and __twin (two hashes of the whole row) and __copy (a number among equal rows, from 0)."""
+    """`docs` with __same and __twin (two hashes of the whole row) and __copy (a number among equal rows, from 0; 0 for all where there are MANY at most)."""
     # maps cannot be hashed as they are
     content = [F.to_json(F.struct(F.col(f.name))) if _has_map(f.dataType) else F.col(f.name) for f in docs.schema]
     hashed = docs.withColumn("__same", F.xxhash64(*content)).withColumn("__twin", F.xxhash64(F.lit(1), *content))
     names = ["__same", "__twin"]
-    twins = materialised(hashed.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    total = twins.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    if not total:
+    twins = materialised(hashed.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MANY))
+    found = twins.agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).first()
+    if not found["k"]:
         return hashed.withColumn("__copy", F.lit(0).cast("long"))
-    hot, cold = split_hot(twins, total)
-    single = hashed.join(F.broadcast(hot), names, "left_anti").join(cold, names, "left_anti").withColumn("__copy", F.lit(0).cast("long"))
-    one = join_ranks(hashed, twins, names, total).groupBy(*names).agg(F.first(F.struct(*[F.col(c) for c in docs.columns])).alias("__row"), F.first("n").alias("__n"))
+    if found["k"] <= BROADCAST_TWINS:
+        single, copied = hashed.join(F.broadcast(twins), names, "left_anti"), hashed.join(F.broadcast(twins), names)
+    else:
+        hot, cold = split_hot(twins, found["n"])
+        single, copied = hashed.join(F.broadcast(hot), names, "left_anti").join(cold, names, "left_anti"), join_ranks(hashed, twins, names, found["n"])
+    single = single.withColumn("__copy", F.lit(0).cast("long"))
+    one = copied.groupBy(*names).agg(F.first(F.struct(*[F.col(c) for c in docs.columns])).alias("__row"), F.first("n").alias("__n"))
     pieces = one.withColumn("__piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / PIECE)))).repartition(*names, "__piece")
     copies = pieces.withColumn("__copy", F.explode(F.sequence(F.col("__piece") * PIECE, F.least(F.col("__n"), (F.col("__piece") + 1) * PIECE) - 1)))
     return single.unionByName(copies.select("__row.*", *names, "__copy"))

@@ -40,3 +40,9 @@ def test_clashing_columns_pass(hard):
     clash = hard.withColumn("fp", F.lit(1)).withColumn("body", F.lit("x")).withColumn("keep_id", F.lit(0))
     assert ed.exact_groups(clash).count() == hard.count()
     assert set(ed.drop_exact_copies(clash).columns) == set(clash.columns)
+
+
+def test_what_stays(make):
+    rows = [(None, "only without id"), (None, "a  b"), (2, "a b"), (2, "other"), (1, "other"), (3, None), (4, "")]
+    kept = sorted(((r.doc_id, r.text) for r in ed.drop_exact_copies(make(rows)).collect()), key=repr)
+    assert kept == sorted([(None, "only without id"), (2, "a b"), (1, "other"), (3, None)], key=repr)

@@ -56,7 +56,7 @@ def signed(h):
     return h - (1 << 64) if h >> 63 else h
 
 
-def plain_shards(rows, shards, seed, bucket_rows):
+def plain_shards(rows, shards, seed, bucket_rows, many):
     """{shard: rows in the order of their slots} by plain jump hashing and Fisher-Yates; rows are (doc_id, text)."""
 
     def shard_of(key):
@@ -66,10 +66,10 @@ def plain_shards(rows, shards, seed, bucket_rows):
                 found = j
         return found
 
-    seen, placed = Counter(), {}
+    seen, placed, equal = Counter(), {}, Counter(rows)
     for i, t in sorted(rows, key=repr):
         placed.setdefault(shard_of(i), []).append((i, t, signed(spark_hash(i, t)), signed(spark_hash((1,), i, t)), seen[i, t]))
-        seen[i, t] += 1
+        seen[i, t] += equal[i, t] > many
     out = {}
     for shard, members in placed.items():
         buckets = max(1, -(-len(members) // bucket_rows))
@@ -86,14 +86,16 @@ def plain_shards(rows, shards, seed, bucket_rows):
     return out
 
 
-def test_equals_plain_jump_hashing_and_fisher_yates(make, hard):
+def test_equals_plain_jump_hashing_and_fisher_yates(make, hard, monkeypatch):
     rows = [(i, f"text {i % 5}") for i in range(300)] + [(7, "again")] * 90 + [(None, f"none {i}") for i in range(150)] + [(r.doc_id, r.text) for r in hard.collect()]
     df = make(rows).select("doc_id", "text")
-    for shards in (1, 3, 8):
+    for shards, many, light in ((1, 256, 9), (3, 1, 9), (8, 50, 9), (8, 1, 0)):
+        monkeypatch.setattr(sharding, "MANY", many)
+        monkeypatch.setattr(sharding, "BROADCAST_TWINS", light)
         got = {}
         for r in shard_documents(df, shards, bucket_rows=20).orderBy("shard", "slot").collect():
             got.setdefault(r.shard, []).append((r.doc_id, r.text))
-        assert got == plain_shards(rows, shards, 17, 20)
+        assert got == plain_shards(rows, shards, 17, 20, many)
 
 
 def test_one_hot_id_is_spread_over_buckets(spark):
