@@ -10,11 +10,12 @@ is found, while a chance match of placeholders is not. Benchmark windows that ar
 placeholders match too much and only count with their own values. A window of the same words also
 counts, whatever their case, as capitals alone would make names of a whole passage.
 
-Scale: documents are read as they lie and never shuffled to find matches, as long as the benchmark's windows
-(BROADCAST_WINDOWS at most, counted first) fit in memory everywhere; a larger benchmark is
-joined by shuffle. Only matching documents are looked at again for their slots. Windows of equal
-words are found by shorter grams at every few places of a document, of which each window holds
-one; only documents with a gram of the benchmark have all their windows compared.
+Scale: words and forms come from a few passes over whole texts (:func:`canonical`). Documents are read as they lie and never
+shuffled to find matches, as long as the benchmark's windows (BROADCAST_WINDOWS at most, counted first) fit in memory
+everywhere; a larger benchmark is joined by shuffle. Matching windows are found by shorter grams of words and of forms
+at every few places of a document, of which each window holds one; only documents with a gram of the benchmark have all their
+windows compared and their slots looked at. Benchmark windows that are mostly placeholders are looked up whole at every place,
+as their grams stand in many documents.
 
 Edge cases: a null or empty text or item matches nothing; items with fewer than MIN_FORMS forms are
 too short to tell and match nothing; rows that repeat a doc_id and text are judged alike; an empty benchmark
@@ -24,6 +25,8 @@ finds nothing and an empty table gives no rows; very long texts are searched who
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,30 +47,36 @@ UNITS = (
 ).split()
 
 
+_OTHER = r"[^\p{L}\p{N}]"  # a character that no core begins or ends with
+_INNER = r"[^\p{L}\p{N}\p{Cs}\x20\x09-\x0D%s]"  # such a one within a word; no half of a surrogate pair
+#: What lies between the cores of two words, with the first sentence mark behind the former, unless it is one space; and what leads the text.
+_GAPS = rf"(?=[^a-zA-Z])(?! [\p{{L}}\p{{N}}])(?:\A{_OTHER}++|{_INNER % '.!?:;'}*+([.!?:;]?+){_INNER % ''}*+[\x20\x09-\x0D]{_OTHER}*+)"
+_ENDS = r"[.!?:;](?= )"
+
+
 def words(text: str | Column) -> Column:
     """The words of a text that have a letter or digit."""
     return F.filter(F.split(text_or_empty(text), SPACES), lambda w: w.rlike(r"[\p{L}\p{N}]"))
 
 
-def cores(found: Column) -> Column:
-    """An array of words in lower case, without outer punctuation."""
-    return F.transform(found, lambda w: F.lower(F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")))
+def _marked(line: Column) -> Column:
+    """A line of cores, each followed by its sentence mark, if any, and a space, with placeholders, in lower case."""
+    named = F.regexp_replace(line, r" (?<![.!?:;] )\p{Lu}[^ \p{N}]*+(?= )", f" {NAME}")
+    numbered = F.regexp_replace(named, r"(^| )[^ \p{N}]*+\p{N}[^ ]*+", f"$1{NUMBER}")
+    units = F.regexp_replace(F.lower(numbered), rf"({NUMBER} )(?:{'|'.join(UNITS)})(?=[.!?:;]? )", f"$1{UNIT}")
+    return F.when(line.rlike(r"\p{N}"), units).otherwise(F.lower(named))
 
 
-def forms(found: Column, plain: Column) -> Column:
-    """The canonical forms of an array of words with these cores."""
+def canonical(df: DataFrame, text_col: str) -> DataFrame:
+    """`df` with cores (an entry for each of its :func:`words`, in lower case and without outer punctuation) and forms.
 
-    def form(word: Column, at: Column) -> Column:
-        before = F.get(found, at - 1)
-        core = F.get(plain, at)
-        return (
-            F.when(word.rlike(r"\p{N}"), F.lit(NUMBER))
-            .when((at > 0) & word.rlike(r"^[^\p{L}]*\p{Lu}") & ~before.rlike(r"[.!?:;][^\p{L}\p{N}]*$"), F.lit(NAME))
-            .when((at > 0) & before.rlike(r"\p{N}") & core.isin(UNITS), F.lit(UNIT))
-            .otherwise(core)
-        )
-
-    return F.transform(found, form)
+    Both are found in passes over the whole text: an expression for each word would cost several times as much.
+    """
+    line = df.withColumn("line", F.ltrim(F.regexp_replace(F.concat(text_or_empty(text_col), F.lit(" ")), _GAPS, "$1 ")))
+    split = lambda c: F.split(F.regexp_replace(c, _ENDS, ""), " ")
+    both = line.withColumn("cores", split(F.lower("line"))).withColumn("forms", split(_marked(F.col("line"))))
+    # a line ends with a space, so an empty string comes last
+    return both.select(*df.columns, *[F.slice(c, 1, F.size(c) - 1).alias(c) for c in ("cores", "forms")])
 
 
 def _names(found: Column) -> Column:
@@ -75,9 +84,9 @@ def _names(found: Column) -> Column:
     return F.transform(found, lambda f: F.xxhash64(f))
 
 
-def slot_pattern(values: Column, kinds: Column) -> Column:
+def slot_pattern(cores: Column, kinds: Column) -> Column:
     """For each slot of a window the place of the first slot with the same value: equal patterns map values one to one."""
-    slots = F.transform(cores(values), lambda w, i: F.when(_is_slot(F.get(kinds, i)), w).otherwise(F.lit("")))
+    slots = F.transform(cores, lambda w, i: F.when(_is_slot(F.get(kinds, i)), w).otherwise(F.lit("")))
     return F.transform(slots, lambda w: F.when(w == "", F.lit(0).cast("long")).otherwise(F.array_position(slots, w)))
 
 
@@ -91,62 +100,74 @@ def _grams(size: int) -> tuple[int, int]:
     return length, size - length + 1
 
 
+def _starts(kind: str, size: int, step: int = 1) -> Column:
+    last = F.size(kind) - size + 1
+    return F.when(last >= 1, F.sequence(F.lit(1), last, F.lit(step))).otherwise(F.array().cast("array<int>"))
+
+
+def _grams_at(kind: str, length: int, step: int) -> Column:
+    return F.transform(_starts(kind, length, step), lambda i: F.xxhash64(F.slice(kind, i, F.lit(length))))
+
+
+def _windows_at(kind: str, size: int) -> Column:
+    return F.transform(_starts(kind, size), lambda i: F.struct(F.lit(size).alias("size"), i.alias("at"), F.xxhash64(F.slice(kind, i, F.lit(size))).alias("h")))
+
+
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text", min_forms: int = MIN_FORMS) -> DataFrame:
-    """item_id, size, start, h (the hash of the window's forms), literal, pattern, exact (the hash of its lower-cased words), plain (the hashes of its words' cores)."""
-    items = benchmark.select(F.col(id_col).alias("item_id"), words(text_col).alias("words")).where(F.size("words") >= min_forms)
-    items = items.withColumn("cores", cores(F.col("words"))).withColumn("forms", forms(F.col("words"), F.col("cores"))).withColumn("size", F.least(F.size("words"), F.lit(window)))
+    """item_id, size, start, cores and forms of the window, h (the hash of its forms), literal, pattern, exact (the hash of its lower-cased words), plain (the hash of its cores)."""
+    items = canonical(benchmark.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text")), "text").withColumn("words", words("text")).where(F.size("words") >= min_forms)
+    items = items.withColumn("size", F.least(F.size("words"), F.lit(window)))
     rows = items.withColumn("start", F.explode(F.sequence(F.lit(1), F.size("words") - F.col("size") + 1)))
-    cut = rows.withColumn("f", F.slice("forms", F.col("start"), F.col("size"))).withColumn("w", F.slice("words", F.col("start"), F.col("size")))
+    cut = rows.select("item_id", "size", "start", *[F.slice(c, F.col("start"), F.col("size")).alias(c) for c in ("words", "cores", "forms")])
     return cut.select(
         "item_id",
         "size",
         "start",
-        F.xxhash64(_names(F.col("f"))).alias("h"),
-        F.size(F.filter("f", lambda x: ~_is_slot(x))).alias("literal"),
-        slot_pattern(F.col("w"), F.col("f")).alias("pattern"),
-        F.xxhash64(F.transform("w", F.lower)).alias("exact"),
-        _names(F.slice("cores", F.col("start"), F.col("size"))).alias("plain"),
+        "cores",
+        "forms",
+        F.xxhash64(_names(F.col("forms"))).alias("h"),
+        F.size(F.filter("forms", lambda x: ~_is_slot(x))).alias("literal"),
+        slot_pattern(F.col("cores"), F.col("forms")).alias("pattern"),
+        F.xxhash64(F.transform("words", F.lower)).alias("exact"),
+        F.xxhash64(_names(F.col("cores"))).alias("plain"),
     )
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_forms: int = MIN_FORMS, min_literal: int = MIN_LITERAL) -> DataFrame:
     """id, body (a hash of the text), item_id, n_windows: the items of which a document holds windows with consistent slots."""
     wanted = materialised(benchmark_windows(benchmark, window, item_col, item_text, min_forms))
-    found = wanted.agg(F.count(F.lit(1)).alias("n"), F.collect_set("size").alias("sizes")).first()  # at most `window` sizes
+    enough = F.col("literal") >= min_literal
+    found = wanted.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.struct("size", enough.alias("enough"))).alias("kinds")).first()  # at most two for each size
     light = lambda f: F.broadcast(f) if found["n"] <= BROADCAST_WINDOWS else f.hint("merge")
-    # words are a column of their own, as forms look at a word and the one before it
-    read = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("body"), words(text_col).alias("words"))
-    read = read.withColumn("cores", cores(F.col("words"))).withColumn("forms", _names(forms(F.col("words"), F.col("cores")))).withColumn("plain", _names(F.col("cores")))
-
-    def hashes(kind: str, size: int, step: int = 1, name: int = 0) -> Column:
-        last = F.size(kind) - size + 1
-        starts = F.when(last >= 1, F.sequence(F.lit(1), last, F.lit(step))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(F.lit(name or size).alias("size"), i.alias("at"), F.xxhash64(F.slice(kind, i, F.lit(size))).alias("h")))
-
-    if not found["sizes"]:
+    if not found["kinds"]:
         return docs.select(F.col(id_col).alias("id"), F.lit(0).cast("long").alias("body"), F.lit(None).cast(benchmark.schema[item_col].dataType).alias("item_id"), F.lit(0).cast("long").alias("n_windows")).limit(0)
-    sizes = sorted(found["sizes"])
-    # the grams of windows of a size go by the size below zero
-    windows = F.concat(*[hashes("forms", s) for s in sizes], *[hashes("plain", *_grams(s), -s) for s in sizes])
-    keys = wanted.select("h", "size")
-    for s in sizes:
-        length, step = _grams(s)
-        grams = F.array(*[F.xxhash64(F.slice("plain", i + 1, length)) for i in range(step)])
-        keys = keys.unionByName(wanted.where(F.col("size") == s).select(F.explode(grams).alias("h"), F.lit(-s).alias("size")))
-    keys = keys.distinct()
-    hits = read.select("id", "body", F.explode(windows).alias("x")).select("id", "body", "x.*").join(light(keys), ["h", "size"], "left_semi")
-    hits = hits.groupBy("id", "body").agg(F.collect_set(F.struct("size", "at", "h")).alias("hits"))
-    again = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("body"), F.col(text_col).alias("text"))
-    looked = again.join(hits, again["id"].eqNullSafe(hits["id"]) & (again["body"] == hits["body"])).select(again["id"], again["body"], "text", "hits").dropDuplicates(["id", "body"]).select("id", "body", words("text").alias("words"), "hits")
-    looked = materialised(looked.withColumn("cores", cores(F.col("words"))))
-    again = looked.where(F.exists("hits", lambda x: x["size"] < 0)).select("id", "body", _names(F.col("cores")).alias("plain"))
-    equal = again.select("id", "body", F.explode(F.concat(*[hashes("plain", s) for s in sizes])).alias("x")).select("id", "body", "x.size", "x.h")
-    equal = equal.join(light(wanted.select("item_id", "start", "size", F.xxhash64("plain").alias("h"))), ["h", "size"]).select("id", "body", "item_id", "start")
-    looked = looked.withColumn("hits", F.filter("hits", lambda x: x["size"] > 0)).where(F.size("hits") > 0).withColumn("forms", forms(F.col("words"), F.col("cores")))
+    kinds = sorted(found["kinds"])
+    sizes = sorted({k["size"] for k in kinds})
+    read = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("body"), F.col(text_col).alias("text"))
+    of_text = lambda hits: [F.col("id").eqNullSafe(hits["__id"]), F.col("body") == hits["__body"]]
+    keyed = [F.col("id").alias("__id"), F.col("body").alias("__body")]
+    # documents that hold a gram of the benchmark; grams of windows that are mostly placeholders stand everywhere, so those are looked up whole
+    grams = [(F.col("size") == s, "cores", *_grams(s)) for s in sizes]
+    grams += [((F.col("size") == k["size"]) & (enough == F.lit(k["enough"])), "forms", *(_grams(k["size"]) if k["enough"] else (k["size"], 1))) for k in kinds]
+    held = [wanted.where(of).select(F.explode(F.array(*[F.xxhash64(F.slice(kind, i + 1, length)) for i in range(step)])).alias("gram")) for of, kind, length, step in grams]
+    keys = reduce(DataFrame.unionByName, held).distinct()
+    ways = sorted({(kind, length, step) for _, kind, length, step in grams})
+    places = F.concat(*[_grams_at(*way) for way in ways])
+    hits = canonical(read, "text").select("id", "body", F.explode(places).alias("gram")).join(light(keys), "gram", "left_semi").select(*keyed).distinct()
+    looked = read.join(hits, of_text(hits)).select("id", "body", "text").dropDuplicates(["id", "body"])
+    looked = materialised(canonical(looked, "text").withColumn("words", words("text")).drop("text"))
+
+    def windows(kind: str) -> DataFrame:
+        names = looked.select("id", "body", _names(F.col(kind)).alias(kind))
+        return names.select("id", "body", F.explode(F.concat(*[_windows_at(kind, s) for s in sizes])).alias("x")).select("id", "body", "x.*")
+
+    equal = windows("cores").join(light(wanted.select("item_id", "start", "size", F.col("plain").alias("h"))), ["h", "size"]).select("id", "body", "item_id", "start")
+    hits = windows("forms").join(light(wanted.select("h", "size").distinct()), ["h", "size"], "left_semi").groupBy("id", "body").agg(F.collect_set(F.struct("size", "at", "h")).alias("hits")).select(*keyed, "hits")
+    slotted = looked.join(hits, of_text(hits)).select("id", "body", "words", "cores", "forms", "hits")
     cut = lambda c, x: F.slice(c, x["at"], x["size"])
-    slots = F.transform("hits", lambda x: F.struct(x["size"].alias("size"), x["h"].alias("h"), slot_pattern(cut("words", x), cut("forms", x)).alias("has"), F.xxhash64(F.transform(cut("words", x), F.lower)).alias("is")))
-    checked = looked.select("id", "body", F.explode(slots).alias("x")).select("id", "body", "x.*").join(light(wanted), ["h", "size"])
-    consistent = (F.col("has") == F.col("pattern")) & ((F.col("literal") >= min_literal) | (F.col("is") == F.col("exact")))
+    slots = F.transform("hits", lambda x: F.struct(x["size"].alias("size"), x["h"].alias("h"), slot_pattern(cut("cores", x), cut("forms", x)).alias("has"), F.xxhash64(F.transform(cut("words", x), F.lower)).alias("is")))
+    checked = slotted.select("id", "body", F.explode(slots).alias("x")).select("id", "body", "x.*").join(light(wanted.drop("cores", "forms", "plain")), ["h", "size"])
+    consistent = (F.col("has") == F.col("pattern")) & (enough | (F.col("is") == F.col("exact")))
     return checked.where(consistent).select("id", "body", "item_id", "start").unionByName(equal).groupBy("id", "body", "item_id").agg(F.countDistinct("start").alias("n_windows"))
 
 

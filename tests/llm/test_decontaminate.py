@@ -173,3 +173,25 @@ def test_query_equals_a_plain_matcher(spark, data):
         cores = {tuple(map(plain_core, words[k : k + 3])) for k in range(len(words) - 2)}
         likely = [(i, t) for i, t in items if have & grams[i] or cores & plain[i]]
         assert found[doc] == plain_matches(text, likely)
+
+
+def test_forms_in_passes_over_a_text_equal_those_of_single_words(make):
+    rng = random.Random(5)
+    parts = ["a", "Bo", "km", "Kg", "5", "x7", "Σ", "ΟΔΟΣ", "İ", "é", "É", "ǅ", "𠀀", "𝐀", "😀", "\u0301", "-", "--", ".", "!", "...", ":", "'", "<", "<num>", "<name>", "\u00a0", "\x1f", "\x85", "\u2028", " ", " ", " ", " ", "  ", "\n", "\t", " \r\n"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(600)] + [None, "", " ", "-- --", "a", "A. ", " (B"]
+    for row in decontaminate.canonical(make(list(enumerate(texts))), "text").collect():
+        found = plain_words(row.text)
+        assert (row.cores, row.forms) == ([plain_core(w) for w in found], plain_forms(found))
+
+
+def test_letters_beyond_the_basic_plane_are_told_apart(make, spark):
+    items = spark.createDataFrame([(1, "one two three four five six seven 𠀀")], "item_id int, text string")
+    df = make([(0, "one two three four five six seven 𠀀"), (1, "one two three four five six seven 𠀁")])
+    assert [r.doc_id for r in decontaminate.contamination(df, items).where("contaminated").collect()] == [0]
+
+
+def test_no_pattern_is_run_word_by_word_over_all_documents(make, spark, monkeypatch):
+    plans, real = [], decontaminate.materialised
+    monkeypatch.setattr(decontaminate, "materialised", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), real(df))[1])
+    assert flagged(make, [ITEMS[1][1], "nothing here"], spark) == {0: [2]}
+    assert plans and not any(regex.search(r"regexp_replace\(\S*lambda", plan) for plan in plans)
