@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.log import in_case, traces
@@ -68,8 +68,18 @@ def case_durations(log: DataFrame) -> DataFrame:
     return log.where("timestamp > 0").groupBy("case_id").agg(F.min("timestamp").alias("start_ts"), F.max("timestamp").alias("end_ts"), F.count(F.lit(1)).alias("n_events")).withColumn("duration", F.col("end_ts") - F.col("start_ts"))
 
 
+def exact_sum(column: str | Column) -> Column:
+    """The sum of whole numbers, whatever its size: nanoseconds of some thousand cases exceed a long."""
+    return F.sum((F.col(column) if isinstance(column, str) else column).cast("decimal(38,0)"))
+
+
+def whole_mean(column: str | Column) -> Column:
+    """The mean of whole numbers without its fraction."""
+    return F.call_function("div", exact_sum(column), F.count(F.lit(1)))
+
+
 def average_duration(log: DataFrame) -> DataFrame:
-    return case_durations(log).agg(F.expr("sum(duration) div count(1)").alias("avg_duration"), F.count(F.lit(1)).alias("n_cases"))
+    return case_durations(log).agg(whole_mean("duration").alias("avg_duration"), F.count(F.lit(1)).alias("n_cases"))
 
 
 def gaps(log: DataFrame) -> DataFrame:

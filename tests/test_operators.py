@@ -280,3 +280,16 @@ def test_a_watched_folder_is_rebuilt_when_it_rests(spark, tmp_path):
 
     assert watch(spark, str(tmp_path), rebuild, quiet=0.2, poll=0.02, stop=lambda: len(built) == 2) == 2
     assert built == [["a.csv"], ["a.csv", "b.csv"]]
+
+
+#: Twelve cases of 30 years: their lengths in nanoseconds add up to more than a long holds.
+@pytest.fixture(scope="module")
+def long_cases(spark):
+    return log(spark, [(str(c), a, t, None, 2 * c + i) for c in range(12) for i, (a, t) in enumerate([("x", 1), ("y", 10**18)])])
+
+
+def test_average_duration_of_a_sum_over_a_long(spark, long_cases):
+    row = mining.average_duration(long_cases).first()
+    assert (row.avg_duration, row.n_cases) == (10**18 - 1, 12)
+    assert dict(mining.average_duration(long_cases).dtypes) == {"avg_duration": "bigint", "n_cases": "bigint"}
+    assert mining.average_duration(log(spark, [])).first().avg_duration is None
