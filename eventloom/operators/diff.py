@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventloom.operators import mining
+
 
 def _counts(log: DataFrame, column: str, side: str) -> DataFrame:
     return log.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias(f"{side}_n"))
@@ -40,14 +42,14 @@ def summary(left: DataFrame, right: DataFrame) -> DataFrame:
 
     def one(log: DataFrame, side: str) -> DataFrame:
         cases = log.where("timestamp > 0").groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("a"), F.max("timestamp").alias("b"))
-        return cases.agg(F.sum("n").alias("n_events"), F.count(F.lit(1)).alias("n_cases"), F.min("a").alias("first_ts"), F.max("b").alias("last_ts"), F.expr("sum(b - a) div count(1)").alias("avg_duration")).withColumn("side", F.lit(side))
+        return cases.agg(F.sum("n").alias("n_events"), F.count(F.lit(1)).alias("n_cases"), F.min("a").alias("first_ts"), F.max("b").alias("last_ts"), mining.whole_mean(F.col("b") - F.col("a")).alias("avg_duration")).withColumn("side", F.lit(side))
 
     return one(left, "left").unionByName(one(right, "right"))
 
 
 def hybrid(left: DataFrame, right: DataFrame, change: float = 0.1, most: int = 10, max_depth: int | None = None) -> DataFrame:
     """The hybrid difference as (kind, name, left_value, right_value): time ranges that changed, nodes of the prefix trees by status, and those of the `most` slowest steps of either log whose mean duration changed by over `change` (or that only one has)."""
-    from eventloom.operators import mining, tree
+    from eventloom.operators import tree
 
     ends = lambda log, side: log.where("timestamp > 0").agg(F.min("timestamp").alias("first event"), F.max("timestamp").alias("last event")).select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias(f"{side}_value")) for c in ("first event", "last event")])).alias("x")).select("x.*")
     ranges = ends(left, "left").join(ends(right, "right"), "name").where("left_value <> right_value").select(F.lit("time range").alias("kind"), "name", "left_value", "right_value")

@@ -293,3 +293,7 @@ def test_average_duration_of_a_sum_over_a_long(spark, long_cases):
     assert (row.avg_duration, row.n_cases) == (10**18 - 1, 12)
     assert dict(mining.average_duration(long_cases).dtypes) == {"avg_duration": "bigint", "n_cases": "bigint"}
     assert mining.average_duration(log(spark, [])).first().avg_duration is None
+
+
+def test_summary_of_durations_over_a_long(long_cases):
+    assert {(r.side, r.n_events, r.n_cases, r.avg_duration) for r in diff.summary(long_cases, long_cases.where("case_id < '1'")).collect()} == {("left", 24, 12, 10**18 - 1), ("right", 2, 1, 10**18 - 1)}
