@@ -297,3 +297,8 @@ def test_average_duration_of_a_sum_over_a_long(spark, long_cases):
 
 def test_summary_of_durations_over_a_long(long_cases):
     assert {(r.side, r.n_events, r.n_cases, r.avg_duration) for r in diff.summary(long_cases, long_cases.where("case_id < '1'")).collect()} == {("left", 24, 12, 10**18 - 1), ("right", 2, 1, 10**18 - 1)}
+
+
+def test_text_report_of_durations_over_a_long(long_cases):
+    line = "24 events, 12 cases, average duration 999999999999999999 ns"
+    assert diff.text_report(long_cases, long_cases) == f"left: {line}\nright: {line}"
