@@ -94,17 +94,25 @@ def intervals(log: DataFrame) -> DataFrame:
 
 
 def bottlenecks(spans: DataFrame, start: int | None = None, end: int | None = None, activities: list[str] | None = None, limit: int = 10) -> DataFrame:
-    """Activities by total duration of their intervals in [start, end]: total, count, whole mean, largest."""
+    """Activities by total duration of their intervals in [start, end]: total (a decimal), count, whole mean, largest."""
     if start is not None:
         spans = spans.where(F.col("end") >= start)
     if end is not None:
         spans = spans.where(F.col("start") <= end)
     if activities is not None:
         spans = spans.where(F.col("activity").isin(activities))
-    found = spans.groupBy("activity").agg(F.sum("duration").alias("total_duration"), F.count(F.lit(1)).alias("n"), F.expr("sum(duration) div count(1)").alias("avg_duration"), F.max("duration").alias("max_duration"))
+    found = spans.groupBy("activity").agg(exact_sum("duration").alias("total_duration"), F.count(F.lit(1)).alias("n"), whole_mean("duration").alias("avg_duration"), F.max("duration").alias("max_duration"))
     return found.orderBy(F.desc("total_duration"), "activity").limit(limit)
 
 
+def as_long(few: DataFrame, column: str) -> DataFrame:
+    """A result of a few rows (held on the driver) with a whole decimal as a long, if all its values fit."""
+    rows = few.collect()
+    fit = all(r[column] is None or -(1 << 63) <= r[column] < 1 << 63 for r in rows)
+    kept = few.sparkSession.createDataFrame(rows, few.schema)
+    return kept.withColumn(column, F.col(column).cast("long")) if fit else kept
+
+
 def sequence_bottlenecks(log: DataFrame, path: list[str], limit: int = 10) -> DataFrame:
     """Bottlenecks of the activities of a path, if some case starts with it; no rows otherwise."""
     some = traces(log).where(F.slice("trace", 1, len(path)) == F.array(*map(F.lit, path))).limit(1).select(F.lit(1).alias("one"))

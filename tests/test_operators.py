@@ -302,3 +302,11 @@ def test_summary_of_durations_over_a_long(long_cases):
 def test_text_report_of_durations_over_a_long(long_cases):
     line = "24 events, 12 cases, average duration 999999999999999999 ns"
     assert diff.text_report(long_cases, long_cases) == f"left: {line}\nright: {line}"
+
+
+def test_bottlenecks_with_a_total_over_a_long(long_cases):
+    spans = mining.intervals(long_cases)
+    found = mining.as_long(mining.bottlenecks(spans), "total_duration")
+    assert dict(found.dtypes)["total_duration"] == "decimal(38,0)"
+    assert [tuple(r) for r in found.collect()] == [("x", 12 * (10**18 - 1), 12, 10**18 - 1, 10**18 - 1), ("y", 0, 12, 0, 0)]
+    assert dict(mining.as_long(mining.bottlenecks(spans.where("case_id < '1'")), "total_duration").dtypes)["total_duration"] == "bigint"
