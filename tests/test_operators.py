@@ -310,3 +310,8 @@ def test_bottlenecks_with_a_total_over_a_long(long_cases):
     assert dict(found.dtypes)["total_duration"] == "decimal(38,0)"
     assert [tuple(r) for r in found.collect()] == [("x", 12 * (10**18 - 1), 12, 10**18 - 1, 10**18 - 1), ("y", 0, 12, 0, 0)]
     assert dict(mining.as_long(mining.bottlenecks(spans.where("case_id < '1'")), "total_duration").dtypes)["total_duration"] == "bigint"
+
+
+def test_bottlenecks_in_range_with_a_total_over_a_long(long_cases):
+    found = mining.as_long(mining.bottlenecks(mining.intervals(long_cases), 2, 10**18 - 1, limit=3), "total_duration")
+    assert [tuple(r) for r in found.collect()] == [("x", 12 * (10**18 - 1), 12, 10**18 - 1, 10**18 - 1)]
