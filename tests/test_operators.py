@@ -315,3 +315,9 @@ def test_bottlenecks_with_a_total_over_a_long(long_cases):
 def test_bottlenecks_in_range_with_a_total_over_a_long(long_cases):
     found = mining.as_long(mining.bottlenecks(mining.intervals(long_cases), 2, 10**18 - 1, limit=3), "total_duration")
     assert [tuple(r) for r in found.collect()] == [("x", 12 * (10**18 - 1), 12, 10**18 - 1, 10**18 - 1)]
+
+
+def test_sequence_bottlenecks_with_a_total_over_a_long(long_cases):
+    found = mining.as_long(mining.sequence_bottlenecks(long_cases, ["x", "y"]), "total_duration")
+    assert [tuple(r) for r in found.collect()] == [("x", 12 * (10**18 - 1), 12, 10**18 - 1, 10**18 - 1), ("y", 0, 12, 0, 0)]
+    assert mining.as_long(mining.sequence_bottlenecks(long_cases, ["y", "x"]), "total_duration").count() == 0
