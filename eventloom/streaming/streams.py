@@ -39,19 +39,19 @@ def session_counts(stream: DataFrame, time: str, by: str, gap: str = "30 minutes
 
 
 def directly_follows(stream: DataFrame, case_id: str = "case_id", activity: str = "activity", timestamp: str = "timestamp", seq: str = "seq") -> DataFrame:
-    """case_id, activity, next_activity of each step, as events arrive: the state of a case is its last event."""
+    """case_id, activity, next_activity of each step, as events arrive: the state of a case is its last event.
+
+    A case's events of one trigger come in pieces and in any order (of files and of their splits); they are put in order together.
+    """
 
     def step(key: tuple, batches, state: GroupState):
         last = state.get[0] if state.exists else None
-        for pdf in batches:
-            acts = pdf.sort_values([timestamp, seq])[activity].tolist()
-            chain = ([last] if last is not None else []) + acts
-            if acts:
-                last = acts[-1]
-            if len(chain) > 1:
-                yield pd.DataFrame({"case_id": [key[0]] * (len(chain) - 1), "activity": chain[:-1], "next_activity": chain[1:]})
-        if last is not None:
-            state.update((last,))
+        acts = pd.concat([pdf[[timestamp, seq, activity]] for pdf in batches]).sort_values([timestamp, seq])[activity].tolist()
+        chain = ([last] if last is not None else []) + acts
+        if len(chain) > 1:
+            yield pd.DataFrame({"case_id": [key[0]] * (len(chain) - 1), "activity": chain[:-1], "next_activity": chain[1:]})
+        if chain:
+            state.update((chain[-1],))
 
     return stream.groupBy(case_id).applyInPandasWithState(step, "case_id string, activity string, next_activity string", "last string", "append", GroupStateTimeout.NoTimeout)
 

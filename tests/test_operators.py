@@ -13,6 +13,7 @@ from eventloom import log as logs
 from eventloom.operators import diff, filters, healing, intervals, mining, privacy, quality, schemas, tree
 from eventloom.operators import ocel as oc
 from eventloom.sources import detect, readers
+from eventloom.streaming import streams
 
 EVENTS = "case_id string, activity string, timestamp long, resource string, seq long"
 
@@ -321,3 +322,17 @@ def test_sequence_bottlenecks_with_a_total_over_a_long(long_cases):
     found = mining.as_long(mining.sequence_bottlenecks(long_cases, ["x", "y"]), "total_duration")
     assert [tuple(r) for r in found.collect()] == [("x", 12 * (10**18 - 1), 12, 10**18 - 1, 10**18 - 1), ("y", 0, 12, 0, 0)]
     assert mining.as_long(mining.sequence_bottlenecks(long_cases, ["y", "x"]), "total_duration").count() == 0
+
+
+def test_stream_orders_a_case_over_files_and_pieces(spark, tmp_path):
+    rows = [(c, str(t), t, None, t) for t in range(12) for c in "ab"]
+    for name, part in (("1", rows[16:]), ("2", rows[:8]), ("3", rows[8:16])):
+        log(spark, part).coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        stream = spark.readStream.schema(EVENTS).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+        streams.run_available(streams.directly_follows(stream), f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = sorted((r.case_id, int(r.activity), int(r.next_activity)) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert found == [(c, t, t + 1) for c in "ab" for t in range(11)]
