@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import random
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -324,6 +326,40 @@ def test_sequence_bottlenecks_with_a_total_over_a_long(long_cases):
     assert mining.as_long(mining.sequence_bottlenecks(long_cases, ["y", "x"]), "total_duration").count() == 0
 
 
+def test_concurrent_pairs_are_counted_as_they_are_listed(spark, monkeypatch):
+    made = random.Random(3)
+    rows = [(made.choice(["x", "y", None]), made.randrange(50), t, t + made.randrange(12)) for t in (made.randrange(40) for _ in range(70))]
+    spans = spark.createDataFrame(rows, "activity string, seq long, start long, end long")
+    inside = [r for r in rows if r[2] <= 35 and r[3] >= 3]
+    listed = Counter((a[0], b[0]) for a in inside for b in inside if a[1] < b[1] and min(a[3], b[3]) > max(a[2], b[2]))
+    for counted in (intervals.COUNTED, 9):
+        monkeypatch.setattr(intervals, "COUNTED", counted)
+        assert {(r.l_activity, r.r_activity): r.n for r in intervals.concurrent_counts(spans, 3, 35).collect()} == listed
+    assert intervals.concurrent_counts(spans.where("start > 100"), 3, 35).count() == 0
+
+
+def test_crowded_cells_are_joined_by_blocks(spark, monkeypatch):
+    rows = [(a, i, 10 + i % 3, 20 + i % 5) for i, a in enumerate("vw" * 30)]
+    spans = spark.createDataFrame([*rows, ("w", 99, 0, 12)], "activity string, seq long, start long, end long")
+    monkeypatch.setattr(intervals, "BLOCK", 4)
+    found = intervals.activity_overlaps(spans, "v", "w")
+    assert sorted((r.l_seq, r.r_seq) for r in found.collect()) == sorted([(v, w) for v in range(0, 60, 2) for w in range(1, 60, 2)] + [(v, 99) for v in range(0, 60, 2) if 10 + v % 3 < 12])
+    a, b = intervals._in_blocks(intervals._in_cells(spans.where("activity = 'v'"), [16], "l"), intervals._in_cells(spans.where("activity = 'w'"), [16], "r"))
+    assert max(r["count"] for x in (a, b) for r in x.groupBy("level", "cell", "l__block", "r__block").count().collect()) < 30
+
+
+def test_concurrent_pairs_are_not_made(spark, data):
+    from eventloom.plans import catalogue
+
+    made, kept = [], intervals.overlaps
+    intervals.overlaps = lambda *x, **y: made.append(x) or kept(*x, **y)
+    try:
+        catalogue.queries()["jn11_concurrent"](spark, data).count()
+    finally:
+        intervals.overlaps = kept
+    assert made == []
+
+
 def test_stream_orders_a_case_over_files_and_pieces(spark, tmp_path):
     rows = [(c, str(t), t, None, t) for t in range(12) for c in "ab"]
     for name, part in (("1", rows[16:]), ("2", rows[:8]), ("3", rows[8:16])):
