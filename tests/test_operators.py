@@ -360,6 +360,13 @@ def test_concurrent_pairs_are_not_made(spark, data):
     assert made == []
 
 
+def test_overlaps_of_the_whole_log(spark, data):
+    from eventloom.plans import catalogue
+
+    days = catalogue.queries()["jn10_activity_overlaps"](spark, data).agg(F.min("overlap_start"), F.max("overlap_start")).first()
+    assert days[1] - days[0] > 20 * 86_400_000_000_000
+
+
 def test_stream_orders_a_case_over_files_and_pieces(spark, tmp_path):
     rows = [(c, str(t), t, None, t) for t in range(12) for c in "ab"]
     for name, part in (("1", rows[16:]), ("2", rows[:8]), ("3", rows[8:16])):
