@@ -8,6 +8,8 @@ from dataclasses import dataclass, fields, replace
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from eventloom.session import shares
+
 EVENT = "event_id string, event_type string, timestamp timestamp"
 OBJECT = "object_id string, object_type string"
 EVENT_OBJECT = "event_id string, object_id string, qualifier string"
@@ -47,17 +49,28 @@ def objects_of(log: Ocel, event_id: str, qualifier: str | None = None) -> DataFr
     return log.objects.join(related.select("object_id").distinct(), "object_id", "left_semi")
 
 
+def _joined(rows: DataFrame, known: DataFrame, key: str, how: str = "inner", parts: int | None = None) -> DataFrame:
+    """`rows` with what is known of their key (an id), in partitions whose number grows with the input, so that a task's share stays small; as ids begin alike, a hash is sorted and compared before them."""
+    parts = parts or shares(rows, known)
+    known = known.withColumnRenamed(key, "__known")
+    a, b = rows.repartition(parts, F.xxhash64(key), key), known.repartition(parts, F.xxhash64("__known"), "__known")
+    return a.join(b, (F.xxhash64(key) == F.xxhash64("__known")) & (F.col(key) == F.col("__known")), how).drop("__known")
+
+
 def events_with_objects(log: Ocel) -> DataFrame:
     """Every relation with its event and object."""
-    return log.event_object.join(log.events, "event_id").join(log.objects, "object_id")
+    parts = shares(log.event_object, log.events, log.objects)
+    return _joined(_joined(log.event_object, log.events, "event_id", parts=parts), log.objects, "object_id", parts=parts)
 
 
 def project(log: Ocel, object_type: str) -> DataFrame:
     """The log flattened to one object type: its objects are the cases."""
-    wanted = log.objects.where(F.col("object_type") == object_type).select("object_id").distinct()
-    related = log.event_object.select("event_id", "object_id").join(wanted, "object_id", "left_semi").repartition("event_id").distinct()
-    events = log.events.select("event_id", F.col("event_type").alias("activity"), "timestamp").repartition("event_id").distinct()
-    return related.join(events, "event_id").select(F.col("object_id").alias("case_id"), "event_id", "activity", "timestamp")
+    wanted = log.objects.where(F.col("object_type") == object_type).select("object_id")
+    related = log.event_object.select("event_id", "object_id")
+    # where the objects are too many to broadcast, the relations are shuffled like them
+    related = related.join(wanted.repartition(shares(related, wanted), "object_id"), "object_id", "left_semi")
+    events = log.events.select("event_id", F.col("event_type").alias("activity"), "timestamp")
+    return _joined(related, events, "event_id").select(F.col("object_id").alias("case_id"), "event_id", "activity", "timestamp").distinct()
 
 
 def of_type(log: Ocel, object_type: str) -> DataFrame:
@@ -77,12 +90,18 @@ def attributes_at(log: Ocel, at: str) -> DataFrame:
 
 def _lifecycles(log: Ocel) -> DataFrame:
     """Events by (object_type, object_id) in order, with the next activity."""
-    # one shuffle by event for the distinct relations and their events, one by object for the order and the types
-    related = log.event_object.select("event_id", "object_id").repartition("event_id").distinct()
-    events = log.events.select("event_id", F.col("event_type").alias("activity"), "timestamp").repartition("event_id").distinct()
-    order = Window.partitionBy("object_id").orderBy("timestamp", "event_id")
-    rows = related.join(events, "event_id").withColumn("next_activity", F.lead("activity").over(order)).withColumn("n", F.row_number().over(order))
-    return rows.join(log.objects.select("object_id", "object_type").repartition("object_id").distinct(), "object_id")
+    related = log.event_object.select("event_id", "object_id")
+    events = log.events.select("event_id", F.col("event_type").alias("activity"), "timestamp")
+    parts = shares(related, events)
+    # copies of a row come to stand side by side and are dropped there; types are joined in the same order
+    of = F.xxhash64("object_id")
+    order = Window.partitionBy("__of", "object_id").orderBy("timestamp", "event_id", "activity")
+    one = F.struct("timestamp", "event_id", "activity")
+    rows = _joined(related, events, "event_id", parts=parts).repartition(parts, of, "object_id").withColumn("__of", of)
+    once = rows.withColumn("__before", F.lag(one).over(order)).where(~F.col("__before").eqNullSafe(one)).drop("__before")
+    steps = once.withColumn("next_activity", F.lead("activity").over(order)).withColumn("n", F.row_number().over(order))
+    types = log.objects.select("object_id", "object_type").repartition(parts, of, "object_id").withColumn("__of", of).distinct()
+    return steps.join(types.hint("merge"), ["__of", "object_id"]).drop("__of")
 
 
 def oc_dfg(log: Ocel, least: int = 1) -> DataFrame:
@@ -121,7 +140,7 @@ def stats(log: Ocel) -> DataFrame:
 
 def violations(log: Ocel) -> DataFrame:
     """kind, id: relations and attributes whose event or object does not exist."""
-    missing = lambda rows, key, known, name, kind: rows.select(F.col(key).alias("id")).join(known.select(F.col(name).alias("id")), "id", "left_anti").distinct().select(F.lit(kind).alias("kind"), "id")
+    missing = lambda rows, key, known, name, kind: _joined(rows.select(F.col(key).alias("id")), known.select(F.col(name).alias("id")), "id", "left_anti").distinct().select(F.lit(kind).alias("kind"), "id")
     out = missing(log.event_object, "event_id", log.events, "event_id", "relation without event").unionByName(missing(log.event_object, "object_id", log.objects, "object_id", "relation without object"))
     if log.object_object is not None:
         for end in ("source_id", "target_id"):

@@ -50,6 +50,22 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of input files (rows take some times as much in memory) for a task of a shuffle; bytes counted for a row where sizes are unknown; sizes from which they are.
+SHARE, ROW, UNKNOWN = 24 << 20, 16, 1 << 50
+
+
+def _read(df: DataFrame) -> int:
+    """Bytes of the tables that a frame is made of, without running it; from its rows where Spark does not know them."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    return sum(sizes) if max(sizes, default=0) < UNKNOWN else df.count() * ROW
+
+
+def shares(*frames: DataFrame) -> int:
+    """Partitions for a shuffle of these frames together: their number grows with the input, and is spark.sql.shuffle.partitions at least."""
+    return max(int(frames[0].sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sum(map(_read, frames)) // SHARE))
+
+
 def materialised(df: DataFrame) -> DataFrame:
     """The rows written once to the shared folder, with the lineage cut there."""
     shared_folder(df.sparkSession)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -379,3 +380,23 @@ def test_stream_orders_a_case_over_files_and_pieces(spark, tmp_path):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     found = sorted((r.case_id, int(r.activity), int(r.next_activity)) for r in spark.read.parquet(f"{tmp_path}/out").collect())
     assert found == [(c, t, t + 1) for c in "ab" for t in range(11)]
+
+
+def test_shuffles_of_objects_grow_with_the_input(spark, monkeypatch):
+    from eventloom import session
+
+    events = spark.createDataFrame([(f"e{i}", "pay" if i % 2 else "ship", None) for i in range(12)], oc.EVENT)
+    relations = spark.createDataFrame([(f"e{i}", o, "q") for i in range(12) for o in ("o", "p")] * 2, oc.EVENT_OBJECT)
+    objects = spark.createDataFrame([("o", "order"), ("p", "part"), ("p", "part")], oc.OBJECT)
+    made = oc.Ocel(events.unionByName(events), objects, relations)
+    assert session.shares(events, relations) == 4
+    monkeypatch.setattr(session, "SHARE", 16 * 12)
+    assert session.shares(events, relations) == 1 + 4
+    assert session.shares(events.join(relations, "event_id")) == 4
+    monkeypatch.setattr(session, "SHARE", 16)
+    # copies of events, relations and objects count once
+    assert {(r.object_type, r.activity): (r.frequency, r.n_starts, r.n_ends) for r in oc.oc_activities(made).collect()} == {(t, a): (6, int(a == "ship"), int(a == "pay")) for t in ("order", "part") for a in ("pay", "ship")}
+    for found in (oc.project(made, "part"), oc.oc_dfg(made), oc.violations(made), oc.events_with_objects(made)):
+        plan = found._jdf.queryExecution().toString()
+        assert max(map(int, re.findall(r"hashpartitioning\([^)]*\)?[^)]*, (\d+)\), REPARTITION_BY_NUM", plan))) > 48
+    assert oc.project(made, "part").count() == 12 and oc.violations(made).count() == 0
