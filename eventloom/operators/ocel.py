@@ -50,8 +50,14 @@ def objects_of(log: Ocel, event_id: str, qualifier: str | None = None) -> DataFr
 
 
 def _joined(rows: DataFrame, known: DataFrame, key: str, how: str = "inner", parts: int | None = None) -> DataFrame:
-    """`rows` with what is known of their key (an id), in partitions whose number grows with the input, so that a task's share stays small; as ids begin alike, a hash is sorted and compared before them."""
+    """`rows` with what is known of their key (an id), in partitions whose number grows with the input, so that a task's share stays small."""
     parts = parts or shares(rows, known)
+    return rows.repartition(parts, key).join(known.repartition(parts, key), key, how)
+
+
+def _joined_by_hash(rows: DataFrame, known: DataFrame, key: str, how: str) -> DataFrame:
+    """The same where object ids, which begin alike, are compared: a hash is sorted and compared before them."""
+    parts = shares(rows, known)
     known = known.withColumnRenamed(key, "__known")
     a, b = rows.repartition(parts, F.xxhash64(key), key), known.repartition(parts, F.xxhash64("__known"), "__known")
     return a.join(b, (F.xxhash64(key) == F.xxhash64("__known")) & (F.col(key) == F.col("__known")), how).drop("__known")
@@ -59,8 +65,7 @@ def _joined(rows: DataFrame, known: DataFrame, key: str, how: str = "inner", par
 
 def events_with_objects(log: Ocel) -> DataFrame:
     """Every relation with its event and object."""
-    parts = shares(log.event_object, log.events, log.objects)
-    return _joined(_joined(log.event_object, log.events, "event_id", parts=parts), log.objects, "object_id", parts=parts)
+    return log.event_object.join(log.events, "event_id").join(log.objects, "object_id")
 
 
 def project(log: Ocel, object_type: str) -> DataFrame:
@@ -140,7 +145,7 @@ def stats(log: Ocel) -> DataFrame:
 
 def violations(log: Ocel) -> DataFrame:
     """kind, id: relations and attributes whose event or object does not exist."""
-    missing = lambda rows, key, known, name, kind: _joined(rows.select(F.col(key).alias("id")), known.select(F.col(name).alias("id")), "id", "left_anti").distinct().select(F.lit(kind).alias("kind"), "id")
+    missing = lambda rows, key, known, name, kind: _joined_by_hash(rows.select(F.col(key).alias("id")), known.select(F.col(name).alias("id")), "id", "left_anti").distinct().select(F.lit(kind).alias("kind"), "id")
     out = missing(log.event_object, "event_id", log.events, "event_id", "relation without event").unionByName(missing(log.event_object, "object_id", log.objects, "object_id", "relation without object"))
     if log.object_object is not None:
         for end in ("source_id", "target_id"):
