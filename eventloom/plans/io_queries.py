@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from eventloom.log import as_timestamp
 from eventloom.operators import healing, maintenance
 from eventloom.plans import ingest, pipeline
 from eventloom.plans.registry import E, log, query
-from eventloom.session import scratch, table
+from eventloom.session import scratch, shares, table
 from eventloom.sources import detect, readers, sinks, stores
 from eventloom.streaming import streams
 
@@ -81,10 +82,18 @@ def _union(s, d) -> DataFrame:
 def _xes(s, d) -> DataFrame:
     one = F.format_string('<event><string key="concept:name" value="%s"/><date key="time:timestamp" value="%s"/>%s</event>', "activity", F.date_format(as_timestamp("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), F.coalesce(F.format_string('<string key="org:resource" value="%s"/>', "resource"), F.lit("")))
     one = F.when(F.col("resource").isNull(), F.regexp_replace(one, '<string key="org:resource" value="null"/>', "")).otherwise(one)
-    events = log(s, d).withColumn("x", one)
+    events = log(s, d)
+    # the text is some twenty times as long as the table
+    events = events.repartition(shares(*[events] * 20), "case_id").withColumn("x", one)
     traces = events.groupBy("case_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("timestamp", "seq", "x"))), lambda e: e["x"]), "").alias("body"))
-    document = traces.select(F.concat(F.lit('<trace><string key="concept:name" value="'), "case_id", F.lit('"/>'), "body", F.lit("</trace>")).alias("value"))
-    document = document.agg(F.concat(F.lit("<log>"), F.array_join(F.collect_list("value"), ""), F.lit("</log>")).alias("value"))  # a file has one root
+    values = traces.select(F.concat(F.lit('<trace><string key="concept:name" value="'), "case_id", F.lit('"/>'), "body", F.lit("</trace>")).alias("value"))
+
+    def rooted(batches):  # a file has one root
+        yield pd.DataFrame({"value": ["<log>"]})
+        yield from batches
+        yield pd.DataFrame({"value": ["</log>"]})
+
+    document = values.mapInPandas(rooted, "value string")
     return readers.xes(s, lines(s, document, "xes")).select("case_id", "activity", "timestamp", F.coalesce("resource", F.lit("")).alias("resource"))
 
 

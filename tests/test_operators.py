@@ -400,3 +400,15 @@ def test_shuffles_of_objects_grow_with_the_input(spark, monkeypatch):
         plan = found._jdf.queryExecution().toString()
         assert max(map(int, re.findall(r"hashpartitioning\([^)]*\)?[^)]*, (\d+)\), REPARTITION_BY_NUM", plan))) > 48
     assert oc.project(made, "part").count() == 12 and oc.violations(made).count() == 0
+
+
+def test_xes_is_written_in_several_files_of_one_root(spark, data, monkeypatch):
+    from pathlib import Path
+
+    from eventloom.plans import catalogue, io_queries
+
+    written, kept = [], io_queries.lines
+    monkeypatch.setattr(io_queries, "lines", lambda *x: written.append(kept(*x)) or written[-1])
+    assert catalogue.queries()["src13_xes"](spark, data).count() == spark.read.parquet(f"{data}/events.parquet").count()
+    texts = [p.read_text() for p in Path(written[0].removeprefix("file:")).glob("part-*")]
+    assert len(texts) == 4 and all((x.count("<log>"), x.count("</log>")) == (1, 1) for x in texts)
