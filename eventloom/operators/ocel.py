@@ -206,10 +206,11 @@ def read(spark: SparkSession, folder: str, parts: tuple[str, ...] = ("events", "
 
 
 def write_json(log: Ocel, path: str) -> None:
-    """Events (with the ids and qualifiers of their objects) and objects as JSON lines, one folder each."""
-    related = log.event_object.groupBy("event_id").agg(F.sort_array(F.collect_list(F.struct("object_id", "qualifier"))).alias("relationships"))
-    log.events.join(related, "event_id", "left").write.mode("overwrite").json(f"{path}/events")
-    log.objects.write.mode("overwrite").json(f"{path}/objects")
+    """Events (with the ids and qualifiers of their objects) and objects as gzipped JSON lines, one folder each, in as many files as their size asks for."""
+    parts = shares(log.event_object, log.events)
+    related = log.event_object.repartition(parts, "event_id").groupBy("event_id").agg(F.sort_array(F.collect_list(F.struct("object_id", "qualifier"))).alias("relationships"))
+    log.events.repartition(parts, "event_id").join(related, "event_id", "left").write.mode("overwrite").option("compression", "gzip").json(f"{path}/events")
+    log.objects.write.mode("overwrite").option("compression", "gzip").json(f"{path}/objects")
 
 
 def read_json(spark: SparkSession, path: str) -> Ocel:

@@ -412,3 +412,13 @@ def test_xes_is_written_in_several_files_of_one_root(spark, data, monkeypatch):
     assert catalogue.queries()["src13_xes"](spark, data).count() == spark.read.parquet(f"{data}/events.parquet").count()
     texts = [p.read_text() for p in Path(written[0].removeprefix("file:")).glob("part-*")]
     assert len(texts) == 4 and all((x.count("<log>"), x.count("</log>")) == (1, 1) for x in texts)
+
+
+def test_object_log_as_json_is_compressed(spark, tmp_path):
+    events = spark.createDataFrame([(f"e{i}", "pay", None) for i in range(20)], oc.EVENT)
+    relations = spark.createDataFrame([(f"e{i}", "o", "q") for i in range(1, 20)] * 2, oc.EVENT_OBJECT)
+    oc.write_json(oc.Ocel(events, spark.createDataFrame([("o", "order")], oc.OBJECT), relations), str(tmp_path))
+    assert {p.suffix for p in tmp_path.glob("*/part-*")} == {".gz"}
+    back = oc.read_json(spark, str(tmp_path))
+    assert sorted(map(tuple, back.events.collect())) == sorted(map(tuple, events.collect()))
+    assert sorted(map(tuple, back.event_object.collect())) == sorted(map(tuple, relations.collect()))
